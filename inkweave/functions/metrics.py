@@ -11,7 +11,7 @@ from inkweave.functions.text import filled_lines, words
 
 
 def _share(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, part.cast("double") / whole)
+    return F.try_divide(part.cast("double"), whole.cast("double"))
 
 
 def diversity(tokens: Column) -> Column:
@@ -35,7 +35,7 @@ def word_share(tokens: Column, listed: Sequence[str]) -> Column:
     """Share of the words that are in the given list (compared in lower case)."""
     wanted = sorted({word.lower() for word in listed})
     if not wanted:
-        return F.when(F.size(tokens) > 0, F.lit(0.0))
+        return _share(F.lit(0), F.size(tokens))
     return _share(F.size(F.filter(tokens, lambda t: t.isin(*wanted))), F.size(tokens))
 
 

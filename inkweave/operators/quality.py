@@ -103,8 +103,12 @@ class Evaluator:
             **{name: rule(F.col("input_text"), F.col("output_text")) for name, rule in self.extra.items()},
         }
         carried = F.coalesce(F.col("quality_scores"), F.create_map().cast("map<string,double>"))
-        fresh = F.map_filter(score_map(scores), lambda metric, _: ~F.map_contains_key(carried, metric))
-        return compute_once(tokenized, {"quality_scores": F.map_concat(carried, fresh)}).drop("_in", "_out")
+        measures = {f"score_{name}": score for name, score in scores.items()}
+        measured = compute_once(tokenized, measures)
+        fresh = score_map({name: F.col(f"score_{name}") for name in scores})
+        fresh = F.map_filter(fresh, lambda metric, _: ~F.map_contains_key(carried, metric))
+        merged = F.map_concat(carried, fresh)
+        return measured.withColumn("quality_scores", merged).drop("_in", "_out", *measures)
 
     def evaluate(self, examples: DataFrame, label: Column | None = None) -> DataFrame:
         """Add quality_scores, passed and reasons."""
@@ -114,8 +118,9 @@ class Evaluator:
             ~within_bounds(self.templates, template, output), F.array(F.lit("output length out of bounds"))
         ).otherwise(F.array().cast("array<string>"))
         scored = self.score(examples, label)
-        reasons = F.concat(threshold_reasons(F.col("quality_scores"), bounds), length)
-        return compute_once(scored, {"reasons": reasons}).withColumn("passed", F.size("reasons") == 0)
+        judged = scored.withColumn("judgement", F.concat(threshold_reasons(F.col("quality_scores"), bounds), length))
+        verdict = {"quality_scores": F.col("quality_scores"), "reasons": F.col("judgement")}
+        return compute_once(judged, verdict).drop("judgement").withColumn("passed", F.size("reasons") == 0)
 
 
 def quality_gate(evaluated: DataFrame, quality_filter: bool = True) -> tuple[DataFrame, DataFrame]:

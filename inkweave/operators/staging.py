@@ -12,9 +12,10 @@ def compute_once(rows: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
     """Add the columns so that later filters read them instead of computing them again.
 
     Catalyst moves a filter below a projection by copying the projection's expressions into it, whatever
-    they cost. It moves none below a generator that makes the column, so the columns come out of a
-    one-element ``inline``, which runs within the same generated code.
+    they cost. It moves none below a generator that makes the column, so a projection computes the columns,
+    sharing common parts, and a one-element ``inline`` hands them on within the same generated code.
     """
-    entry = F.struct(*[column.alias(name) for name, column in columns.items()])
     kept = [name for name in rows.columns if name not in columns]
-    return rows.select(*kept, F.inline(F.array(entry)))
+    computed = rows.select(*kept, *[column.alias(f"_{name}") for name, column in columns.items()])
+    entry = F.struct(*[F.col(f"_{name}").alias(name) for name in columns])
+    return computed.select(*kept, F.inline(F.array(entry)))

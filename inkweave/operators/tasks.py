@@ -94,7 +94,9 @@ def templates_for(task_types: Sequence[str] | None = None) -> list[TaskTemplate]
     return [TEMPLATES[t] for t in chosen]
 
 
-def fan_out(chunks: DataFrame, templates: Sequence[TaskTemplate]) -> DataFrame:
+def fan_out(
+    chunks: DataFrame, templates: Sequence[TaskTemplate], positions: Sequence[int] | None = None
+) -> DataFrame:
     """Every chunk with every template, as rows. The order document, task, chunk is kept in
     ``task_position`` and ``chunk_index``; the few templates travel as literals, so nothing is joined."""
     entries = [
@@ -104,7 +106,7 @@ def fan_out(chunks: DataFrame, templates: Sequence[TaskTemplate]) -> DataFrame:
             F.lit(t.id).alias("template_id"),
             F.lit(t.name).alias("template_name"),
         )
-        for position, t in enumerate(templates)
+        for position, t in zip(positions or range(len(templates)), templates)
     ]
     return chunks.select("*", F.inline(F.array(*entries)))
 
@@ -126,26 +128,20 @@ RESULT = StructType([StructField("output", StringType()), StructField("error_mes
 
 @dataclass(frozen=True)
 class TaskRunner:
-    """How a task type is carried out: an expression from (prompt, content) to a struct (output, error_message).
+    """How a task type is carried out.
 
-    Expressions of built-in functions share one pass over the chunks. A Python runner gets its own branch,
-    so that it is only called on its own task's rows.
+    An expression runner makes the output from (prompt, content) with built-in functions; null is a failure
+    with the text ``error``. ``needs`` names columns made from the content once per chunk, before the chunk
+    meets its tasks. A Python runner gives a struct (output, error_message) and gets its own branch, so that
+    it is only called on its own task's rows.
     """
 
     run: Callable[[Column, Column], Column]
+    error: str = "no output"
+    needs: Mapping[str, Callable[[Column], Column]] = field(default_factory=dict)
     python: bool = False
 
 
-def expression_runner(output: Callable[[Column, Column], Column], error: str = "no output") -> TaskRunner:
-    """A runner of built-in functions; a null output is an error."""
-
-    def run(prompt: Column, content: Column) -> Column:
-        made = output(prompt, content)
-        return F.struct(made.alias("output"), F.when(made.isNull(), F.lit(error)).alias("error_message"))
-
-    return TaskRunner(run)
-
-
 def python_runner(function: Callable[[str, str], str]) -> TaskRunner:
     """A runner that calls ``function(prompt, content)`` per item in Arrow batches.
 
@@ -167,42 +163,43 @@ def python_runner(function: Callable[[str, str], str]) -> TaskRunner:
     return TaskRunner(run_batch.asNondeterministic(), python=True)
 
 
-_FIRST_SENTENCE = r"(?s)^(.*?[.!?])(?:\s|\z)"
-_SECOND_SENTENCE = r"(?s)^.*?[.!?]\s+(.*?[.!?])(?:\s|\z)"
-
+def sentences(content: Column) -> Column:
+    """The first sentence, the second, and the rest. A sentence ends at a mark before whitespace."""
+    return F.split(content, r"(?<=[.!?])\s+", 3)
 
-def first_sentence(content: Column) -> Column:
-    """Up to the first sentence mark before whitespace or the end; the whole text where there is none."""
-    found = F.regexp_extract(content, _FIRST_SENTENCE, 1)
-    return F.when(found != "", found).otherwise(content)
 
+def _first_sentence(*_: Column) -> Column:
+    return F.get("sentences", F.lit(0))
 
-def second_sentence(content: Column) -> Column:
-    return F.nullif(F.regexp_extract(content, _SECOND_SENTENCE, 1), F.lit(""))
 
+def _question_answer(*_: Column) -> Column:
+    second = F.get("sentences", F.lit(1))
+    ended = F.when(F.right(second, F.lit(1)).isin(".", "!", "?"), second)
+    return F.concat(F.lit('Q: What follows "'), _first_sentence(), F.lit('"?\nA: '), ended)
 
-def _question_answer(_: Column, content: Column) -> Column:
-    question = F.concat(F.lit('Q: What follows "'), first_sentence(content), F.lit('"?'))
-    return F.concat(question, F.lit("\nA: "), second_sentence(content))
 
-
-def _language_and_source(_: Column, __: Column) -> Column:
+def _language_and_source(*_: Column) -> Column:
     return F.concat(
         F.lit("language: "), F.col("document_language"), F.lit("; source: "), F.col("document_source")
     )
 
 
+_SENTENCES = {"sentences": sentences}
+
 # Extractive stand-ins that need no model. Entities, red teaming and responses need a runner from the caller.
 BUILT_IN_RUNNERS = {
-    "qa_generation": expression_runner(_question_answer, "no second sentence"),
-    "classification": expression_runner(_language_and_source, "no language or source"),
-    "summarization": expression_runner(lambda _, content: first_sentence(content)),
+    "qa_generation": TaskRunner(_question_answer, "no second sentence", _SENTENCES),
+    "classification": TaskRunner(_language_and_source, "no language or source"),
+    "summarization": TaskRunner(_first_sentence, needs=_SENTENCES),
 }
 
 # Document columns the built-in runners read from the chunks.
 RUNNER_CARRY = ("language", "source")
 
 
+_TASK_COLUMNS = ("task_position", "task_type", "template_id", "template_name", "prompt", "output", "error_message")
+
+
 def task_id(chunk_id: Column, template_id: Column) -> Column:
     return F.md5(F.concat_ws("|", chunk_id, template_id))
 
@@ -219,34 +216,39 @@ def execute_tasks(
     The chunk's text and position ride along, so that examples need no join back.
     """
     known = {**BUILT_IN_RUNNERS, **(runners or {})}
-
-    def of(template: TaskTemplate) -> TaskRunner | None:
-        return known.get(template.task_type)
-
-    numbered = list(enumerate(templates))
-    by_expression = [(i, t) for i, t in numbered if not (of(t) and of(t).python)]
-    by_python = [(i, t) for i, t in numbered if of(t) and of(t).python]
-    positions = F.create_map(*[x for i, t in numbered for x in (F.lit(t.id), F.lit(i))])
-    branches = [[t for _, t in by_expression]] if by_expression else []
-    branches += [[t] for _, t in by_python]
-
-    def run(branch: list[TaskTemplate]) -> DataFrame:
-        rows = fan_out(chunks, branch).withColumn("task_position", positions[F.col("template_id")])
-        rows = rows.withColumn("prompt", render_prompt(branch, F.col("content"), F.col("template_id")))
-        result = F.struct(
-            F.lit(None).cast("string").alias("output"),
-            F.concat(F.lit("no runner for "), F.col("task_type")).alias("error_message"),
-        )
-        for t in branch:
-            if of(t):
-                made = of(t).run(F.col("prompt"), F.col("content"))
-                alone = len(branch) == 1
-                result = made if alone else F.when(F.col("template_id") == t.id, made).otherwise(result)
-        return rows.withColumn("result", result) if branch[0] in python_only else compute_once(rows, {"result": result})
-
-    python_only = [t for _, t in by_python]
-    executed = reduce(DataFrame.unionByName, [run(b) for b in branches])
-    output = F.col("result.output")
+    runner_of = {t.id: known.get(t.task_type) for t in templates}
+    position_of = {t.id: position for position, t in enumerate(templates)}
+    in_python = [t for t in templates if runner_of[t.id] and runner_of[t.id].python]
+    by_expression = [t for t in templates if t not in in_python]
+
+    def fanned(branch: Sequence[TaskTemplate]) -> DataFrame:
+        needs = {k: make for t in branch if runner_of[t.id] for k, make in runner_of[t.id].needs.items()}
+        prepared = chunks.withColumns({k: make(F.col("content")) for k, make in needs.items()}) if needs else chunks
+        rows = fan_out(prepared, branch, [position_of[t.id] for t in branch])
+        return rows.withColumn("prompt", render_prompt(branch, F.col("content"), F.col("template_id")))
+
+    def run_expressions() -> DataFrame:
+        template = F.col("template_id")
+        output, error = F.lit(None).cast("string"), F.concat(F.lit("no runner for "), F.col("task_type"))
+        for t in by_expression:
+            runner = runner_of[t.id]
+            if runner:
+                output = F.when(template == t.id, runner.run(F.col("prompt"), F.col("content"))).otherwise(output)
+                error = F.when(template == t.id, F.lit(runner.error)).otherwise(error)
+        made = compute_once(fanned(by_expression), {"output": output})
+        return made.withColumn("error_message", F.when(F.col("output").isNull(), error))
+
+    def run_python(t: TaskTemplate) -> DataFrame:
+        made = fanned([t]).withColumn("result", runner_of[t.id].run(F.col("prompt"), F.col("content")))
+        return made.select("*", "result.output", "result.error_message").drop("result")
+
+    def trimmed(rows: DataFrame) -> DataFrame:
+        return rows.select(*chunks.columns, *_TASK_COLUMNS)
+
+    branches = [trimmed(run_expressions())] if by_expression else []
+    branches += [trimmed(run_python(t)) for t in in_python]
+    executed = reduce(DataFrame.unionByName, branches)
+    output = F.col("output")
     failed = output.isNull()
     used = token_estimate(F.concat(F.col("prompt"), F.coalesce(output, F.lit(""))))
     cost = F.lit(None).cast("double") if price_per_token is None else used * F.lit(float(price_per_token))
@@ -261,7 +263,7 @@ def execute_tasks(
         used.alias("token_usage"),
         cost.alias("cost"),
         F.when(failed, F.lit("failed")).otherwise(F.lit("completed")).alias("status"),
-        F.when(failed, F.coalesce(F.col("result.error_message"), F.lit("no output"))).alias("error_message"),
+        F.when(failed, F.coalesce(F.col("error_message"), F.lit("no output"))).alias("error_message"),
         "task_type",
         "template_name",
         "task_position",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,15 +136,9 @@ QUARANTINE = _struct(
 )
 
 
-def conform(df, schema: T.StructType):
+def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Select exactly the schema's columns in its order; a column the frame lacks comes out null."""
-    have = set(df.columns)
-    return df.select(
-        *[
-            (F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name)
-            for f in schema.fields
-        ]
-    )
+    return df.to(schema)
 
 
 def in_domain(column: Column, domain: tuple[str, ...]) -> Column:
