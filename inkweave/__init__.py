@@ -1,5 +1,9 @@
 """Documents to fine-tuning examples, as Spark DataFrame transformations."""
 
+import sys
+
+from pyspark import cloudpickle
+
 from inkweave.operators.chunking import chunk_documents, clean_documents
 from inkweave.operators.quality import Evaluator, evaluate_dataset, quality_gate
 from inkweave.operators.splits import split_examples
@@ -10,6 +14,9 @@ from inkweave.sinks.export import export_dataset
 from inkweave.sources.files import FileLoader, scan_directory
 from inkweave.sources.load import load_documents
 
+# The few Python functions travel to the executors with the job, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = [
     "Evaluator",
     "FileLoader",

@@ -1,5 +1,7 @@
 """Text, main content and title of HTML, as built-in expressions with an Arrow-batched parser beside them.
 
+Each function adds a column to a frame, in steps that are computed once per row.
+
 ``mode``
     ``native``  expressions only: no Python, for well-formed markup with the common entities;
     ``arrow``   the standard library's HTML parser for every row;
@@ -12,11 +14,12 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from inkweave.functions.text import fold_whitespace, strip
+from inkweave.operators.staging import compute_once
 
 # The entities the native expressions decode. The ampersand comes last, so that what it
 # uncovers is not decoded a second time.
@@ -60,8 +63,8 @@ def _odd(visible: Column) -> Column:
     return visible.rlike(_RARE_ENTITY) | visible.rlike(_ODD_MARKUP)
 
 
-def _native_text(html: Column) -> Column:
-    bare = F.regexp_replace(F.replace(_visible(html), F.lit(_MARK), F.lit("")), _TAG, "")
+def _native_text(visible: Column) -> Column:
+    bare = F.regexp_replace(F.replace(visible, F.lit(_MARK), F.lit("")), _TAG, "")
     return fold_whitespace(_decode_entities(bare))
 
 
@@ -84,26 +87,20 @@ def _region(visible: Column) -> Column:
     )
 
 
-def _region_odd(visible: Column) -> Column:
-    """True where the element that holds the content is nested in itself or not closed."""
-
-    def unclear(name: str) -> Column:
-        inner = _element(visible, name)
-        return ~visible.rlike(rf"(?i)</{name}\s*>") | _has(inner, name)
+def _region_odd(visible: Column, region: Column) -> Column:
+    """True where the element that holds the content is nested, or empty, which may mean that it is not closed."""
+    named = visible.rlike(r"(?i)<(?:article|main)\b")
+    return region.rlike(r"(?i)<(?:article|main|body)\b") & visible.rlike(r"(?i)<body\b") | (named & (region == ""))
 
-    return F.when(_has(visible, "article"), unclear("article")).when(_has(visible, "main"), unclear("main")).otherwise(
-        F.regexp_count(visible, F.lit(r"(?i)<body\b")) > 1
-    )
 
-
-def _native_main(html: Column) -> Column:
-    nodes = _decode_entities(F.regexp_replace(_region(_visible(html)), _TAG, _MARK))
+def _native_main(region: Column) -> Column:
+    nodes = _decode_entities(F.regexp_replace(region, _TAG, _MARK))
     joined = F.regexp_replace(nodes, rf"(?U)[\s\x1c-\x1f]*+{_MARK}[\s\x1c-\x1f{_MARK}]*+", " ")
     return strip(joined)
 
 
-def _native_title(html: Column) -> Column:
-    return strip(_decode_entities(F.replace(_element(_visible(html), "title"), F.lit(_MARK), F.lit(""))))
+def _native_title(title: Column) -> Column:
+    return strip(_decode_entities(F.replace(title, F.lit(_MARK), F.lit(""))))
 
 
 # Elements that have no end tag.
@@ -190,32 +187,44 @@ def _title_text(walk: _TextNodes) -> str:
     return texts[0].strip() if len(texts) == 1 else ""
 
 
-def _choose(mode: str, html: Column, native: Column, odd: Column, rule, finish=lambda text: text) -> Column:
-    if mode == "native":
-        return native
+def _add(rows: DataFrame, html: str, into: str, mode: str, part, odd, native, rule, finish=lambda text: text) -> DataFrame:
+    """Add a column by the native expressions, the parser, or each where it is called for.
+
+    ``part`` picks the markup the expressions work on, ``odd`` tells where they would be wrong.
+    """
+    page = F.col(html)
     if mode == "arrow":
-        return finish(_per_page(rule)(html))
-    if mode != "auto":
+        return rows.withColumn(into, finish(_per_page(rule)(page)))
+    if mode not in ("native", "auto"):
         raise ValueError(f"unknown mode: {mode}")
-    return F.when(odd, finish(_per_page(rule)(F.when(odd, html)))).otherwise(native)
+    seen = compute_once(rows, {"_visible": _visible(page)}).withColumn("_part", part(F.col("_visible")))
+    if mode == "native":
+        return compute_once(seen, {into: native(F.col("_part"))}).drop("_visible", "_part")
+    unclear = F.coalesce(odd(F.col("_visible"), F.col("_part")), F.lit(False))
+    made = compute_once(seen, {"_odd": unclear, "_native": native(F.col("_part"))})
+    parsed = finish(_per_page(rule)(F.when(F.col("_odd"), page)))
+    chosen = F.when(F.col("_odd"), parsed).otherwise(F.col("_native"))
+    return made.withColumn(into, chosen).drop("_visible", "_part", "_odd", "_native")
+
+
+def with_html_text(rows: DataFrame, html: str, into: str, mode: str = "auto") -> DataFrame:
+    """Add all text outside scripts and styles, nothing put between tags, whitespace folded. The title stays in."""
+    return _add(
+        rows, html, into, mode, lambda v: v, lambda v, _: _odd(v), _native_text, _all_text, finish=fold_whitespace
+    )
 
 
-def html_text(html: Column, mode: str = "auto") -> Column:
-    """All text outside scripts and styles, nothing put between tags, whitespace folded. The title stays in."""
-    odd = F.coalesce(_odd(_visible(html)), F.lit(False))
-    return _choose(mode, html, _native_text(html), odd, _all_text, finish=fold_whitespace)
+def with_main_content(rows: DataFrame, html: str, into: str, mode: str = "auto") -> DataFrame:
+    """Add the text of the first article, else main, else body, else all; text nodes stripped, joined with a space."""
+    return _add(
+        rows, html, into, mode, _region, lambda v, r: _odd(v) | _region_odd(v, r), _native_main, _content_text
+    )
 
 
-def main_content(html: Column, mode: str = "auto") -> Column:
-    """Text of the first article, else main, else body, else all; text nodes stripped, joined with one space."""
-    visible = _visible(html)
-    odd = F.coalesce(_odd(visible) | _region_odd(visible), F.lit(False))
-    return _choose(mode, html, _native_main(html), odd, _content_text)
+def with_html_title(rows: DataFrame, html: str, into: str, mode: str = "auto") -> DataFrame:
+    """Add the stripped text of the first title element, or an empty string."""
 
+    def odd(_: Column, title: Column) -> Column:
+        return title.rlike(r"<[a-zA-Z/]") | title.rlike(_RARE_ENTITY)
 
-def html_title(html: Column, mode: str = "auto") -> Column:
-    """Stripped text of the first title element, or an empty string."""
-    visible = _visible(html)
-    title = _element(visible, "title")
-    odd = title.rlike(r"(?s)<[a-zA-Z/]") | title.rlike(_RARE_ENTITY)
-    return _choose(mode, html, _native_title(html), F.coalesce(odd, F.lit(False)), _title_text)
+    return _add(rows, html, into, mode, lambda v: _element(v, "title"), odd, _native_title, _title_text)

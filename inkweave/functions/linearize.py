@@ -7,10 +7,12 @@ import io
 import json
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from inkweave.operators.staging import compute_once
+
 # One flat object without escapes, nested values, or any number but a plain integer.
 _FLAT_OBJECT = r"^[ \t\n\r]*\{[^{}\[\]\\]*\}[ \t\n\r]*$"
 _OTHER_VALUE = r":\s*(?:[tfnNI]|-[I0]|-?\d+[.eE])"
@@ -56,24 +58,28 @@ def _csv_lines_arrow(bodies: pd.Series) -> pd.Series:
     return bodies.map(_csv_lines)
 
 
-def json_text(body: Column, mode: str = "auto") -> Column:
-    """``key: value`` lines of an object, ``Item n: value`` lines of an array, nothing for a scalar.
+def with_json_text(rows: DataFrame, body: str, into: str, mode: str = "auto") -> DataFrame:
+    """Add ``key: value`` lines of an object, ``Item n: value`` lines of an array, nothing for a scalar.
 
     Null where the body is no valid JSON. Flat objects of strings and integers are read by ``from_json``;
     in ``auto`` mode the rest goes through the standard library's parser, in ``native`` mode it is null.
     """
-    fields = F.from_json(body, "map<string,string>", {"allowSingleQuotes": "false"})
-    keys = F.map_keys(fields)
-    flat = body.rlike(_FLAT_OBJECT) & ~body.rlike(_OTHER_VALUE)
-    native = F.array_join(
-        F.transform(F.map_entries(fields), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n"
-    )
-    readable = F.coalesce(flat & (F.size(keys) == F.size(F.array_distinct(keys))), F.lit(False))
-    if mode == "native":
-        return F.when(readable, native)
+    text = F.col(body)
     if mode == "arrow":
-        return _json_lines_arrow(body)
-    return F.when(readable, native).otherwise(_json_lines_arrow(F.when(~readable, body)))
+        return rows.withColumn(into, _json_lines_arrow(text))
+    if mode not in ("native", "auto"):
+        raise ValueError(f"unknown mode: {mode}")
+    flat = text.rlike(_FLAT_OBJECT) & ~text.rlike(_OTHER_VALUE)
+    fields = F.from_json(F.when(flat, text), "map<string,string>", {"allowSingleQuotes": "false"})
+    read = compute_once(rows, {"_fields": fields})
+    keys = F.map_keys("_fields")
+    lines = F.transform(F.map_entries("_fields"), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    unique = F.size(keys) == F.size(F.array_distinct(keys))
+    made = compute_once(read, {"_native": F.when(unique, F.array_join(lines, "\n"))}).drop("_fields")
+    native = F.col("_native")
+    if mode == "auto":
+        native = F.coalesce(native, _json_lines_arrow(F.when(native.isNull(), text)))
+    return made.withColumn(into, native).drop("_native")
 
 
 def csv_text(body: Column) -> Column:

@@ -16,6 +16,6 @@ def compute_once(rows: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
     sharing common parts, and a one-element ``inline`` hands them on within the same generated code.
     """
     kept = [name for name in rows.columns if name not in columns]
-    computed = rows.select(*kept, *[column.alias(f"_{name}") for name, column in columns.items()])
-    entry = F.struct(*[F.col(f"_{name}").alias(name) for name in columns])
+    computed = rows.select(*kept, *[column.alias(f"once:{name}") for name, column in columns.items()])
+    entry = F.struct(*[F.col(f"`once:{name}`").alias(name) for name in columns])
     return computed.select(*kept, F.inline(F.array(entry)))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from inkweave.functions import html, linearize, metrics, text, urls
 from inkweave.operators import assemble, chunking, joins, quality, splits, statistics, tasks
 from inkweave.plans.process import process_documents, quick_process
-from inkweave.session import scratch_path
+from inkweave.session import scratch_path, spread
 from inkweave.sinks import export
 from inkweave.sources import documents as docs
 from inkweave.sources import files, routing, web
@@ -33,7 +33,7 @@ def query(function: Query) -> Query:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
 
 
 # --- shapes of the given tables ---------------------------------------------------------------------------
@@ -147,14 +147,16 @@ def scan_markdown(spark, folder):
 
 @query
 def html_text(spark, folder):
-    return table(spark, folder, "pages").select("page_id", html.html_text(F.col("html")).alias("content"))
+    pages = html.with_html_text(table(spark, folder, "pages"), "html", "content")
+    return pages.select("page_id", "content")
 
 
 @query
 def json_lines_text(spark, folder):
     pair = F.concat(F.lit("["), F.col("user_id").cast("string"), F.lit(', "'), F.col("event_type"), F.lit('"]'))
     body = F.when(F.col("event_type") == "error", pair).otherwise(F.col("props"))
-    return table(spark, folder, "events").select("event_id", linearize.json_text(body).alias("content"))
+    bodies = table(spark, folder, "events").select("event_id", body.alias("body"))
+    return linearize.with_json_text(bodies, "body", "content").select("event_id", "content")
 
 
 @query
@@ -196,9 +198,8 @@ def assemble_parts(spark, folder):
 @query
 def extraction_fallback(spark, folder):
     """The page's title, or its main content where the title is short."""
-    staged = table(spark, folder, "pages").select(
-        "page_id", html.html_title(F.col("html")).alias("primary"), html.main_content(F.col("html")).alias("fallback")
-    )
+    titled = html.with_html_title(table(spark, folder, "pages"), "html", "primary")
+    staged = html.with_main_content(titled, "html", "fallback")
     chosen, tier = files.extraction_fallback(F.col("primary"), F.col("fallback"))
     return staged.select("page_id", chosen.alias("content"), tier.alias("tier"))
 
@@ -207,21 +208,21 @@ def extraction_fallback(spark, folder):
 def content_or_fallback(spark, folder):
     """Scraped text exists for secure addresses and is blank for the others."""
     pages = table(spark, folder, "pages")
-    scraped = pages.select(
-        "url", F.when(F.col("url").startswith("https:"), html.html_text(F.col("html"))).otherwise(F.lit(" ")).alias("content")
-    )
+    secure = F.col("url").startswith("https:")
+    read = html.with_html_text(pages.select("url", F.when(secure, F.col("html")).alias("page")), "page", "text")
+    scraped = read.select("url", F.coalesce("text", F.lit(" ")).alias("content"))
     made = web.content_or_fallback(pages, scraped, row_id="page_id")
     return made.select("page_id", "url", "content", "extraction_method")
 
 
 @query
 def main_content(spark, folder):
-    return table(spark, folder, "pages").select("page_id", html.main_content(F.col("html")).alias("content"))
+    return html.with_main_content(table(spark, folder, "pages"), "html", "content").select("page_id", "content")
 
 
 @query
 def page_title(spark, folder):
-    return table(spark, folder, "pages").select("page_id", web.page_title(F.col("html"), F.col("url")).alias("title"))
+    return web.with_page_title(table(spark, folder, "pages"), "html", "url", "title").select("page_id", "title")
 
 
 @query
@@ -311,7 +312,7 @@ def damaged_files(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def bulk_load(spark, folder):
-    loaded = files.FileLoader().load(damaged_files(spark, folder))
+    loaded = files.FileLoader().load(damaged_files(spark, folder), types=("txt",))
     good = loaded.documents.select("source", F.lit("loaded").alias("state"), F.lit("").alias("error_class"), "char_count")
     bad = loaded.quarantine.select(
         "source", F.lit("failed").alias("state"), "error_class", F.lit(0).cast("bigint").alias("char_count")
@@ -628,7 +629,7 @@ def load_report(spark, folder):
     rows = table(spark, folder, "documents")
     again = rows.join(labelled.distinct(), "doc_id", "left_semi").select(path_of(".txt").alias("source"))
     requested = rows.select(path_of(".txt").alias("source")).unionByName(again)
-    return routing.load_report(requested, files.FileLoader().load(damaged_files(spark, folder)).documents)
+    return routing.load_report(requested, files.FileLoader().load(damaged_files(spark, folder), types=("txt",)).documents)
 
 
 # --- splits and sinks -------------------------------------------------------------------------------------

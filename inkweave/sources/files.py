@@ -13,7 +13,8 @@ from pyspark.sql.types import StringType
 
 from inkweave import schemas
 from inkweave.functions import linearize, text, urls
-from inkweave.functions.html import html_text
+from inkweave.functions.html import with_html_text
+from inkweave.operators.staging import compute_once
 from inkweave.sources.documents import make_documents
 
 # How each file type's documents name the way they were read.
@@ -27,9 +28,6 @@ EXTRACTION_METHODS = {
     "pdf": "PDFLoader.pymupdf4llm",
 }
 
-TextRule = Callable[[DataFrame, Column], Column]
-
-
 def _any_case(suffix: str) -> str:
     return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix)
 
@@ -110,38 +108,46 @@ class FileLoader:
     html_mode: str = "auto"
     json_mode: str = "auto"
 
-    def extract(self, files: DataFrame) -> DataFrame:
-        """Add doc_type, decoded text, extracted content and the error class, null where all is well."""
-        kind = F.col("doc_type")
-        plain = F.col("plain")
-        typed = files.withColumn("doc_type", urls.document_type(F.col("path"))).withColumn(
-            "decoded", decode_strict(F.col("content"), self.encoding)
-        )
-        typed = typed.withColumn("plain", text.universal_newlines(F.col("decoded")))
-        readers = {
-            "txt": plain,
-            "md": plain,
-            "html": html_text(F.when(kind == "html", plain), self.html_mode),
-            "json": linearize.json_text(F.when(kind == "json", plain), self.json_mode),
-            "csv": linearize.csv_text(F.when(kind == "csv", F.col("decoded"))),
-        }
+    def extract(self, files: DataFrame, types: Iterable[str] = schemas.FILE_TYPES) -> DataFrame:
+        """Add doc_type, body (the extracted text) and error_class, null where all is well.
+
+        ``types`` are the file types that may turn up; without a type its reader is left out of the plan.
+        """
+        kind, path = F.col("doc_type"), F.col("path")
+        decoded = decode_strict(F.col("content"), self.encoding)
+        rows = compute_once(files, {"doc_type": urls.document_type(path), "decoded": decoded})
+        rows = rows.withColumn("plain", text.universal_newlines(F.col("decoded")))
+        readers = {t: F.col("plain") for t in ("txt", "md") if t in types}
+        if "html" in types:
+            rows = rows.withColumn("_page", F.when(kind == "html", F.col("plain")))
+            rows = with_html_text(rows, "_page", "_html", self.html_mode)
+            readers["html"] = F.col("_html")
+        if "json" in types:
+            rows = rows.withColumn("_body", F.when(kind == "json", F.col("plain")))
+            rows = linearize.with_json_text(rows, "_body", "_json", self.json_mode)
+            readers["json"] = F.col("_json")
+        if "csv" in types:
+            readers["csv"] = linearize.csv_text(F.when(kind == "csv", F.col("decoded")))
         parsed = {t: parse(F.when(kind == t, F.col("content"))) for t, parse in self.parsers.items()}
         body = F.lit(None).cast("string")
         for name, column in {**readers, **parsed}.items():
             body = F.when(kind == name, column).otherwise(body)
         needs_text = kind.isin(*[t for t in readers if t not in parsed])
         known = [*readers, *parsed]
-        return typed.withColumn("body", body).withColumn(
+        made = compute_once(rows, {"body": body}).withColumn(
             "error_class",
             F.when(kind.isNull() | (kind == "url"), F.lit("unsupported_format"))
             .when(~kind.isin(*known), F.lit("parser_missing"))
             .when(needs_text & F.col("decoded").isNull(), F.lit("malformed_encoding"))
             .when(F.col("body").isNull(), F.concat(F.lit("malformed_"), kind)),
         )
+        return made.select(*files.columns, "doc_type", "body", "error_class")
 
-    def load(self, files: DataFrame, mode: str = "permissive") -> LoadedFiles:
+    def load(
+        self, files: DataFrame, mode: str = "permissive", types: Iterable[str] = schemas.FILE_TYPES
+    ) -> LoadedFiles:
         """Permissive: unreadable files go to quarantine. Failfast: the first of them ends the job."""
-        extracted = self.extract(files)
+        extracted = self.extract(files, types)
         if mode == "failfast":
             failure = F.concat(F.lit("failed to load "), F.col("path"), F.lit(": "), F.col("error_class"))
             checked = F.when(F.col("error_class").isNull(), F.col("body")).otherwise(
@@ -153,9 +159,10 @@ class FileLoader:
             good = extracted.where(F.col("error_class").isNull())
         else:
             raise ValueError(f"unknown mode: {mode}")
-        return LoadedFiles(self._documents(good), quarantine_rows(extracted))
+        return LoadedFiles(self.documents(good), quarantine_rows(extracted))
 
-    def _documents(self, extracted: DataFrame) -> DataFrame:
+    def documents(self, extracted: DataFrame) -> DataFrame:
+        """The standard projection of extracted rows."""
         methods = F.create_map(*[F.lit(x) for pair in EXTRACTION_METHODS.items() for x in pair])
         return make_documents(
             extracted,
@@ -185,7 +192,7 @@ def quarantine_rows(extracted: DataFrame) -> DataFrame:
 def scan_text(files: DataFrame, encoding: str = "utf-8") -> DataFrame:
     """One document per plain-text or Markdown file; both keep their markup."""
     texts = files.where(urls.file_suffix(F.col("path")).isin("txt", "md"))
-    return FileLoader(encoding=encoding).load(texts).documents
+    return FileLoader(encoding=encoding).load(texts, types=("txt", "md")).documents
 
 
 def extraction_fallback(primary: Column, fallback: Column, minimum: int = 50) -> tuple[Column, Column]:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkweave.functions import text, urls
-from inkweave.functions.html import html_title, main_content
+from inkweave.functions.html import with_html_title, with_main_content
 from inkweave.operators.joins import hot_key_join
 from inkweave.sources.documents import make_documents
 
@@ -15,10 +15,11 @@ SCRAPED = "webLoader.Decodo.API"
 FETCHED = "webLoader.Fallback.HTTPX_BS4"
 
 
-def page_title(html: Column, url: Column, mode: str = "auto") -> Column:
-    """The page's title element where it has text, else a title made from the address."""
-    title = html_title(html, mode)
-    return F.when(F.coalesce(title, F.lit("")) != "", title).otherwise(urls.url_title(url))
+def with_page_title(rows: DataFrame, html: str, url: str, into: str, mode: str = "auto") -> DataFrame:
+    """Add the page's title element where it has text, else a title made from the address."""
+    titled = with_html_title(rows, html, "_title", mode)
+    given = F.nullif(F.col("_title"), F.lit(""))
+    return titled.withColumn(into, F.coalesce(given, urls.url_title(F.col(url)))).drop("_title")
 
 
 def content_or_fallback(pages: DataFrame, scraped: DataFrame, *, row_id: str, mode: str = "auto") -> DataFrame:
@@ -30,10 +31,14 @@ def content_or_fallback(pages: DataFrame, scraped: DataFrame, *, row_id: str, mo
     given = scraped.select("url", F.col("content").alias("scraped_text"))
     joined = hot_key_join(pages, given, on=["url"], salt_on=row_id, how="left")
     usable = F.coalesce(~text.is_blank(F.col("scraped_text")), F.lit(False))
-    page_only = F.when(~usable, F.col("html"))
-    return joined.withColumn(
-        "content", F.when(usable, F.col("scraped_text")).otherwise(main_content(page_only, mode))
-    ).withColumn("extraction_method", F.when(usable, F.lit(SCRAPED)).otherwise(F.lit(FETCHED)))
+    marked = joined.withColumn("_page", F.when(~usable, F.col("html")))
+    read = with_main_content(marked, "_page", "_main", mode)
+    return read.withColumns(
+        {
+            "content": F.when(usable, F.col("scraped_text")).otherwise(F.col("_main")),
+            "extraction_method": F.when(usable, F.lit(SCRAPED)).otherwise(F.lit(FETCHED)),
+        }
+    ).drop("_page", "_main")
 
 
 def web_documents(pages: DataFrame, mode: str = "auto") -> DataFrame:
@@ -42,19 +47,17 @@ def web_documents(pages: DataFrame, mode: str = "auto") -> DataFrame:
     The title is looked for in the extracted content, as that is all a loader hands on, so it is the
     address that names the document unless the text itself carries a title element.
     """
-    fetched = pages.withColumn("content", main_content(F.col("html"), mode)).withColumn(
-        "extraction_method", F.lit(FETCHED)
-    )
-    return documents_of_content(fetched, mode)
+    fetched = with_main_content(pages, "html", "content", mode)
+    return documents_of_content(fetched.withColumn("extraction_method", F.lit(FETCHED)), mode)
 
 
 def documents_of_content(pages: DataFrame, mode: str = "auto") -> DataFrame:
     """Documents of pages(url, content, extraction_method)."""
     return make_documents(
-        pages,
+        with_page_title(pages, "content", "url", "_named", mode),
         content=F.col("content"),
         source=F.col("url"),
-        title=page_title(F.col("content"), F.col("url"), mode),
+        title=F.col("_named"),
         doc_type=F.lit("url"),
         extraction_method=F.col("extraction_method"),
     )

@@ -62,4 +62,4 @@ def stream_documents(
 def streamed_documents(spark: SparkSession, output_path: str, loader: FileLoader | None = None) -> DataFrame:
     """The documents a stream has written so far, in the standard projection."""
     loaded = spark.read.parquet(output_path).where(F.col("state") == "loaded")
-    return (loader or FileLoader())._documents(loaded)
+    return (loader or FileLoader()).documents(loaded)
