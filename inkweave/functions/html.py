@@ -90,7 +90,7 @@ def _region(visible: Column) -> Column:
 def _region_odd(visible: Column, region: Column) -> Column:
     """True where the element that holds the content is nested, or empty, which may mean that it is not closed."""
     named = visible.rlike(r"(?i)<(?:article|main)\b")
-    return region.rlike(r"(?i)<(?:article|main|body)\b") & visible.rlike(r"(?i)<body\b") | (named & (region == ""))
+    return region.rlike(r"(?i)<(?:article|main|body)\b") | (named & (region == ""))
 
 
 def _native_main(region: Column) -> Column:

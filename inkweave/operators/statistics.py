@@ -135,5 +135,8 @@ def statistics_json(report: DataFrame) -> DataFrame:
     per_section = report.groupBy("section").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("values")
     )
-    nested = F.map_from_entries(F.array_sort(F.collect_list(F.struct("section", "values"))))
-    return per_section.agg(F.to_json(nested).alias("statistics"))
+    sections = [
+        F.first(F.when(F.col("section") == name, F.col("values")), ignorenulls=True).alias(name)
+        for name in ("documents", "datasets", "jobs", "quality")
+    ]
+    return per_section.agg(*sections).select(F.to_json(F.struct("*")).alias("statistics"))
