@@ -68,8 +68,9 @@ def _all_set(keys: Sequence[str]):
 def example_lineage(examples: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """Examples with the position of their chunk and the title, source and type of their document.
 
-    A chunk has at most one example per template, so the first join has no hot keys; a document may have
-    any number of chunks, so the second one is salted. Only narrow document columns are joined.
+    A document may have any number of examples, so that join is salted, and comes first, so that finding
+    the hot documents needs no join. A chunk has one example per template at most, so the chunk join is plain.
+    Only narrow columns are joined.
     """
     positions = chunks.select(
         F.col("id").alias("source_chunk_id"), "chunk_index", "start_index", "end_index"
@@ -80,5 +81,5 @@ def example_lineage(examples: DataFrame, chunks: DataFrame, documents: DataFrame
         F.col("source").alias("document_source"),
         "doc_type",
     )
-    placed = examples.join(positions, "source_chunk_id", "left")
-    return hot_key_join(placed, origins, on=["source_document_id"], salt_on="id", how="left")
+    titled = hot_key_join(examples, origins, on=["source_document_id"], salt_on="id", how="left")
+    return titled.join(positions, "source_chunk_id", "left")

@@ -295,7 +295,15 @@ def assemble_examples(
 
     Results that do not carry their chunk's text are joined to the chunks by id.
     """
-    done = results.where(F.col("status") == "completed")
+    items = example_items(results, chunks, dataset_id)
+    return items.where(F.col("status") == "completed").drop("status")
+
+
+def example_items(
+    results: DataFrame, chunks: DataFrame | None = None, dataset_id: Column | None = None
+) -> DataFrame:
+    """The results in the shape of examples, failed ones with them, and their status."""
+    done = results
     if "input_text" not in done.columns:
         if chunks is None:
             raise ValueError("results without input_text need their chunks")
@@ -311,8 +319,9 @@ def assemble_examples(
         F.col("input_chunk_id").alias("source_chunk_id"),
         "template_id",
         "quality_scores",
+        "status",
     )
-    return schemas.conform(named, schemas.EXAMPLE)
+    return schemas.conform(named, StructType([*schemas.EXAMPLE.fields, StructField("status", StringType())]))
 
 
 def task_errors(results: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from inkweave.operators.tasks import (
     RUNNER_CARRY,
     TaskRunner,
     TaskTemplate,
-    assemble_examples,
+    example_items,
     execute_tasks,
     templates_for,
 )
@@ -41,19 +41,30 @@ class ProcessedRun:
     documents: DataFrame
     chunks: DataFrame
     results: DataFrame
+    items: DataFrame
     examples: DataFrame
     rejected: DataFrame
 
+    def counts(self) -> DataFrame:
+        """Documents, and items by task type, outcome and whether they were kept: one pass over the items."""
+        documents = self.documents.agg(F.count(F.lit(1)).alias("n")).select(
+            F.lit("document").alias("what"), F.lit(None).cast("string").alias("task_type"), F.lit(False).alias("kept"), "n"
+        )
+        items = self.items.groupBy(F.col("status").alias("what"), "task_type", "kept").agg(F.count(F.lit(1)).alias("n"))
+        return documents.unionByName(items)
+
     def dataset(self) -> DataFrame:
-        """The dataset's row. Documents and examples are counted side by side and then folded into it."""
-        documents = self.documents.agg(F.count(F.lit(1)).alias("n")).select(F.lit("").alias("task_type"), "n")
-        examples = self.examples.groupBy("task_type").agg(F.count(F.lit(1)).alias("n"))
-        is_task = F.col("task_type") != ""
-        entries = F.collect_list(F.when(is_task, F.struct("task_type", "n")))
-        row = documents.unionByName(examples).agg(
+        """The dataset's row."""
+        kept = self.counts().where((F.col("what") == "document") | F.col("kept"))
+        per_task = kept.groupBy("task_type").agg(F.sum("n").alias("n"))
+        is_task = F.col("task_type").isNotNull()
+        row = per_task.agg(
             F.sum(F.when(~is_task, F.col("n"))).alias("document_count"),
             F.coalesce(F.sum(F.when(is_task, F.col("n"))), F.lit(0)).alias("total_examples"),
-            F.map_from_entries(F.array_sort(entries)).alias("task_type_counts"),
+            # One entry per task type.
+            F.map_from_entries(
+                F.array_sort(F.collect_list(F.when(is_task, F.struct("task_type", "n"))))
+            ).alias("task_type_counts"),
         )
         named = row.select(
             F.lit(self.dataset_id).alias("id"),
@@ -70,22 +81,17 @@ class ProcessedRun:
 
     def job(self) -> DataFrame:
         """The job's row: items in all, processed and failed. A rejected example still counts as processed."""
-        sides = [
-            self.documents.select(F.lit("document").alias("what")),
-            self.results.select(F.col("status").alias("what")),
-            self.examples.select(F.lit("example").alias("what")),
-        ]
-        counts = [s.groupBy("what").agg(F.count(F.lit(1)).alias("n")) for s in sides]
-
-        def total(*names: str):
-            return F.coalesce(F.sum(F.when(F.col("what").isin(*names), F.col("n"))), F.lit(0))
-
-        row = counts[0].unionByName(counts[1]).unionByName(counts[2]).agg(
-            total("document").alias("documents"),
-            total("completed", "failed").alias("total_items"),
-            total("completed").alias("processed_items"),
-            total("failed").alias("failed_items"),
-            total("example").alias("made"),
+
+        def total(condition):
+            return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+
+        what = F.col("what")
+        row = self.counts().agg(
+            total(what == "document").alias("documents"),
+            total(what != "document").alias("total_items"),
+            total(what == "completed").alias("processed_items"),
+            total(what == "failed").alias("failed_items"),
+            total(F.col("kept")).alias("made"),
         )
         gate = F.lit(str(self.quality_filter).lower())
         named = row.select(
@@ -157,10 +163,12 @@ def process_documents(
         results = documents.sparkSession.read.schema(results.schema).parquet(path)
 
     dataset_id = hashlib.md5(name.encode()).hexdigest()
-    examples = assemble_examples(results, dataset_id=F.lit(dataset_id))
-    judge = evaluator or Evaluator(templates=chosen)
-    evaluated = judge.evaluate(examples) if quality_filter else examples
-    kept, rejected = quality_gate(evaluated, quality_filter)
+    items = example_items(results, dataset_id=F.lit(dataset_id))
+    if quality_filter:
+        items = (evaluator or Evaluator(templates=chosen)).evaluate(items)
+    done = F.col("status") == "completed"
+    kept, rejected = quality_gate(items.where(done), quality_filter)
+    items = items.withColumn("kept", done & (F.col("passed") if quality_filter else F.lit(True)))
     return ProcessedRun(
         dataset_id=dataset_id,
         name=name,
@@ -169,6 +177,7 @@ def process_documents(
         documents=documents,
         chunks=chunks,
         results=results,
+        items=items,
         examples=schemas.conform(kept, schemas.EXAMPLE),
         rejected=rejected,
     )
