@@ -19,9 +19,8 @@ def diversity(tokens: Column) -> Column:
     return _share(F.size(F.array_distinct(tokens)), F.size(tokens))
 
 
-def coherence(text: Column) -> Column:
-    """Distinct lines over all lines, blank lines aside."""
-    lines = filled_lines(text)
+def coherence(lines: Column) -> Column:
+    """Distinct lines over all lines; of lines as ``filled_lines`` gives them."""
     return _share(F.size(F.array_distinct(lines)), F.size(lines))
 
 
@@ -49,4 +48,4 @@ def bias(tokens: Column, listed: Sequence[str]) -> Column:
     return word_share(tokens, listed)
 
 
-__all__ = ["bias", "coherence", "diversity", "relevance", "toxicity", "word_share", "words"]
+__all__ = ["bias", "coherence", "diversity", "filled_lines", "relevance", "toxicity", "word_share", "words"]

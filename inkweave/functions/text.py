@@ -18,7 +18,13 @@ _WORD = r"(?U)[^\s\x1c-\x1f]+"
 _LINE_END = r"\r\n|[\n-\r\x1c-\x1e\x85\u2028\u2029]"
 _SEPARATORS = r"[ \n-\r\x1c-\x1e\x85\u2028\u2029]"
 _OTHER_WHITESPACE = r"[\t\x1f\xa0\u1680\u2000-\u200a\u202f\u205f\u3000]"
-_FOLD = rf"(?U){_OTHER_WHITESPACE}*+{_SEPARATORS}[\s\x1c-\x1f]*+"
+_ANY_WHITESPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# Most characters are no whitespace, and fail two cheap classes: the frequent separators one by one, then
+# whatever may open a run of the rarer kinds.
+_FOLD = (
+    rf"[ \n\x0b\f\r\x1c\x1d\x1e\x85]{_ANY_WHITESPACE}*+"
+    rf"|(?=[\t\x1f\xa0\u1680-\u3000]){_OTHER_WHITESPACE}*+{_SEPARATORS}{_ANY_WHITESPACE}*+"
+)
 _CASED_RUNS = r"[\p{IsUppercase}\p{IsLowercase}\p{Lt}]+|[^\p{IsUppercase}\p{IsLowercase}\p{Lt}]+"
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkweave.functions import metrics
-from inkweave.functions.text import words
+from inkweave.functions.text import filled_lines, words
 from inkweave.operators.staging import compute_once
 from inkweave.operators.tasks import TEMPLATES, TaskTemplate
 from inkweave.schemas import QUALITY_METRICS
@@ -91,14 +91,18 @@ class Evaluator:
     def score(self, examples: DataFrame, label: Column | None = None) -> DataFrame:
         """Fill quality_scores; scores an example already carries stand."""
         tokenized = examples.withColumns(
-            {"_in": words(F.col("input_text")), "_out": words(F.col("output_text"))}
+            {
+                "_in": words(F.col("input_text")),
+                "_out": words(F.col("output_text")),
+                "_lines": filled_lines(F.col("output_text")),
+            }
         )
         out = F.col("_out")
         scores = {
             "toxicity": metrics.toxicity(out, self.toxic_words, label),
             "bias": metrics.bias(out, self.biased_words),
             "diversity": metrics.diversity(out),
-            "coherence": metrics.coherence(F.col("output_text")),
+            "coherence": metrics.coherence(F.col("_lines")),
             "relevance": metrics.relevance(F.col("_in"), out),
             **{name: rule(F.col("input_text"), F.col("output_text")) for name, rule in self.extra.items()},
         }
@@ -108,7 +112,7 @@ class Evaluator:
         fresh = score_map({name: F.col(f"score_{name}") for name in scores})
         fresh = F.map_filter(fresh, lambda metric, _: ~F.map_contains_key(carried, metric))
         merged = F.map_concat(carried, fresh)
-        return measured.withColumn("quality_scores", merged).drop("_in", "_out", *measures)
+        return measured.withColumn("quality_scores", merged).drop("_in", "_out", "_lines", *measures)
 
     def evaluate(self, examples: DataFrame, label: Column | None = None) -> DataFrame:
         """Add quality_scores, passed and reasons."""

@@ -468,7 +468,10 @@ LISTED_WORDS = ("that", "und", "les", "the", "que")
 
 def _metric(name: str, measure: Callable[[], Column]) -> None:
     def run(spark, folder):
-        tokenized = table(spark, folder, "documents").select("doc_id", "text", text.words(F.col("text")).alias("tokens"))
+        body = F.col("text")
+        tokenized = table(spark, folder, "documents").select(
+            "doc_id", text.words(body).alias("tokens"), text.filled_lines(body).alias("lines")
+        )
         return tokenized.select("doc_id", F.round(measure(), 9).alias("score"))
 
     run.__name__ = name
@@ -476,7 +479,7 @@ def _metric(name: str, measure: Callable[[], Column]) -> None:
 
 
 _metric("metric_diversity", lambda: metrics.diversity(F.col("tokens")))
-_metric("metric_coherence", lambda: metrics.coherence(F.col("text")))
+_metric("metric_coherence", lambda: metrics.coherence(F.col("lines")))
 _metric("metric_bias", lambda: metrics.bias(F.col("tokens"), LISTED_WORDS))
 
 

@@ -157,7 +157,7 @@ def test_csv_text(value, body, lines):
 def test_metrics(value):
     assert value(lambda t: metrics.diversity(text.words(t)), t="A a b c") == 0.75
     assert value(lambda t: metrics.diversity(text.words(t)), t=" ") is None
-    assert value(metrics.coherence, t="x\n\nx \r\ny") == 2 / 3
+    assert value(lambda t: metrics.coherence(text.filled_lines(t)), t="x\n\nx \r\ny") == 2 / 3
     assert value(lambda a, b: metrics.relevance(text.words(a), text.words(b)), a="the cat", b="the Cat sat sat") == 2 / 3
     assert value(lambda t: metrics.bias(text.words(t), ["Bad"]), t="bad good bad ok") == 0.5
     assert value(lambda t: metrics.toxicity(text.words(t), ["bad"], F.lit(1)), t="fine") == 1.0
