@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkweave.plans.process import quick_process
+from inkweave.session import shared_folder
 from inkweave.sinks import export
 from inkweave.sources import routing
 from inkweave.sources.files import FileLoader, extraction_fallback, scan_directory
@@ -197,3 +198,18 @@ def test_quick_process(spark, folder, tmp_path):
     out = str(tmp_path / "data")
     run = quick_process(spark, folder, out, ["summarization"], ledger_path=str(tmp_path / "ledger"))
     assert export.read_jsonl(spark, out).count() == run.examples.count() > 0
+
+
+class _Session:
+    """Just what the shared folder is looked up from."""
+
+    def __init__(self, master, folder):
+        self.conf = {"spark.checkpoint.dir": folder} if folder else {}
+        self.sparkContext = type("Context", (), {"master": master})
+
+
+def test_shared_folder():
+    assert shared_folder(_Session("yarn", "hdfs:///shared/")) == "hdfs:///shared"
+    assert shared_folder(_Session("local[2]", None)) == shared_folder(_Session("local[2]", None))
+    with pytest.raises(ValueError):
+        shared_folder(_Session("yarn", None))
