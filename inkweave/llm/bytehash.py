@@ -43,6 +43,15 @@ class Texts:
     def __len__(self) -> int:
         return len(self.offsets) - 1
 
+    def pieces(self, most: int) -> Iterator[tuple[int, Texts]]:
+        """Whole texts in pieces of about ``most`` bytes, each with its first text's number: arrays that fit in a cache."""
+        sizes = np.diff(self.offsets)
+        piece = (np.cumsum(sizes) - sizes) // most
+        cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(sizes)] if len(sizes) else []
+        for begin, end in zip(cuts, cuts[1:], strict=False):
+            at = self.offsets[begin : end + 1]
+            yield begin, Texts(self.data[at[0] : at[-1]], at - at[0])
+
     def lower(self) -> Texts:
         """A-Z in lower case; all other bytes unchanged."""
         return Texts(_LOWER[self.data], self.offsets)

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkweave.llm import substring_dedup
+from inkweave.llm import substring_dedup, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,3 +51,12 @@ SELECT s.doc_id, CAST(len(s.w) AS BIGINT) AS n_words, CAST(coalesce(len(g.places
         END, ' ')) AS kept_sha256
 FROM said s LEFT JOIN gone g USING (doc_id)
 """
+
+
+@query
+def op3_suffix_array_dedup(spark, folder):
+    cut = suffix_dedup.remove_repeated_bytes(table(spark, folder, "documents"), length=50)
+    return cut.select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("span_starts").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
