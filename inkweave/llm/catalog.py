@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkweave.llm import substring_dedup, suffix_dedup
+from inkweave.llm import language_id, near_dedup, quality_trees, substring_dedup, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,3 +60,32 @@ def op3_suffix_array_dedup(spark, folder):
         F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("span_starts").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query
+def op5_minhash_near_dedup(spark, folder):
+    found = near_dedup.near_duplicates(table(spark, folder, "documents"), shingle=2, percent=80)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+def class_of(modulus: int) -> Column:
+    """The checksum class of a document: classes are told apart before anything is learned."""
+    return F.crc32(F.col("doc_id").cast("string")) % modulus
+
+
+@query
+def op6_quality_trees(spark, folder):
+    documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = quality_trees.train(documents, labels, class_of(4) != 2)
+    held_out = documents.select("doc_id", "text", F.coalesce(class_of(4) == 2, F.lit(False)).alias("held_out"))
+    scored = quality_trees.score(held_out, model, also=("held_out",))
+    return scored.select(F.col("id").alias("doc_id"), "held_out", "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+@query
+def op10_language_id(spark, folder):
+    documents = table(spark, folder, "documents")
+    model = language_id.train(documents, class_of(3) != 1)
+    found = language_id.identify(documents, model)
+    held_out = F.coalesce(F.crc32(F.col("id").cast("string")) % 3 == 1, F.lit(False))
+    return found.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "lang_pred", "score", "rejected")
