@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkweave.llm import language_id, near_dedup, quality_trees, substring_dedup, suffix_dedup
+from inkweave.llm import decontamination, language_id, near_dedup, quality_trees, substring_dedup, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,3 +89,41 @@ def op10_language_id(spark, folder):
     found = language_id.identify(documents, model)
     held_out = F.coalesce(F.crc32(F.col("id").cast("string")) % 3 == 1, F.lit(False))
     return found.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op8_benchmark_decontamination(spark, folder):
+    found = decontamination.find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), window=10)
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+ORACLE["op8_benchmark_decontamination"] = r"""
+WITH said AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), asked AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), windows AS (
+    SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[pos:pos + 9], ' ') AS phrase
+    FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS pos FROM asked WHERE len(w) > 0)
+), lengths AS (
+    SELECT DISTINCT n FROM windows
+), spots AS (
+    SELECT doc_id, n, pos, array_to_string(w[pos:pos + n - 1], ' ') AS phrase
+    FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS pos FROM said, lengths WHERE len(w) >= n)
+), hits AS (
+    SELECT s.doc_id, s.pos, s.n, h.item_id FROM spots s JOIN windows h ON s.n = h.n AND s.phrase = h.phrase
+), covered AS (
+    SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS p FROM hits) GROUP BY doc_id
+), named AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY doc_id
+)
+SELECT s.doc_id, CAST(len(s.w) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(n.n_items, 0) AS n_items,
+    sha256(coalesce(n.items, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM said s LEFT JOIN covered c USING (doc_id) LEFT JOIN named n USING (doc_id)
+"""

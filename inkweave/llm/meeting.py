@@ -9,6 +9,7 @@ batches and buckets follow the size of the input, so no task's share grows with
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,19 +21,53 @@ BUCKET_BYTES = 8 << 20
 #: Stands for a document without an id: after all ids, and no repeat of another document without one.
 NO_ID = np.iinfo(np.int64).max
 
-KEY_BITS, OWNER_BITS = 40, 22
+#: Bits of a short key beyond those of the input's size: one key in hundreds then answers to another by chance.
+SPARE_BITS = 7
+
+
+@dataclass(frozen=True)
+class Plan:
+    """How keys are sent: to how many buckets, and in how many bits; both follow the bytes of text."""
+
+    buckets: int
+    bits: int
+
+    def short(self, hashes: np.ndarray) -> np.ndarray:
+        """Short keys of hashes: equal hashes have equal keys, and an answer only selects what is looked at exactly."""
+        return hashes >> np.uint64(64 - self.bits)
+
+    def bucket_of(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) // np.uint64(-(-(1 << self.bits) // self.buckets))).astype(np.int64)
+
+    def cuts(self, ascending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets that ascending keys touch, and where each begins (one more cut at the end)."""
+        bucket = self.bucket_of(ascending)
+        begins = np.flatnonzero(np.diff(bucket, prepend=-1))
+        return bucket[begins], np.append(begins, len(ascending))
+
+
+def planned(size: int, least: int, bytes_per_bucket: int = BUCKET_BYTES) -> Plan:
+    return Plan(max(least, -(-size // bytes_per_bucket)), min(56, max(32, size.bit_length() + SPARE_BITS)))
+
 SENT = "bucket long, batch long, keys binary"
 FOUND = "batch long, bucket long, keys binary"
 
 
-def batched(documents: DataFrame, id_col: str, text_col: str, parts: int | None = None) -> tuple[DataFrame, int]:
-    """(id, text, batch) rows, and the number of buckets; both numbers follow the bytes of text."""
+def batched(documents: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Plan]:
+    """(id, text, batch) rows, and how their keys are sent; the number of batches follows the bytes of text too."""
     spark = documents.sparkSession
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    least = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    batches, buckets = max(least, -(-size // BATCH_BYTES)), max(least, -(-size // BUCKET_BYTES))
-    return rows.withColumn("batch", F.pmod(F.xxhash64(F.coalesce("id", F.lit(NO_ID))), F.lit(batches))), buckets
+    batches = max(least, -(-size // BATCH_BYTES))
+    return rows.withColumn("batch", F.pmod(F.xxhash64(F.coalesce("id", F.lit(NO_ID))), F.lit(batches))), planned(size, least)
+
+
+def run_starts(ascending: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    new = np.ones(len(ascending), bool)
+    new[1:] = ascending[1:] != ascending[:-1]
+    return np.flatnonzero(new)
 
 
 def ids_of(table: pa.Table) -> np.ndarray:
@@ -50,39 +85,25 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view("<u8"), dtype=np.uint64)
 
 
-def bucket_cuts(sorted_keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets that the ascending short keys touch, and where each begins (one more cut at the end)."""
-    bucket = bucket_of(sorted_keys, buckets)
-    begins = np.flatnonzero(np.diff(bucket, prepend=-1))
-    return bucket[begins], np.append(begins, len(sorted_keys))
-
-
-def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return (keys.astype(np.uint64) // np.uint64(-(-(1 << KEY_BITS) // buckets))).astype(np.int64)
-
-
-def short(hashes: np.ndarray) -> np.ndarray:
-    """Short keys of full hashes: equal hashes have equal keys, and the answer only selects what is looked at exactly."""
-    return hashes >> np.uint64(64 - KEY_BITS)
-
-
-def send_keys(batch: int, keys: np.ndarray, owner: np.ndarray, indexed: np.ndarray | bool, buckets: int) -> pa.Table:
+def send_keys(batch: int, hashes: np.ndarray, owner: np.ndarray, indexed: np.ndarray | bool, plan: Plan) -> pa.Table:
     """One row per bucket: distinct short keys with two marks, is it indexed here and do several documents hold it."""
-    owners = np.unique(owner, return_inverse=True)[1] if len(owner) else owner
-    if len(owners) and owners.max() >= 1 << OWNER_BITS:
-        raise ValueError("a batch holds too many documents for one exchange")
-    packed = (keys << np.uint64(OWNER_BITS + 1)) | (owners.astype(np.uint64) << np.uint64(1)) | np.asarray(indexed, np.uint64)
-    packed.sort()
-    held = packed >> np.uint64(OWNER_BITS + 1)
-    begins = np.flatnonzero(np.diff(held, prepend=np.uint64(1 << 50)) != 0) if len(held) else np.zeros(0, np.int64)
     rows = {"bucket": [], "batch": [], "keys": []}
-    if len(begins):
-        ends = np.append(begins[1:], len(held)) - 1
-        several = (packed[begins] ^ packed[ends]) >> np.uint64(1) != 0
-        index = np.bitwise_or.reduceat(packed & np.uint64(1), begins)
-        distinct = held[begins]
-        marked = (distinct << np.uint64(2)) | (several.astype(np.uint64) << np.uint64(1)) | index
-        which, cuts = bucket_cuts(distinct, buckets)
+    if len(hashes):
+        keys, index = plan.short(hashes), np.broadcast_to(np.asarray(indexed, np.uint64), len(hashes))
+        width = int(owner.max()).bit_length()
+        if plan.bits + width + 1 <= 64:  # one sort of packed numbers
+            packed = (keys << np.uint64(width + 1)) | (owner.astype(np.uint64) << np.uint64(1)) | index
+            packed.sort()
+            keys, owner, index = packed >> np.uint64(width + 1), packed >> np.uint64(1), packed & np.uint64(1)
+        else:
+            order = np.lexsort((owner, keys))
+            keys, owner, index = keys[order], owner[order], index[order]
+        begins = run_starts(keys)
+        ends = np.append(begins[1:], len(keys)) - 1
+        several = (owner[begins] != owner[ends]).astype(np.uint64)
+        distinct = keys[begins]
+        marked = (distinct << np.uint64(2)) | (several << np.uint64(1)) | np.bitwise_or.reduceat(index, begins)
+        which, cuts = plan.cuts(distinct)
         for number, begin, end in zip(which.tolist(), cuts, cuts[1:], strict=False):
             rows["bucket"].append(number)
             rows["batch"].append(batch)
@@ -99,7 +120,7 @@ def _meet(table: pa.Table) -> pa.Table:
     marked = np.concatenate(parts)
     order = np.argsort(marked >> np.uint64(2), kind="stable")
     keys = (marked >> np.uint64(2))[order]
-    begins = np.flatnonzero(np.diff(keys, prepend=np.uint64(1 << 50)) != 0)
+    begins = run_starts(keys)
     counts = np.diff(np.append(begins, len(keys)))
     # A batch sends a key once, so two entries are two batches, and these hold different documents.
     marks = np.bitwise_or.reduceat(marked[order], begins)
@@ -143,6 +164,11 @@ _CLAIMS = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), *((n, pa.bin
 _FIRSTS = pa.schema([("batch", pa.int64()), *((n, pa.binary()) for n in ("high", "low", "least"))])
 
 
+# Keys of 96 bits: the high 64 and the low 32 of a second hash. Two keys of a hundred billion are equal by chance once
+# in millions of runs.
+_HALVES = (("high", "<u8"), ("low", "<u4"))
+
+
 def distinct_pairs(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order by both halves of the hashes, where runs of equal ones begin, and the run of each entry."""
     order = np.lexsort((low, high))
@@ -154,16 +180,16 @@ def distinct_pairs(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.nd
     return order, np.flatnonzero(new), run
 
 
-def claim(batch: int, high: np.ndarray, low: np.ndarray, ids: np.ndarray, buckets: int) -> pa.Table:
-    """A batch's distinct 128-bit keys with the least and greatest id of the documents that hold them."""
+def claim(batch: int, high: np.ndarray, low: np.ndarray, ids: np.ndarray, plan: Plan) -> pa.Table:
+    """A batch's distinct keys with the least id of a document holding it, and the distance to the greatest."""
     rows = {n: [] for n in _CLAIMS.names}
     if len(high):
         order, begins, _ = distinct_pairs(high, low)
         least, most = np.minimum.reduceat(ids[order], begins), np.maximum.reduceat(ids[order], begins)
         first = order[begins]
-        which, cuts = bucket_cuts(short(high[first]), buckets)
+        which, cuts = plan.cuts(plan.short(high[first]))
         for number, a, b in zip(which.tolist(), cuts, cuts[1:], strict=False):
-            values = (number, batch, high[first[a:b]], low[first[a:b]], least[a:b], most[a:b])
+            values = (number, batch, high[first[a:b]], low[first[a:b]], least[a:b], (most - least)[a:b])
             for name, value in zip(_CLAIMS.names, values, strict=True):
                 rows[name].append(value.tobytes() if isinstance(value, np.ndarray) else value)
     return pa.table(rows, _CLAIMS)
@@ -172,7 +198,7 @@ def claim(batch: int, high: np.ndarray, low: np.ndarray, ids: np.ndarray, bucket
 def _first(table: pa.Table) -> pa.Table:
     """Answers each batch with those of its keys that a document before the batch's last holder holds."""
     batches = table["batch"].to_pylist()
-    kinds = (("high", "<u8"), ("low", "<u8"), ("least", "<i8"), ("most", "<i8"))
+    kinds = (*_HALVES, ("least", "<i8"), ("most", "<i8"))
     columns = {n: [np.frombuffer(x, t) for x in table[n].to_pylist()] for n, t in kinds}
     lengths = [len(x) for x in columns["high"]]
     high, low, least, most = (np.concatenate(columns[n]) for n, _ in kinds)
@@ -181,7 +207,7 @@ def _first(table: pa.Table) -> pa.Table:
     rows, end = {n: [] for n in _FIRSTS.names}, 0
     for batch, length in zip(batches, lengths, strict=True):
         begin, end = end, end + length
-        at = np.flatnonzero(first[begin:end] < most[begin:end]) + begin
+        at = np.flatnonzero(first[begin:end] < (least + most)[begin:end]) + begin
         if len(at):
             for name, value in zip(_FIRSTS.names, (batch, high[at].tobytes(), low[at].tobytes(), first[at].tobytes()), strict=True):
                 rows[name].append(value)
@@ -197,7 +223,7 @@ def least_ids(answers: pa.Table, high: np.ndarray, low: np.ndarray) -> np.ndarra
     """For each key, the least id of a document that holds it as answered, or NO_ID where nothing was answered."""
     least = np.full(len(high), NO_ID, np.int64)
     if answers.num_rows and len(high):
-        known = [np.concatenate([np.frombuffer(x, t) for x in answers[n].to_pylist()]) for n, t in (("high", "<u8"), ("low", "<u8"), ("least", "<i8"))]
+        known = [np.concatenate([np.frombuffer(x, t) for x in answers[n].to_pylist()]) for n, t in (*_HALVES, ("least", "<i8"))]
         order = np.argsort(known[0])
         known = [x[order] for x in known]
         likely = np.flatnonzero(contained(high, known[0]))

@@ -154,21 +154,21 @@ def _class_keys(table: pa.Table) -> np.ndarray:
     return lookup_keys(np.frombuffer(raw, np.uint16).reshape(-1, VALUES))
 
 
-def _send_lookups(table: pa.Table, buckets: int) -> pa.Table:
+def _send_lookups(table: pa.Table, plan: meeting.Plan) -> pa.Table:
     keys = _class_keys(table)
     owner = np.repeat(np.arange(len(keys)), keys.shape[1])
-    return meeting.send_keys(table["batch"][0].as_py(), meeting.short(keys.ravel()), owner, True, buckets)
+    return meeting.send_keys(table["batch"][0].as_py(), keys.ravel(), owner, True, plan)
 
 
 _SHARED = "key long, class long, n long, shared int"
 _SHARED_ARROW = pa.schema([("key", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("shared", pa.int32())])
 
 
-def _shared_lookups(table: pa.Table, answers: pa.Table) -> pa.Table:
+def _shared_lookups(table: pa.Table, answers: pa.Table, plan: meeting.Plan) -> pa.Table:
     if not table.num_rows or not answers.num_rows:
         return _SHARED_ARROW.empty_table()
     keys = _class_keys(table)
-    hit = meeting.contained(meeting.short(keys.ravel()), meeting.found_keys(answers)).reshape(keys.shape)
+    hit = meeting.contained(plan.short(keys.ravel()), meeting.found_keys(answers)).reshape(keys.shape)
     row, _ = np.nonzero(hit)
     shared = hit.sum(axis=1).astype(np.int32)
     return pa.Table.from_arrays(
@@ -188,8 +188,9 @@ def _links(classes: DataFrame, rows: DataFrame, shingle: int, percent: int) -> D
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     batches = max(parts, -(-classes.count() // 4096))
     grouped = classes.select("class", "n", "signature", F.pmod(F.xxhash64("class"), F.lit(batches)).alias("batch"))
-    sent = meeting.by_batch(grouped, _send_lookups, meeting.SENT, buckets=batches)
-    shared = written(meeting.by_batch(grouped, _shared_lookups, _SHARED, meeting.shared_keys(sent)), "lookups")
+    plan = meeting.Plan(batches, min(56, max(32, (batches * 4096 * VALUES).bit_length() + meeting.SPARE_BITS)))
+    sent = meeting.by_batch(grouped, _send_lookups, meeting.SENT, plan=plan)
+    shared = written(meeting.by_batch(grouped, _shared_lookups, _SHARED, meeting.shared_keys(sent), plan=plan), "lookups")
 
     # the hubs of a key: its least class, and the one that shares most keys, as an unchanged original does
     hubs = shared.groupBy("key").agg(

@@ -2,7 +2,7 @@
 
 Every document's non-overlapping blocks of words are indexed, and every rolling window of the same length probes
 them. Any repeat of ``window`` words holds a whole block of the document that it repeats, if a block has
-``(window + 1) // 2`` words, so no repeat is missed. Windows around a hit are then compared by 128-bit hashes: a hit
+``(window + 1) // 2`` words, so no repeat is missed. Windows around a hit are then compared by 96-bit hashes: a hit
 grows word by word to the maximal exact repeat, which is the union of the repeated windows. Blocks and windows meet
 in packed exchanges (meeting.py), never as pairs of documents, so a passage that a million documents share costs one
 entry per batch.
@@ -37,11 +37,11 @@ def remove_repeats(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
     """
     if window < 2:
         raise ValueError("a window takes two words at least")
-    rows, buckets = meeting.batched(documents, id_col, text_col)
+    rows, plan = meeting.batched(documents, id_col, text_col)
     block = (window + 1) // 2
-    sent = meeting.by_batch(rows, _blocks, meeting.SENT, block=block, buckets=buckets)
+    sent = meeting.by_batch(rows, _blocks, meeting.SENT, block=block, plan=plan)
     hits = meeting.shared_keys(sent)
-    claimed = meeting.by_batch(rows, _claims, meeting.CLAIMED, hits, block=block, window=window, buckets=buckets)
+    claimed = meeting.by_batch(rows, _claims, meeting.CLAIMED, hits, block=block, window=window, plan=plan)
     first = meeting.first_holders(claimed)
     return meeting.by_batch(rows, _cut, _CUT, first, window=window)
 
@@ -54,34 +54,34 @@ def _hashed(texts: Texts, length: int, rolling: RollingHash):
     return found, hashes, inside
 
 
-def _blocks(table: pa.Table, block: int, buckets: int) -> pa.Table:
+def _blocks(table: pa.Table, block: int, plan: meeting.Plan) -> pa.Table:
     found, hashes, inside = _hashed(Texts.of(table["text"]), block, _ONE)
     at = np.flatnonzero(inside)
     owner = found.owner[at]
     aligned = (at - found.first[owner]) % block == 0
     ids = np.unique(meeting.ids_of(table), return_inverse=True)[1]
-    return meeting.send_keys(table["batch"][0].as_py(), meeting.short(hashes[at]), ids[owner], aligned, buckets)
+    return meeting.send_keys(table["batch"][0].as_py(), hashes[at], ids[owner], aligned, plan)
 
 
 def _both(texts: Texts, window: int):
     found, high, inside = _hashed(texts, window, _ONE)
     low = _TWO.windows(_TWO.spans(texts.data, found.starts, found.ends), window)
-    return found, high, low, inside
+    return found, high, (low >> np.uint64(32)).astype(np.uint32), inside
 
 
-def _claims(table: pa.Table, hits: pa.Table, block: int, window: int, buckets: int) -> pa.Table:
+def _claims(table: pa.Table, hits: pa.Table, block: int, window: int, plan: meeting.Plan) -> pa.Table:
     if not table.num_rows or not hits.num_rows:
-        return meeting.claim(0, np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), buckets)
+        return meeting.claim(0, np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64), plan)
     texts = Texts.of(table["text"])
     _, blocks, whole = _hashed(texts, block, _ONE)
-    hit = whole & meeting.contained(meeting.short(blocks), meeting.found_keys(hits))
+    hit = whole & meeting.contained(plan.short(blocks), meeting.found_keys(hits))
     found, high, low, inside = _both(texts, window)
     # a window is looked at if one of its blocks is hit
     before = np.concatenate([[0], np.cumsum(hit)])
     n, span = len(high), window - block + 1
     near = inside & (before[span : span + n] > before[:n])
     ids = meeting.ids_of(table)[found.owner[:n]]
-    return meeting.claim(table["batch"][0].as_py(), high[near], low[near], ids[near], buckets)
+    return meeting.claim(table["batch"][0].as_py(), high[near], low[near], ids[near], plan)
 
 
 def _cut(table: pa.Table, answers: pa.Table, window: int) -> pa.Table:

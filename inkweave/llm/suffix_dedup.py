@@ -58,13 +58,13 @@ def remove_repeated_bytes(documents: DataFrame, *, id_col: str = "doc_id", text_
     if length < 4:
         raise ValueError("a string takes four bytes at least")
     core = (length + 1) // 2 - 1
-    rows, buckets = meeting.batched(documents, id_col, text_col)
+    rows, plan = meeting.batched(documents, id_col, text_col)
     shape = {"core": core, "length": length}
-    sent = meeting.by_batch(rows, _send_cores, meeting.SENT, buckets=buckets, **shape)
+    sent = meeting.by_batch(rows, _send_cores, meeting.SENT, plan=plan, **shape)
     shared = meeting.shared_keys(sent)
-    runs = meeting.by_batch(rows, _send_runs, _RUNS_SQL, shared, buckets=buckets, **shape)
+    runs = meeting.by_batch(rows, _send_runs, _RUNS_SQL, shared, plan=plan, **shape)
     told = runs.groupBy("bucket").applyInArrow(lambda table: _merge_runs(table, core, length), _TOLD_SQL)
-    answers = meeting.by_batch(rows, _cut, _CUT_SQL, _with_cores(shared, told), buckets=buckets, **shape)
+    answers = meeting.by_batch(rows, _cut, _CUT_SQL, _with_cores(shared, told), plan=plan, **shape)
     return answers
 
 
@@ -122,19 +122,19 @@ def _anchors_of(texts: Texts, core: int, length: int) -> tuple[np.ndarray, np.nd
     return begin, last, at, hashes[at]
 
 
-def _send_cores(table: pa.Table, core: int, length: int, buckets: int) -> pa.Table:
+def _send_cores(table: pa.Table, core: int, length: int, plan: meeting.Plan) -> pa.Table:
     anchors = Anchors(Texts.of(table["text"]), core, length)
     ids = np.unique(meeting.ids_of(table), return_inverse=True)[1]
-    return meeting.send_keys(table["batch"][0].as_py(), meeting.short(anchors.key), ids[anchors.owner], True, buckets)
+    return meeting.send_keys(table["batch"][0].as_py(), anchors.key, ids[anchors.owner], True, plan)
 
 
 # --- runs of sorted suffixes --------------------------------------------------------------------------------
 
 
-def _suffixes(texts: Texts, anchors: Anchors, keys: np.ndarray, length: int, buckets: int):
+def _suffixes(texts: Texts, anchors: Anchors, keys: np.ndarray, length: int, plan: meeting.Plan):
     """The shared anchors by bucket: their numbers, their suffixes, and the distinct suffixes in order."""
-    chosen = np.flatnonzero(meeting.contained(meeting.short(anchors.key), keys))
-    bucket = meeting.bucket_of(meeting.short(anchors.key[chosen]), buckets)
+    chosen = np.flatnonzero(meeting.contained(plan.short(anchors.key), keys))
+    bucket = plan.bucket_of(plan.short(anchors.key[chosen]))
     chosen = chosen[np.argsort(bucket, kind="stable")]
     bucket = np.sort(bucket)
     raw = texts.data.tobytes()
@@ -145,14 +145,14 @@ def _suffixes(texts: Texts, anchors: Anchors, keys: np.ndarray, length: int, buc
         yield int(bucket[a]), chosen[a:b], texts_of, sorted(set(texts_of))
 
 
-def _send_runs(table: pa.Table, answers: pa.Table, core: int, length: int, buckets: int) -> pa.Table:
+def _send_runs(table: pa.Table, answers: pa.Table, core: int, length: int, plan: meeting.Plan) -> pa.Table:
     rows = {n: [] for n in _RUNS.names}
     if table.num_rows and answers.num_rows:
         texts = Texts.of(table["text"])
         anchors = Anchors(texts, core, length)
         ids = meeting.ids_of(table)
         batch = table["batch"][0].as_py()
-        for bucket, numbers, suffixes, distinct in _suffixes(texts, anchors, meeting.found_keys(answers), length, buckets):
+        for bucket, numbers, suffixes, distinct in _suffixes(texts, anchors, meeting.found_keys(answers), length, plan):
             place = {s: i for i, s in enumerate(distinct)}
             item = np.fromiter((place[s] for s in suffixes), np.int64, len(suffixes))
             owners = ids[anchors.owner[numbers]]
@@ -327,7 +327,7 @@ def _first_windows(group: list[list], length: int) -> list[list[tuple[int, int,
 # --- the cut ------------------------------------------------------------------------------------------------
 
 
-def _cut(table: pa.Table, answers: pa.Table, core: int, length: int, buckets: int) -> pa.Table:
+def _cut(table: pa.Table, answers: pa.Table, core: int, length: int, plan: meeting.Plan) -> pa.Table:
     if not table.num_rows:
         return _CUT.empty_table()
     texts = Texts.of(table["text"])
@@ -337,7 +337,7 @@ def _cut(table: pa.Table, answers: pa.Table, core: int, length: int, buckets: in
         shared = answers.filter(answers["keys"].is_valid())
         ids, anchors = meeting.ids_of(table), Anchors(texts, core, length)
         by_bucket = {row["bucket"]: row for row in told.to_pylist()}
-        for bucket, numbers, suffixes, distinct in _suffixes(texts, anchors, meeting.found_keys(shared), length, buckets):
+        for bucket, numbers, suffixes, distinct in _suffixes(texts, anchors, meeting.found_keys(shared), length, plan):
             row = by_bucket.get(bucket)
             if row is None:
                 continue
