@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkweave.llm import decontamination, language_id, near_dedup, quality_trees, substring_dedup, suffix_dedup
+from inkweave.llm import decontamination, language_id, near_dedup, pseudonyms, quality_trees, substring_dedup, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -127,3 +127,13 @@ SELECT s.doc_id, CAST(len(s.w) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_
     sha256(coalesce(n.items, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
 FROM said s LEFT JOIN covered c USING (doc_id) LEFT JOIN named n USING (doc_id)
 """
+
+
+@query
+def op4_pii_pseudonyms(spark, folder):
+    found = pseudonyms.pseudonymise(table(spark, folder, "documents"), key="inkweave", found_col="found")
+    kinds = F.array_sort(F.array_distinct(F.transform("found", lambda x: x["kind"])))
+    return found.select(
+        "doc_id", "text", F.size("found").cast("long").alias("n_found"), F.array_join(kinds, ",").alias("kinds"),
+        F.sha2("text", 256).alias("text_sha256"),
+    )
