@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkweave.llm import decontamination, language_id, near_dedup, pseudonyms, quality_trees, substring_dedup, suffix_dedup
+from inkweave.llm import decontamination, language_id, mixing, near_dedup, pseudonyms, quality_trees, substring_dedup, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -137,3 +137,12 @@ def op4_pii_pseudonyms(spark, folder):
         "doc_id", "text", F.size("found").cast("long").alias("n_found"), F.array_join(kinds, ",").alias("kinds"),
         F.sha2("text", 256).alias("text_sha256"),
     )
+
+
+@query
+def op2_source_mixing(spark, folder):
+    mixed = mixing.mix(table(spark, folder, "documents"), weights=(5, 2, 1))
+    return mixed.select(
+        "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
+        F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"),
+    )

@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BATCH_BYTES = 4 << 20
-BUCKET_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
+BUCKET_BYTES = 4 << 20
 #: Stands for a document without an id: after all ids, and no repeat of another document without one.
 NO_ID = np.iinfo(np.int64).max
 

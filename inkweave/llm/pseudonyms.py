@@ -157,8 +157,8 @@ def pseudonymise(documents: DataFrame, *, key: str, text_col: str = "text", foun
     names = documents.columns
     text = F.col(f"`{text_col}`").cast("string")
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), text.alias("t"))
-    # most texts hold nothing: a digit or an @ is cheap to look for, and every kind but a spelt-out credential has one
-    may = F.col("t").rlike(r"[0-9@]|(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)[ \t]{0,3}[=:]")
+    # most texts hold nothing: what every kind begins with or holds is cheap to look for
+    may = F.col("t").rlike(r"[0-9@]|AKIA|(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)[ \t]{0,3}[=:]")
     rows = rows.withColumn("m", F.when(may, F.expr(f"regexp_extract_all(t, {_q(_ANY)}, 0)")))
     rows = rows.withColumn("p", F.when(F.size("m") > 0, F.expr(f"transform(m, x -> named_struct('old', x, 'kind', {_kind('x')}, 'new', {_pseudonym('x', key)}))")))
     pieces = F.expr(f"split(t, {_q(_ANY)}, -1)")

@@ -298,29 +298,31 @@ def _merge_runs(table: pa.Table, core: int, length: int) -> pa.Table:
 
 
 def _first_windows(group: list[list], length: int) -> list[list[tuple[int, int, int]]]:
-    """For each suffix of one core, runs of its windows (first, last + 1) and the least id that holds them all."""
-    texts = []
+    """For each suffix of one core, runs of its windows (first, last + 1) and the least id that holds them all.
+
+    Equal windows hold the core at the same place, so the windows are compared one place after the other.
+    """
+    texts, lefts = [], []
     for suffix, _, _ in group:
         split = suffix.index(_END)
         texts.append(suffix[split + 1 : -1][::-1] + suffix[:split])
+        lefts.append(len(suffix) - split - 2)
     if len(group) == 1:
         return [[(0, len(texts[0]) - length + 1, group[0][1])]]
-    first: dict[bytes, int] = {}
-    for text, (_, least, _) in zip(texts, group, strict=True):
-        for j in range(len(text) - length + 1):
-            window = text[j : j + length]
+    out: list[list[tuple[int, int, int]]] = [[] for _ in group]
+    for left in range(max(lefts), -1, -1):  # bytes of the window before the core
+        windows = [(i, text[at - left : at - left + length]) for i, (text, at) in enumerate(zip(texts, lefts, strict=True)) if left <= at and at - left + length <= len(text)]
+        first: dict[bytes, int] = {}
+        for i, window in windows:
+            least = group[i][1]
             if first.get(window, meeting.NO_ID) > least:
                 first[window] = least
-    out = []
-    for text in texts:
-        segments: list[tuple[int, int, int]] = []
-        for j in range(len(text) - length + 1):
-            least = first.get(text[j : j + length], meeting.NO_ID)
-            if segments and segments[-1][2] == least:
-                segments[-1] = (segments[-1][0], j + 1, least)
+        for i, window in windows:
+            begin, least, segments = lefts[i] - left, first.get(window, meeting.NO_ID), out[i]
+            if segments and segments[-1][2] == least and segments[-1][1] == begin:
+                segments[-1] = (segments[-1][0], begin + 1, least)
             else:
-                segments.append((j, j + 1, least))
-        out.append(segments)
+                segments.append((begin, begin + 1, least))
     return out
 
 
