@@ -1,2 +1,85 @@
-STAGES=[]
-def run(spark, sf_dir): ...
+"""The corpus pipeline: quality, near duplicates, benchmark decontamination, pseudonyms, and the mix of sources.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. All but the last return the columns
+of ``documents``; the last adds what the mix takes of each document. ``run`` writes every stage's rows to the shared
+folder and reads them back, so a lost executor costs one stage's tasks at most.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from inkweave.llm import decontamination, mixing, near_dedup, pseudonyms, quality_trees
+from inkweave.llm.store import written
+
+#: Documents that score less are rejected.
+LEAST_QUALITY = 0.5
+#: A list of ids this long at most is sent to every executor; a longer one is joined by a shuffle.
+BROADCAST_IDS = 500_000
+#: SQL cannot express trees, signatures, keyed permutations and fitted budgets; tests compare with brute force.
+ORACLE_SQL = None
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose id is not among these."""
+    ids = written(ids.where("id is not null").distinct(), "left-out")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(ids, docs["doc_id"] == ids["id"], "left_anti")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the trees, learned from the labels of documents at hand, do not reject.
+
+    A null text is judged as an empty one; without labels of both kinds nothing is rejected by what was not learned
+    (see quality_trees.train).
+    """
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality_trees.train(docs, labels, F.lit(True))
+    scored = quality_trees.score(docs, model, also=tuple(docs.columns))
+    return scored.where(F.col("score") >= LEAST_QUALITY).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8): the one with the least id.
+
+    Documents without words or without an id are no one's duplicates and stay; repeated rows of one id stay together.
+    """
+    found = near_dedup.near_duplicates(docs, shingle=5, percent=80)
+    return _without(docs, found.where("not kept").select("id"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of ten words of a benchmark item; a document without an id is not looked up."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontamination.find_contamination(docs, benchmark, window=10)
+    return _without(docs, found.where("contaminated").select("id"))
+
+
+def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced; ``n_chars`` follows the new text where the text was changed."""
+    changed = pseudonyms.pseudonymise(docs, key="inkweave", found_col="mix_found")
+    n_chars = F.when(F.size("mix_found") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return changed.withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with their size, their source's size and target, and the words taken."""
+    return mixing.mix(docs, weights=(5, 2, 1)).where("mix_taken > 0")
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontaminate", decontaminate),
+    ("pseudonymise", pseudonymise),
+    ("mix_sources", mix_sources),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

@@ -230,18 +230,18 @@ def score(documents: DataFrame, model: Trees, *, id_col: str = "doc_id", text_co
     A null text is scored as an empty one. Repeated rows score alike, and the text alone decides. The result holds
     no other columns, so clashing names do not matter; an empty table gives an empty result.
     """
-    kept = [F.col(c).alias(f"also_{i}") for i, c in enumerate(also)]
-    rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *kept)
+    others = [c for c in also if c != text_col]
+    kept = [F.col(f"`{c}`").alias(f"also_{i}") for i, c in enumerate(others)]
+    rows = documents.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *kept)
+    back = [c for c in rows.columns if c != "text" or text_col in also]  # the text returns only if it is asked for
 
     def scored(batches):
         for batch in batches:
             parts = [statistics(Texts.of(t["text"])) for t in slices(batch, "text", _PIECE_BYTES)]
             if parts:
                 values = model.score(np.concatenate(parts))
-                columns = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "text"]
-                names = [n for n in batch.schema.names if n != "text"]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(values)], names=[*names, "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in back), pa.array(values)], names=[*back, "score"])
 
-    kinds = rows.drop("text").schema.add("score", "double")
-    out = rows.mapInArrow(scored, kinds)
-    return out.select("id", *[F.col(f"also_{i}").alias(c) for i, c in enumerate(also)], "score")
+    out = rows.mapInArrow(scored, rows.select(*back).schema.add("score", "double"))
+    named = {text_col: "text"} | {c: f"also_{i}" for i, c in enumerate(others)}
+    return out.select("id", *[F.col(named[c]).alias(c) for c in also], "score")
