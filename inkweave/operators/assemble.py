@@ -1,8 +1,8 @@
-"""Ordered parts and split records put back together as text.
+"""Ordered parts and split records put back together as text, one row per document.
 
-A text of very many parts comes out as several rows, one per segment of consecutive parts. Each segment is
-gathered on its own, so the size of one group has a bound whatever the document's size; documents that fit
-one segment are one row with segment 0. The number of a part decides its segment.
+A document's text is one cell everywhere in this model, so gathering its parts makes a group no larger than the
+document itself. Where documents are too large for a cell, ``segment`` names a column of the caller's that cuts them:
+every (document, segment) then is a text of its own.
 """
 
 from __future__ import annotations
@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkweave.functions import text
-from inkweave.functions.linearize import csv_record_line
+from inkweave.functions.linearize import csv_header_lines, csv_record_line
 
-SEGMENT_PARTS = 10_000
+
+def _keys(document: str, segment: str | None) -> list[str]:
+    return [document] if segment is None else [document, segment]
 
 
 def _ordered(seq: Column, piece: Column) -> Column:
@@ -22,48 +24,37 @@ def _ordered(seq: Column, piece: Column) -> Column:
     return F.transform(F.array_sort(kept), lambda p: p["piece"])
 
 
-def _segment(seq: str, segment_parts: int) -> Column:
-    return F.floor(F.col(seq) / F.lit(segment_parts)).cast("bigint").alias("segment_index")
-
-
 def assemble_parts(
-    parts: DataFrame,
-    *,
-    document: str,
-    seq: str,
-    part: str,
-    separator: str = "\n",
-    segment_parts: int = SEGMENT_PARTS,
+    parts: DataFrame, *, document: str, seq: str, part: str, separator: str = "\n", segment: str | None = None
 ) -> DataFrame:
     """Join each document's parts that are not blank, in order. Paragraphs take a line end as separator,
-    pages an empty line. Gives (document, segment_index, content)."""
+    pages an empty line. Gives (document, [segment,] content)."""
     kept = F.when(~text.is_blank(F.col(part)), F.col(part))
-    joined = parts.groupBy(document, _segment(seq, segment_parts)).agg(
+    return parts.groupBy(*_keys(document, segment)).agg(
         F.array_join(_ordered(F.col(seq), kept), separator).alias("content")
     )
-    return joined.where((F.col("content") != "") | (F.col("segment_index") == 0))
 
 
 def csv_rows_text(
-    records: DataFrame,
-    *,
-    document: str,
-    row_num: str,
-    headers: str,
-    cells: str,
-    segment_parts: int = SEGMENT_PARTS,
+    records: DataFrame, headers: DataFrame, *, document: str, row_num: str, cells: str, segment: str | None = None
 ) -> DataFrame:
-    """The CSV text of records already split into cells, numbered from 1 in ``row_num``.
+    """The CSV text of records already split into cells, numbered in ``row_num``.
 
-    The header lines open segment 0. Records of another width than the header are left out but keep their
-    number. Gives (document, segment_index, content).
+    ``headers`` holds a row (document, ``cells``) per document, so a document without records has its header lines
+    and gaps in the numbers do not matter. Records of another width than the header, or without one, are left out but
+    keep their number. Of several headers of one document the least is taken. Gives (document, [segment,] content);
+    with segments, each has its own header row.
     """
-    line = csv_record_line(F.col(row_num), F.col(headers), F.col(cells))
-    grouped = records.groupBy(document, _segment(row_num, segment_parts)).agg(
-        F.first(headers).alias("_headers"), _ordered(F.col(row_num), line).alias("_lines")
+    keys = _keys(document, segment)
+    # header and records meet in the group, not in a join, so a document of very many records is one shuffle
+    head = headers.select(*keys, F.lit(None).cast("bigint").alias("_row"), F.col(cells).alias("_cells"))
+    body = records.select(*keys, F.col(row_num).cast("bigint").alias("_row"), F.col(cells).alias("_cells"))
+    record = F.when(F.col("_row").isNotNull(), F.struct("_row", "_cells"))
+    gathered = head.unionByName(body).groupBy(*keys).agg(
+        F.min(F.when(F.col("_row").isNull(), F.col("_cells"))).alias("_headers"),
+        F.array_sort(F.collect_list(record)).alias("_records"),
     )
-    head = F.array(F.concat(F.lit("Headers: "), F.array_join("_headers", ", ")), F.lit(""))
-    lines = F.when(F.col("segment_index") == 0, F.concat(head, F.col("_lines"))).otherwise(F.col("_lines"))
-    content = F.when(F.size("_headers") > 0, F.array_join(lines, "\n")).otherwise(F.lit(""))
-    texts = grouped.select(document, "segment_index", content.alias("content"))
-    return texts.where((F.col("content") != "") | (F.col("segment_index") == 0))
+    lines = F.transform("_records", lambda r: csv_record_line(r["_row"], F.col("_headers"), r["_cells"]))
+    kept = F.filter(lines, lambda line: line.isNotNull())
+    content = F.when(F.size("_headers") > 0, F.array_join(F.concat(csv_header_lines(F.col("_headers")), kept), "\n"))
+    return gathered.select(*keys, F.coalesce(content, F.lit("")).alias("content"))

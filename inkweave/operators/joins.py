@@ -7,32 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# At most this many keys are looked at as hot. A key outside the list holds less than 1/1000 of the rows, so
-# it needs no salt; and the broadcast list of hot keys never grows beyond this many rows.
-HOT_KEYS = 1000
 
+def hot_keys(rows: DataFrame, on: Sequence[str]) -> DataFrame:
+    """The keys that hold more than an even partition's share of the rows, and how many salts each is split into.
 
-def hot_keys(rows: DataFrame, on: Sequence[str], min_rows: int, rows_per_salt: int) -> DataFrame:
-    """The most frequent keys with at least ``min_rows`` rows, and how many salts each is split into.
-
-    Counted with a map-side combine; the top list is a bounded per-task heap, not a sort of all keys.
+    There are fewer of them than shuffle partitions, as their shares add up to the whole, so the list is short
+    whatever the input, and a key outside it fits one partition. Rows are counted with a map-side combine.
     """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counted = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-    top = counted.orderBy(F.col("_rows").desc(), *on).limit(HOT_KEYS)
-    return top.where(F.col("_rows") >= min_rows).select(
-        *on, F.ceil(F.col("_rows") / F.lit(rows_per_salt)).cast("int").alias("_salts")
-    )
+    share = counted.agg(F.sum("_rows")).scalar() / F.lit(parts)
+    return counted.where(F.col("_rows") > share).select(*on, F.ceil(F.col("_rows") / share).cast("int").alias("_salts"))
 
 
 def hot_key_join(
-    left: DataFrame,
-    right: DataFrame,
-    *,
-    on: Sequence[str],
-    salt_on: str | Sequence[str],
-    how: str = "inner",
-    min_rows: int = 1_000_000,
-    rows_per_salt: int = 250_000,
+    left: DataFrame, right: DataFrame, *, on: Sequence[str], salt_on: str | Sequence[str], how: str = "inner"
 ) -> DataFrame:
     """Inner or left join of many rows to few per key, exact also when one key holds a third of the left side.
 
@@ -44,9 +33,10 @@ def hot_key_join(
         raise ValueError("only inner and left joins can repeat the right side")
     salt_columns = [salt_on] if isinstance(salt_on, str) else list(salt_on)
     keys = list(on)
-    hot = F.broadcast(hot_keys(left.where(_all_set(keys)), keys, min_rows, rows_per_salt))
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = F.broadcast(hot_keys(left.where(_all_set(keys)), keys))
     # A row without a key matches nothing, so it may go anywhere; left together they would fill one task.
-    ways = F.when(~_all_set(keys), F.lit(HOT_KEYS)).otherwise(F.coalesce(F.col("_salts"), F.lit(1)))
+    ways = F.when(~_all_set(keys), F.lit(parts)).otherwise(F.coalesce(F.col("_salts"), F.lit(1)))
     spread = F.pmod(F.xxhash64(*salt_columns), ways).cast("int")
     salted = left.join(hot, keys, "left").withColumn("_salt", spread).drop("_salts")
     repeated = (

@@ -64,34 +64,51 @@ def test_hot_key_join_equals_join(spark, how):
         ).alias("k")
     )
     right = spark.createDataFrame([("hot", 1), ("hot", 2)] + [(f"k{i}", i) for i in range(40)], "k string, v int")
-    salted = joins.hot_key_join(left, right, on=["k"], salt_on="id", how=how, min_rows=100, rows_per_salt=10)
+    salted = joins.hot_key_join(left, right, on=["k"], salt_on="id", how=how)
     plain = left.join(right, "k", how).select("id", "k", "v")
     assert sorted(map(repr, salted.collect())) == sorted(map(repr, plain.collect()))
-    salts = {r["k"]: r["_salts"] for r in joins.hot_keys(left, ["k"], 100, 10).collect()}
-    assert salts["hot"] == 100
+    salts = {r["k"]: r["_salts"] for r in joins.hot_keys(left.where("k is not null"), ["k"]).collect()}
+    assert set(salts) == {"hot"} and 2 <= salts["hot"] <= 8
 
 
-def test_assembled_segments_join_to_the_whole(spark):
-    parts = [(1, i, " " if i % 4 == 0 else f"p{i}") for i in range(1, 40)] + [(2, 1, ""), (3, 1, "x"), (3, 3, "y"), (3, 2, "\xa0")]
+def test_every_key_above_an_even_share_is_hot(spark):
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3000")
+    try:
+        rows = spark.range(24_000).select(F.when(F.col("id") % 2 == 0, F.col("id") % 1200).otherwise(F.col("id") + 5000).alias("k"))
+        assert joins.hot_keys(rows, ["k"]).count() == 600
+        rows = spark.range(24_000).select((F.col("id") % 2000).alias("k"))
+        assert joins.hot_keys(rows, ["k"]).count() == 2000, "also beyond any fixed number"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
+def test_assembled_parts_are_one_text(spark):
+    parts = [(1, i * 6007, " " if i % 4 == 0 else f"p{i}", i // 5) for i in range(1, 40)]
+    parts += [(2, 1, "", 0), (3, 9999, "x", 0), (3, 20_005, "y", 0), (3, 10_000, "\xa0", 0)]
     random.Random(1).shuffle(parts)
-    rows = spark.createDataFrame(parts, "d int, n int, t string")
+    rows = spark.createDataFrame(parts, "d int, n int, t string, s int")
     whole = {r["d"]: r["content"] for r in assemble.assemble_parts(rows, document="d", seq="n", part="t").collect()}
     assert whole == {1: "\n".join(f"p{i}" for i in range(1, 40) if i % 4), 2: "", 3: "x\ny"}
-    cut = assemble.assemble_parts(rows, document="d", seq="n", part="t", segment_parts=5).where("d = 1")
-    assert "\n".join(r["content"] for r in cut.orderBy("segment_index").collect()) == whole[1]
-
-
-def test_csv_records_in_segments(spark):
-    records = [(1, n, ["a", "b"], ["x"] if n % 3 == 0 else [str(n), "y"]) for n in range(1, 12)] + [(2, 1, ["a"], [])]
-    rows = spark.createDataFrame(records, "d int, n int, h array<string>, c array<string>")
-    lines = [f"Row {n}: a: {n} | b: y" for n in range(1, 12) if n % 3]
-    expected = {1: "\n".join(["Headers: a, b", "", *lines]), 2: "Headers: a\n"}
-    for size in (100, 4):
-        made = assemble.csv_rows_text(rows, document="d", row_num="n", headers="h", cells="c", segment_parts=size)
-        texts = {}
-        for r in made.orderBy("d", "segment_index").collect():
-            texts.setdefault(r["d"], []).append(r["content"])
-        assert {d: "\n".join(t) for d, t in texts.items()} == expected
+    cut = assemble.assemble_parts(rows, document="d", seq="n", part="t", segment="s").where("d = 1")
+    assert "\n".join(r["content"] for r in cut.orderBy("s").collect()) == whole[1]
+
+
+def test_csv_records_keep_their_header(spark):
+    records = [(1, n * 5000, ["x"] if n % 3 == 0 else [str(n), "y"]) for n in range(1, 12)] + [(4, 1, ["no", "header"])]
+    rows = spark.createDataFrame(records, "d int, n int, c array<string>")
+    heads = spark.createDataFrame([(1, ["a", "b"]), (2, ["a"]), (3, [])], "d int, c array<string>")
+    lines = [f"Row {n * 5000}: a: {n} | b: y" for n in range(1, 12) if n % 3]
+    made = assemble.csv_rows_text(rows, heads, document="d", row_num="n", cells="c").collect()
+    assert {r["d"]: r["content"] for r in made} == {1: "\n".join(["Headers: a, b", "", *lines]), 2: "Headers: a\n", 3: "", 4: ""}
+
+
+def test_small_shares_are_not_lost(spark):
+    rows = spark.range(200_000).select(F.col("id").cast("string").alias("id"))
+    named = splits.split_examples(rows, 0.9992, 0.0004, 0.0004).groupBy("split").count().collect()
+    assert {r["split"] for r in named} == {"train", "validation", "test"}
+    assert all(30 < r["count"] < 150 for r in named if r["split"] != "train")
+    assert {r["split"] for r in splits.split_examples(rows, 1.0, 0.0, 0.0).select("split").distinct().collect()} == {"train"}
 
 
 def test_python_runner_errors_are_counted(spark):

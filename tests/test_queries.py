@@ -4,6 +4,8 @@ import pytest
 from compare import connect, differences
 
 import __spark_entry__ as entry
+from inkweave.plans.catalog import QUERIES
+from inkweave.plans.oracle import ORACLE
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -14,12 +16,13 @@ def tables():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(name, spark, tables):
-    assert differences(entry.queries()[name](spark, FOLDER), tables, entry.oracle_sql()[name]) == []
+    assert differences(QUERIES[name](spark, FOLDER), tables, ORACLE[name]) == []
 
 
 def test_entry(spark):
