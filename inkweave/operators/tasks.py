@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -10,7 +12,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from inkweave import schemas
 from inkweave.functions.text import token_estimate
@@ -123,7 +125,18 @@ def render_prompt(templates: Sequence[TaskTemplate], content: Column, template_i
     return prompt
 
 
-RESULT = StructType([StructField("output", StringType()), StructField("error_message", StringType())])
+# What a Python runner reports of an item. Scores travel as JSON text and are read into a map by Spark.
+RESULT = StructType(
+    [
+        StructField("output", StringType()),
+        StructField("error_message", StringType()),
+        StructField("confidence", DoubleType()),
+        StructField("scores", StringType()),
+        StructField("token_usage", LongType()),
+        StructField("cost", DoubleType()),
+        StructField("processing_time", DoubleType()),
+    ]
+)
 
 
 @dataclass(frozen=True)
@@ -132,35 +145,75 @@ class TaskRunner:
 
     An expression runner makes the output from (prompt, content) with built-in functions; null is a failure
     with the text ``error``. ``needs`` names columns made from the content once per chunk, before the chunk
-    meets its tasks. A Python runner gives a struct (output, error_message) and gets its own branch, so that
-    it is only called on its own task's rows.
+    meets its tasks. A Python runner is a ``function`` of (prompt, content) instead.
     """
 
-    run: Callable[[Column, Column], Column]
+    run: Callable[[Column, Column], Column] | None = None
     error: str = "no output"
     needs: Mapping[str, Callable[[Column], Column]] = field(default_factory=dict)
-    python: bool = False
+    function: Callable[[str, str], object] | None = None
+
+    @property
+    def python(self) -> bool:
+        return self.function is not None
 
 
-def python_runner(function: Callable[[str, str], str]) -> TaskRunner:
+def python_runner(function: Callable[[str, str], object]) -> TaskRunner:
     """A runner that calls ``function(prompt, content)`` per item in Arrow batches.
 
-    An exception fails its item only. Results may differ between calls, so write them before reading
-    them twice (``process_documents`` does).
+    The function returns the output text, or a mapping with ``output`` and any of ``confidence``, ``quality_scores``
+    (metric to number), ``token_usage`` and ``cost``. An exception, or a result of any other kind, fails its item only.
+    Results may differ between calls, so write them before reading them twice (``process_documents`` does).
     """
+    return TaskRunner(function=function)
+
 
-    def call(prompt, content):
+_REPORTED = {"output": str, "confidence": float, "quality_scores": dict, "token_usage": int, "cost": float}
+
+
+def _reported(result: object) -> dict:
+    """A runner's result as the fields of RESULT; raises where it is of another kind."""
+    given = {"output": result} if isinstance(result, str) else result
+    if not isinstance(given, Mapping):
+        raise TypeError(f"a runner returns text or a mapping, not {type(result).__name__}")
+    unknown = sorted(map(str, set(given) - set(_REPORTED)))
+    if unknown:
+        raise TypeError(f"unknown fields of a result: {unknown}")
+    if not isinstance(given.get("output"), str):
+        raise TypeError(f"an output is text, not {type(given.get('output')).__name__}")
+    for name, kind in _REPORTED.items():
+        value = given.get(name)
+        fits = isinstance(value, (int, float) if kind is float else kind) and not isinstance(value, bool)
+        if value is not None and not fits:
+            raise TypeError(f"{name} is {kind.__name__}, not {type(value).__name__}")
+    scores = given.get("quality_scores")
+    return {
+        "output": given["output"],
+        "confidence": None if given.get("confidence") is None else float(given["confidence"]),
+        "scores": None if scores is None else json.dumps({str(k): float(v) for k, v in scores.items()}, allow_nan=False),
+        "token_usage": given.get("token_usage"),
+        "cost": None if given.get("cost") is None else float(given["cost"]),
+    }
+
+
+def _python_results(functions: Mapping[str, Callable[[str, str], object]]):
+    """One Arrow function for all Python runners: it calls the one that the row's template names."""
+
+    def call(template: str, prompt: str, content: str) -> dict:
+        started = time.perf_counter()
         try:
-            return function(prompt, content), None
+            made = _reported(functions[template](prompt, content))
         except Exception as error:  # noqa: BLE001 - any failure belongs to the item
-            return None, f"{type(error).__name__}: {error}"
+            made = {"error_message": f"{type(error).__name__}: {error}"}
+        return {**made, "processing_time": time.perf_counter() - started}
 
     @F.pandas_udf(RESULT)
-    def run_batch(prompts: pd.Series, contents: pd.Series) -> pd.DataFrame:
-        rows = [call(p, c) for p, c in zip(prompts, contents)]
-        return pd.DataFrame(rows, columns=["output", "error_message"], dtype="object")
+    def run_batch(templates: pd.Series, prompts: pd.Series, contents: pd.Series) -> pd.DataFrame:
+        rows = [call(t, p, c) for t, p, c in zip(templates, prompts, contents)]
+        made = pd.DataFrame(rows, columns=RESULT.names, dtype="object")
+        return made.astype({"confidence": "Float64", "token_usage": "Int64", "cost": "Float64", "processing_time": "Float64"})
 
-    return TaskRunner(run_batch.asNondeterministic(), python=True)
+    return run_batch.asNondeterministic()
 
 
 def sentences(content: Column) -> Column:
@@ -197,7 +250,7 @@ BUILT_IN_RUNNERS = {
 RUNNER_CARRY = ("language", "source")
 
 
-_TASK_COLUMNS = ("task_position", "task_type", "template_id", "template_name", "prompt", "output", "error_message")
+_TASK_COLUMNS = ("task_position", "task_type", "template_id", "template_name", "prompt")
 
 
 def task_id(chunk_id: Column, template_id: Column) -> Column:
@@ -238,30 +291,37 @@ def execute_tasks(
         made = compute_once(fanned(by_expression), {"output": output})
         return made.withColumn("error_message", F.when(F.col("output").isNull(), error))
 
-    def run_python(t: TaskTemplate) -> DataFrame:
-        made = fanned([t]).withColumn("result", runner_of[t.id].run(F.col("prompt"), F.col("content")))
-        return made.select("*", "result.output", "result.error_message").drop("result")
+    def run_python() -> DataFrame:
+        call = _python_results({t.id: runner_of[t.id].function for t in in_python})
+        made = fanned(in_python).withColumn("result", call(F.col("template_id"), F.col("prompt"), F.col("content")))
+        return made.select("*", "result.*").drop("result")
 
     def trimmed(rows: DataFrame) -> DataFrame:
-        return rows.select(*chunks.columns, *_TASK_COLUMNS)
+        for reported in RESULT.fields:
+            if reported.name not in rows.columns:
+                rows = rows.withColumn(reported.name, F.lit(None).cast(reported.dataType))
+        return rows.select(*chunks.columns, *_TASK_COLUMNS, *RESULT.names)
 
+    # two branches at most, whatever the number of runners: built-in expressions, and Python
     branches = [trimmed(run_expressions())] if by_expression else []
-    branches += [trimmed(run_python(t)) for t in in_python]
+    branches += [trimmed(run_python())] if in_python else []
     executed = reduce(DataFrame.unionByName, branches)
     output = F.col("output")
     failed = output.isNull()
-    used = token_estimate(F.concat(F.col("prompt"), F.coalesce(output, F.lit(""))))
+    estimate = token_estimate(F.concat(F.col("prompt"), F.coalesce(output, F.lit(""))))
+    used = F.coalesce(F.col("token_usage"), estimate).cast("int")
     cost = F.lit(None).cast("double") if price_per_token is None else used * F.lit(float(price_per_token))
+    scores = F.from_json("scores", "map<string,double>")
     return executed.select(
         task_id(F.col("id"), F.col("template_id")).alias("task_id"),
         "template_id",
         F.col("id").alias("input_chunk_id"),
         output.alias("output"),
-        F.lit(None).cast("double").alias("confidence"),
-        F.create_map().cast("map<string,double>").alias("quality_scores"),
-        F.lit(0.0).alias("processing_time"),
+        "confidence",
+        F.coalesce(scores, F.create_map().cast("map<string,double>")).alias("quality_scores"),
+        F.coalesce("processing_time", F.lit(0.0)).alias("processing_time"),
         used.alias("token_usage"),
-        cost.alias("cost"),
+        F.coalesce("cost", cost).alias("cost"),
         F.when(failed, F.lit("failed")).otherwise(F.lit("completed")).alias("status"),
         F.when(failed, F.coalesce(F.col("error_message"), F.lit("no output"))).alias("error_message"),
         "task_type",

@@ -12,18 +12,25 @@ from inkweave import schemas
 from inkweave.operators.splits import split_examples
 
 MAX_ROWS_PER_FILE = 1_000_000
+# CSV files with quoted line ends cannot be split on reading, so each is kept to a task's size.
+MAX_ROWS_PER_CSV_FILE = 100_000
 SPLITS = ("train", "validation", "test")
 
 _CSV_OPTIONS = {
     "header": "true",
     "quote": '"',
     "escape": '"',
-    "quoteAll": "true",
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
 }
 
 
+# An empty text is written as two quotes and a null as nothing; reading, an unquoted nothing becomes this mark, which
+# stands for null, and quoted nothing stays empty.
+_CSV_WRITE = {**_CSV_OPTIONS, "nullValue": "", "emptyValue": '""'}
+_CSV_READ = {**_CSV_OPTIONS, "nullValue": "\x00null", "emptyValue": "", "multiLine": "true"}
+
+
 def chat_message(role: str, content: Column) -> Column:
     return F.when(
         content.isNotNull(), F.struct(F.lit(role).alias("role"), content.alias("content"))
@@ -75,7 +82,7 @@ def export_dataset(
     dataset_id: str | None = None,
     ledger_path: str | None = None,
     mode: str = "error",
-    max_rows_per_file: int = MAX_ROWS_PER_FILE,
+    max_rows_per_file: int | None = None,
     shares: tuple[float, float, float] = (0.8, 0.1, 0.1),
 ) -> str:
     """Write the examples, record the export in the ledger if one is named, and return the path.
@@ -98,13 +105,14 @@ def export_dataset(
     elif export_format == "csv":
         rows = _flat(rows)
 
-    writer = rows.write.mode(mode).option("maxRecordsPerFile", max_rows_per_file)
+    most = max_rows_per_file or (MAX_ROWS_PER_CSV_FILE if export_format == "csv" else MAX_ROWS_PER_FILE)
+    writer = rows.write.mode(mode).option("maxRecordsPerFile", most)
     if splits:
         writer = writer.partitionBy(*splits)
     if export_format == "jsonl":
         writer.option("ignoreNullFields", "false").json(output_path)
     elif export_format == "csv":
-        writer.options(**_CSV_OPTIONS).csv(output_path)
+        writer.options(**_CSV_WRITE).csv(output_path)
     elif export_format == "parquet":
         writer.parquet(output_path)
     elif export_format == "huggingface":
@@ -147,7 +155,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
         f"{f.name} {'boolean' if f.dataType.typeName() == 'boolean' else 'string'}" for f in schemas.EXAMPLE.fields
     )
     split = ", split string" if _has_splits(spark, path) else ""
-    return spark.read.options(**_CSV_OPTIONS, multiLine="true").schema(columns + split).csv(path)
+    return spark.read.options(**_CSV_READ).schema(columns + split).csv(path)
 
 
 def _has_splits(spark: SparkSession, path: str) -> bool:

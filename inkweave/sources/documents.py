@@ -101,11 +101,14 @@ def filter_doc_types(documents: DataFrame, doc_types: list[str] | None) -> DataF
 
 
 def document_registry(documents: DataFrame, order_by: str, key: str = "id") -> DataFrame:
-    """One row per id, the last write winning.
+    """One row per id, the last write winning: the greatest order, a null one being the least; of equal orders the one
+    with the greatest hash, so that reruns agree.
 
     An aggregate, not a window: every map task reduces its rows to one per id before the shuffle, so an
     id that was written again and again never gathers in one task.
     """
     rest = [name for name in documents.columns if name != key]
-    last = F.max_by(F.struct(*rest), F.col(order_by)).alias("last")
+    # never null, as max_by passes over null orders
+    place = F.struct(F.col(order_by), F.xxhash64(*rest))
+    last = F.max_by(F.struct(*rest), place).alias("last")
     return documents.groupBy(key).agg(last).select(key, "last.*").select(*documents.columns)

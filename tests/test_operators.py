@@ -126,6 +126,40 @@ def test_python_runner_errors_are_counted(spark):
     assert run.results.inputFiles(), "results of a Python runner are a written table"
 
 
+def test_runners_report_and_wrong_kinds_fail_their_item(spark):
+    def rate(prompt, content):
+        return {
+            "full": {"output": "a full result", "confidence": 1, "quality_scores": {"diversity": 0.5}, "token_usage": 7, "cost": 0.25},
+            "five": 5, "none": None, "map": {"output": 3}, "odd": {"output": "x", "colour": 1}, "nan": {"output": "x", "quality_scores": {"a": float("nan")}},
+        }[content]
+
+    texts = ["full", "five", "none", "map", "odd", "nan"]
+    run = process_documents(documents(spark, texts), ["red_teaming"], runners={"red_teaming": python_runner(rate)}, quality_filter=False)
+    rows = {r["input_text"]: r for r in run.results.collect()}
+    assert {t for t, r in rows.items() if r["status"] == "failed"} == set(texts) - {"full"}
+    full = rows["full"]
+    assert (full["confidence"], full["quality_scores"], full["token_usage"], full["cost"]) == (1.0, {"diversity": 0.5}, 7, 0.25)
+    assert all(r["processing_time"] > 0 for r in rows.values())
+    assert rows["five"]["error_message"] == "TypeError: a runner returns text or a mapping, not int"
+
+
+def test_four_python_runners_are_one_scan(spark, tmp_path):
+    documents(spark, ["One. Two."] * 3).write.parquet(str(tmp_path / "d"))
+    chunks = chunking.chunk_documents(spark.read.parquet(str(tmp_path / "d")), carry=tasks.RUNNER_CARRY)
+    kinds = ("summarization", "named_entity_recognition", "red_teaming", "instruction_response")
+    runners = {k: python_runner(lambda prompt, content, k=k: f"{k} of {content}") for k in kinds}
+    made = tasks.execute_tasks(chunks, tasks.templates_for(kinds), runners)
+    assert made._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert {r["task_type"]: r["output"] for r in made.collect()} == {k: f"{k} of One. Two." for k in kinds}
+
+
+def test_registry_of_null_and_equal_orders(spark):
+    rows = [(1, None, "a"), (1, None, "b"), (2, 5, "c"), (2, 5, "d"), (2, None, "e"), (3, 1, "f"), (3, 2, "g")]
+    made = [document_registry(spark.createDataFrame(r, "id int, n int, t string"), "n").collect() for r in (rows, rows[::-1])]
+    assert sorted(made[0]) == sorted(made[1])
+    assert {r["id"]: r["t"] for r in made[0]}[3] == "g" and {r["t"] for r in made[0]} & {"a", "b"} and {r["t"] for r in made[0]} & {"c", "d"}
+
+
 def test_python_and_expression_tasks_together(spark):
     runner = python_runner(lambda prompt, content: prompt[:5] + "-" + content)
     run = process_documents(
