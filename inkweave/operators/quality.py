@@ -127,12 +127,20 @@ class Evaluator:
         return compute_once(judged, verdict).drop("judgement").withColumn("passed", F.size("reasons") == 0)
 
 
+def gate_marks(evaluated: DataFrame, quality_filter: bool = True) -> DataFrame:
+    """All examples with ``quality_approved``: the verdict, or null where the gate is off. One pass for kept and rejected."""
+    verdict = F.col("passed") if quality_filter else F.lit(None).cast("boolean")
+    return evaluated.withColumn("quality_approved", verdict)
+
+
 def quality_gate(evaluated: DataFrame, quality_filter: bool = True) -> tuple[DataFrame, DataFrame]:
-    """The examples let through and the rejected ones. Off: all pass, with ``quality_approved`` left null."""
+    """The examples let through and the rejected ones, for callers who write the marked examples once and read both.
+
+    Off: all pass, with ``quality_approved`` left null.
+    """
+    marked = gate_marks(evaluated, quality_filter)
     if not quality_filter:
-        open_gate = evaluated.withColumn("quality_approved", F.lit(None).cast("boolean"))
-        return open_gate, open_gate.where(F.lit(False))
-    marked = evaluated.withColumn("quality_approved", F.col("passed"))
+        return marked, marked.where(F.lit(False))
     return marked.where(F.col("passed")), marked.where(~F.col("passed"))
 
 
@@ -146,11 +154,24 @@ def example_score(scores: Column) -> Column:
     return F.when(F.size(turned) > 0, total / F.size(turned))
 
 
-def evaluate_dataset(scored: DataFrame) -> DataFrame:
-    """One row: the number of examples and their mean score."""
-    return scored.agg(
-        F.count(F.lit(1)).alias("examples"), F.avg(example_score(F.col("quality_scores"))).alias("overall_score")
+def evaluate_dataset(evaluated: DataFrame, least_score: float = 0.5) -> DataFrame:
+    """One row: examples, how many passed, the mean score, whether the dataset passes, and why not.
+
+    A dataset passes if it has examples and their mean score is ``least_score`` or more. ``quality_stats`` of the
+    same examples has the detail per metric.
+    """
+    row = evaluated.agg(
+        F.count(F.lit(1)).alias("examples"),
+        F.count_if(F.col("passed")).alias("passed_examples"),
+        F.avg(example_score(F.col("quality_scores"))).alias("overall_score"),
+    )
+    reasons = F.array_compact(
+        F.array(
+            F.when(F.col("examples") == 0, F.lit("no examples")),
+            F.when(F.col("overall_score") < least_score, F.lit("overall score below threshold")),
+        )
     )
+    return row.withColumn("reasons", reasons).withColumn("passed", F.size("reasons") == 0)
 
 
 def quality_stats(scored: DataFrame) -> DataFrame:

@@ -310,12 +310,11 @@ def damaged_files(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def bulk_load(spark, folder):
-    loaded = files.FileLoader().load(damaged_files(spark, folder), types=("txt",))
-    good = loaded.documents.select("source", F.lit("loaded").alias("state"), F.lit("").alias("error_class"), "char_count")
-    bad = loaded.quarantine.select(
-        "source", F.lit("failed").alias("state"), "error_class", F.lit(0).cast("bigint").alias("char_count")
-    )
-    return good.unionByName(bad)
+    outcomes = files.FileLoader().outcomes(damaged_files(spark, folder), types=("txt",))
+    return outcomes.select(
+        "source", "state", F.coalesce("error_class", F.lit("")).alias("error_class"),
+        F.coalesce(F.char_length("content"), F.lit(0)).cast("bigint").alias("char_count"),
+    )
 
 
 @query
@@ -543,8 +542,7 @@ def threshold_reasons(spark, folder):
 @query
 def quality_gate(spark, folder):
     """Kept and rejected examples side by side."""
-    kept, rejected = quality.quality_gate(evaluated_examples(spark, folder))
-    return kept.unionByName(rejected).select("id", "task_type", "quality_approved")
+    return quality.gate_marks(evaluated_examples(spark, folder)).select("id", "task_type", "quality_approved")
 
 
 @query
@@ -559,7 +557,9 @@ def output_length_gate(spark, folder):
 @query
 def evaluate_dataset(spark, folder):
     report = quality.evaluate_dataset(evaluated_examples(spark, folder))
-    return report.select("examples", F.round("overall_score", 6).alias("overall_score"))
+    return report.select(
+        "examples", "passed_examples", F.round("overall_score", 6).alias("overall_score"), "passed", F.array_join("reasons", "; ").alias("reasons")
+    )
 
 
 @query
@@ -582,8 +582,9 @@ def gated_examples(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def document_jobs(spark: SparkSession, folder: str) -> DataFrame:
-    """One job per document, asking for question-answer pairs."""
-    return tasks.job_counts(results_of(spark, folder, "qa_generation"), by=["document_id"])
+    """One job per document, asking for question-answer pairs; those whose id begins with 0 have not been done yet."""
+    waiting = F.when(F.col("document_id").startswith("0"), F.lit("pending")).otherwise(F.col("status"))
+    return tasks.job_counts(results_of(spark, folder, "qa_generation").withColumn("status", waiting), by=["document_id"])
 
 
 @query

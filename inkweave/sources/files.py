@@ -39,7 +39,7 @@ def suffix_glob(types: Iterable[str] = schemas.FILE_TYPES) -> str:
 
 def scan_directory(
     spark: SparkSession,
-    directory: str,
+    directory: str | list[str],
     *,
     recursive: bool = True,
     exclude_name_contains: Iterable[str] = (),
@@ -94,6 +94,11 @@ class LoadedFiles:
     documents: DataFrame
     quarantine: DataFrame
 
+    def report(self) -> DataFrame:
+        """One row: how many were loaded and how many were lost."""
+        loaded = self.documents.agg(F.count(F.lit(1)).alias("loaded"))
+        return loaded.withColumn("failed", self.quarantine.agg(F.count(F.lit(1))).scalar())
+
 
 @dataclass
 class FileLoader:
@@ -161,6 +166,16 @@ class FileLoader:
             raise ValueError(f"unknown mode: {mode}")
         return LoadedFiles(self.documents(good), quarantine_rows(extracted))
 
+    def outcomes(self, files: DataFrame, types: Iterable[str] = schemas.FILE_TYPES) -> DataFrame:
+        """Every file once: source, state (loaded or failed), error_class, and the text. One pass for good and bad."""
+        bad = F.col("error_class").isNotNull()
+        return self.extract(files, types).select(
+            F.col("path").alias("source"),
+            F.when(bad, F.lit("failed")).otherwise(F.lit("loaded")).alias("state"),
+            "error_class",
+            F.when(~bad, F.col("body")).alias("content"),
+        )
+
     def documents(self, extracted: DataFrame) -> DataFrame:
         """The standard projection of extracted rows."""
         methods = F.create_map(*[F.lit(x) for pair in EXTRACTION_METHODS.items() for x in pair])
@@ -189,6 +204,16 @@ def quarantine_rows(extracted: DataFrame) -> DataFrame:
     )
 
 
+def too_long(files: DataFrame) -> DataFrame:
+    """Quarantine rows of files that are longer than a cell can be."""
+    return files.select(
+        F.col("path").alias("source"),
+        F.lit("extract").alias("stage"),
+        F.lit("file_too_long").alias("error_class"),
+        F.concat(F.lit("cannot load "), F.col("path")).alias("message"),
+    )
+
+
 def scan_text(files: DataFrame, encoding: str = "utf-8") -> DataFrame:
     """One document per plain-text or Markdown file; both keep their markup."""
     texts = files.where(urls.file_suffix(F.col("path")).isin("txt", "md"))

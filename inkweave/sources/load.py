@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from inkweave import schemas
 from inkweave.functions import urls
 from inkweave.sources.documents import filter_doc_types
-from inkweave.sources.files import FileLoader, scan_directory
+from inkweave.sources.files import FileLoader, LoadedFiles, scan_directory, too_long
 from inkweave.sources.web import web_documents
 
 
@@ -18,15 +18,25 @@ class LoadError(Exception):
     """A source that had to load did not."""
 
 
-def _is_folder(spark: SparkSession, path: str) -> bool:
+def _located(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """The path as scans name it, and whether it is a folder."""
     location = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = location.getFileSystem(spark._jsc.hadoopConfiguration())
     if not files.exists(location):
         raise LoadError(f"source not found: {path}")
-    return files.getFileStatus(location).isDirectory()
+    return files.makeQualified(location).toString(), files.getFileStatus(location).isDirectory()
 
 
-def load_documents(
+def _file_types(doc_types: list[str] | None) -> tuple[str, ...]:
+    if doc_types is None:
+        return schemas.FILE_TYPES
+    unknown = set(doc_types) - set(schemas.DOCUMENT_TYPES)
+    if unknown:
+        raise ValueError(f"unknown document types: {sorted(unknown)}")
+    return tuple(t for t in schemas.FILE_TYPES if t in doc_types)
+
+
+def load_sources(
     spark: SparkSession,
     sources: str | list[str],
     *,
@@ -35,44 +45,65 @@ def load_documents(
     loader: FileLoader | None = None,
     recursive: bool = True,
     exclude_name_contains: tuple[str, ...] = (),
-) -> DataFrame:
-    """Documents of directories, single files and web addresses.
+) -> LoadedFiles:
+    """Documents of directories, single files and web addresses, and the files that could not be read.
 
-    Directories load permissively: what cannot be read is left out. Single sources fail fast. Addresses
-    are looked up in ``pages(url, html)``, the pages fetched beforehand. Single files are read in one scan.
+    Directories load permissively: what cannot be read, has no parser or is longer than a cell goes to quarantine.
+    Single sources fail fast; a file that is named and lies in a named directory as well is loaded once, as named.
+    Addresses are looked up in ``pages(url, html)``, the pages fetched beforehand. All directories are one scan, all
+    single files another. Files of other types than ``doc_types`` are told by their names and never opened.
     """
     loader = loader or FileLoader()
     given = [sources] if isinstance(sources, str) else list(sources)
+    types = _file_types(doc_types)
     addresses = [s for s in given if s.lower().startswith(("http://", "https://"))]
-    paths = [s for s in given if s not in set(addresses)]
-    folders = [p for p in paths if _is_folder(spark, p)]
-    singles = [p for p in paths if p not in set(folders)]
-
-    frames: list[DataFrame] = []
-    for folder in folders:
-        files = scan_directory(
-            spark, folder, recursive=recursive, exclude_name_contains=exclude_name_contains
-        )
-        frames.append(loader.load(files, "permissive").documents)
-    if singles:
-        files = spark.read.format("binaryFile").load(singles)
-        frames.append(loader.load(files, "failfast").documents)
-    if addresses:
+    located = [_located(spark, s) for s in given if not s.lower().startswith(("http://", "https://"))]
+    folders = list(dict.fromkeys(path for path, is_folder in located if is_folder))
+    singles = [path for path, is_folder in located if not is_folder]
+
+    frames, lost = [], []
+    if folders and types:
+        options = {"recursive": recursive, "exclude_name_contains": exclude_name_contains, "types": types}
+        files = scan_directory(spark, folders, **options)
+        if singles:
+            named = F.broadcast(spark.createDataFrame([(p,) for p in dict.fromkeys(singles)], "path string"))
+            files = files.join(named, "path", "left_anti")
+        # a file longer than a cell is told by its listing; its content is never asked for
+        most = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
+        loaded = loader.load(files.where(F.col("length") <= most), "permissive", types)
+        frames.append(loaded.documents)
+        lost += [loaded.quarantine, too_long(files.where(F.col("length") > most))]
+    wanted = [p for p in singles if doc_types is None or p.rsplit(".", 1)[-1].lower() in types]
+    if wanted:
+        files = spark.read.format("binaryFile").load(wanted)
+        frames.append(loader.load(files, "failfast", types).documents)
+    if addresses and (doc_types is None or "url" in doc_types):
         if pages is None:
             raise LoadError("web addresses need the table of fetched pages")
         frames.append(web_documents(fetched_pages(spark, addresses, pages)))
-    if not frames:
-        return spark.createDataFrame([], schemas.DOCUMENT)
-    return filter_doc_types(reduce(DataFrame.unionByName, frames), doc_types)
+    nothing = spark.createDataFrame([], schemas.DOCUMENT)
+    documents = filter_doc_types(reduce(DataFrame.unionByName, frames), doc_types) if frames else nothing
+    quarantine = reduce(DataFrame.unionByName, lost) if lost else spark.createDataFrame([], schemas.QUARANTINE)
+    return LoadedFiles(documents, quarantine)
+
+
+def load_documents(spark: SparkSession, sources: str | list[str], **options) -> DataFrame:
+    """The documents of ``load_sources``, for callers who do not look at what was lost."""
+    return load_sources(spark, sources, **options).documents
 
 
 def fetched_pages(spark: SparkSession, addresses: list[str], pages: DataFrame) -> DataFrame:
-    """The asked-for pages; an address without a fetched page ends the job."""
-    wanted = spark.createDataFrame([(a,) for a in addresses], "url string")
-    fetched = pages.select("url", "html").join(wanted, "url")  # the address list decides the join's size
+    """A row per request, in its order; an address without a fetched page ends the job.
+
+    Requests are numbered and pages taken once per address, so neither an address asked for twice nor a page fetched
+    twice multiplies the other.
+    """
+    wanted = spark.createDataFrame(list(enumerate(addresses)), "request long, url string")
+    asked = wanted.select("url").distinct()
+    fetched = pages.select("url", "html").join(asked, "url", "left_semi").dropDuplicates(["url"])
     found = wanted.join(fetched, "url", "left")
     missing = F.raise_error(F.concat(F.lit("failed to load URL: "), F.col("url"))).cast("string")
-    return found.withColumn("html", F.coalesce("html", missing))
+    return found.withColumn("html", F.coalesce("html", missing)).drop("request")
 
 
 def load_tables(
@@ -83,10 +114,15 @@ def load_tables(
     loader: FileLoader | None = None,
 ) -> DataFrame:
     """Documents of file rows (path, modificationTime, length, content) and page rows (url, html)."""
-    frames = []
-    if files is not None:
+    frames, types = [], _file_types(doc_types)
+    if files is not None and types:
+        # told by the path, before anything is decoded; readers of other types stay out of the plan
         local = files.where(~urls.is_url(F.col("path")))
-        frames.append((loader or FileLoader()).load(local).documents)
-    if pages is not None:
+        if doc_types is not None:
+            local = local.where(urls.document_type(F.col("path")).isin(*types))
+        frames.append((loader or FileLoader()).load(local, types=types).documents)
+    if pages is not None and (doc_types is None or "url" in doc_types):
         frames.append(web_documents(pages))
+    if not frames:
+        return (files if files is not None else pages).sparkSession.createDataFrame([], schemas.DOCUMENT)
     return filter_doc_types(reduce(DataFrame.unionByName, frames), doc_types)
