@@ -22,8 +22,9 @@ from inkweave.operators.tasks import (
 )
 from inkweave.session import scratch_path
 from inkweave.sinks.export import export_dataset
+from inkweave.sources.documents import filter_doc_types
 from inkweave.sources.files import FileLoader
-from inkweave.sources.load import load_documents
+from inkweave.sources.load import load_sources
 
 
 class NoDocumentsError(Exception):
@@ -45,6 +46,12 @@ class ProcessedRun:
     examples: DataFrame
     rejected: DataFrame
 
+    def record(self, jobs_path: str | None = None, datasets_path: str | None = None) -> None:
+        """Append the job's and the dataset's row to their tables."""
+        for path, row in ((jobs_path, self.job), (datasets_path, self.dataset)):
+            if path:
+                row().coalesce(1).write.mode("append").parquet(path)
+
     def counts(self) -> DataFrame:
         """Documents, and items by task type, outcome and whether they were kept: one pass over the items."""
         documents = self.documents.agg(F.count(F.lit(1)).alias("n")).select(
@@ -141,13 +148,44 @@ def process_documents(
     chunk_overlap: int = CHUNK_OVERLAP,
     price_per_token: float | None = None,
     materialize: bool | None = None,
+    jobs_path: str | None = None,
+    datasets_path: str | None = None,
 ) -> ProcessedRun:
     """Clean, chunk, cross with tasks, execute, build examples, and gate them.
 
-    From the documents to the gate there is no shuffle: all of it runs in the scan stage. Results of Python
-    runners are written once to the shared folder before anything reads them (``materialize`` can force or
-    forbid that), so that counting does not call the runner again and a lost executor cannot change results.
+    From the documents to the gate there is no shuffle: all of it runs in the scan stage. With ``materialize`` the
+    items are written once to the shared folder, with their state and verdict, and the examples, the rejects and the
+    rows of job and dataset are read from there. Results of Python runners always are, so that counting does not call
+    the runner again and a lost executor cannot change results.
+
+    ``jobs_path`` and ``datasets_path`` name tables that the rows of this run are appended to. A run that ends in an
+    error leaves a failed job there, and raises.
     """
+    settings = {k: v for k, v in locals().items() if k not in ("documents", "task_types", "jobs_path", "datasets_path")}
+    try:
+        run = _processed(documents, task_types, **settings)
+        run.record(jobs_path, datasets_path)
+    except Exception as error:
+        if jobs_path:
+            failed_job(documents.sparkSession, name, error).coalesce(1).write.mode("append").parquet(jobs_path)
+        raise
+    return run
+
+
+def _processed(
+    documents: DataFrame,
+    task_types: Sequence[str] | None,
+    *,
+    quality_filter: bool,
+    templates: Sequence[TaskTemplate] | None,
+    runners: Mapping[str, TaskRunner] | None,
+    evaluator: Evaluator | None,
+    name: str,
+    chunk_size: int,
+    chunk_overlap: int,
+    price_per_token: float | None,
+    materialize: bool | None,
+) -> ProcessedRun:
     if documents.isEmpty():
         raise NoDocumentsError("no documents to process")
     chosen = list(templates) if templates is not None else templates_for(task_types)
@@ -158,17 +196,17 @@ def process_documents(
     if materialize is None:
         materialize = any(r.python for r in (runners or {}).values())
     if materialize:
-        path = scratch_path(documents.sparkSession, "task-results")
-        results.write.parquet(path)
-        results = documents.sparkSession.read.schema(results.schema).parquet(path)
+        results = _written(results, "task-results")
 
     dataset_id = hashlib.md5(name.encode()).hexdigest()
     items = example_items(results, dataset_id=F.lit(dataset_id))
     if quality_filter:
         items = (evaluator or Evaluator(templates=chosen)).evaluate(items)
     done = F.col("status") == "completed"
-    kept, rejected = quality_gate(items.where(done), quality_filter)
     items = items.withColumn("kept", done & (F.col("passed") if quality_filter else F.lit(True)))
+    if materialize:
+        items = _written(items, "items")
+    kept, rejected = quality_gate(items.where(done).drop("kept"), quality_filter)
     return ProcessedRun(
         dataset_id=dataset_id,
         name=name,
@@ -183,6 +221,13 @@ def process_documents(
     )
 
 
+def _written(rows: DataFrame, label: str) -> DataFrame:
+    """The rows, written once to the shared folder and read from there."""
+    path = scratch_path(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def quick_process(
     spark: SparkSession,
     sources: str | list[str] | DataFrame,
@@ -193,19 +238,33 @@ def quick_process(
     pages: DataFrame | None = None,
     loader: FileLoader | None = None,
     ledger_path: str | None = None,
+    quarantine_path: str | None = None,
+    doc_types: list[str] | None = None,
+    recursive: bool = True,
+    exclude_name_contains: tuple[str, ...] = (),
+    split_data: bool = True,
     **options,
 ) -> ProcessedRun:
-    """Load, process and export in one call. ``sources`` are paths and addresses, or a frame of documents."""
-    documents = (
-        sources
-        if isinstance(sources, DataFrame)
-        else load_documents(spark, sources, pages=pages, loader=loader)
-    )
-    run = process_documents(documents, task_types, **options)
+    """Load, process and export in one call. ``sources`` are paths and addresses, or a frame of documents.
+
+    Files that could not be loaded are appended to the table at ``quarantine_path``, if one is named. The items are
+    written once, so export, job and dataset do not run the pipeline again.
+    """
+    if isinstance(sources, DataFrame):
+        documents = filter_doc_types(sources, doc_types)
+    else:
+        loaded = load_sources(
+            spark, sources, pages=pages, loader=loader, doc_types=doc_types, recursive=recursive, exclude_name_contains=exclude_name_contains
+        )
+        documents = loaded.documents
+        if quarantine_path:
+            loaded.quarantine.write.mode("append").parquet(quarantine_path)
+    run = process_documents(documents, task_types, **{"materialize": True, **options})
     export_dataset(
         run.examples,
         output_path,
         export_format=export_format,
+        split_data=split_data,
         dataset_id=run.dataset_id,
         ledger_path=ledger_path,
     )

@@ -213,3 +213,44 @@ def test_shared_folder():
     assert shared_folder(_Session("local[2]", None)) == shared_folder(_Session("local[2]", None))
     with pytest.raises(ValueError):
         shared_folder(_Session("yarn", None))
+
+
+def test_load_keeps_what_was_lost(spark, folder):
+    from inkweave.sources.load import load_sources
+
+    loaded = load_sources(spark, [folder, folder, folder + "/a.txt"])
+    lost = {r["source"].rsplit("/", 1)[1]: r["error_class"] for r in loaded.quarantine.collect()}
+    assert lost == {"bad.txt": "malformed_encoding", "bad.json": "malformed_json", "scan.pdf": "parser_missing"}
+    names = [r["source"] for r in loaded.documents.collect()]
+    assert len(names) == len(set(names)) == 5 and tuple(loaded.report().first()) == (5, 3)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "12")
+    try:
+        short = load_sources(spark, folder, doc_types=["csv", "txt"])
+        long = {r["source"].rsplit("/", 1)[1] for r in short.quarantine.where("error_class = 'file_too_long'").collect()}
+        assert long == {"t.csv", "a.txt"}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+def test_unwanted_types_have_no_parser_in_the_plan(spark, folder):
+    plan = load_documents(spark, folder, doc_types=["txt"])._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "from_json" not in plan
+
+
+def test_addresses_asked_for_twice(spark):
+    pages = spark.createDataFrame([("http://h/a", "<p>x</p>"), ("http://h/a", "<p>x</p>"), ("http://h/b", "y")], "url string, html string")
+    made = load_documents(spark, ["http://h/a", "http://h/a"], pages=pages).collect()
+    assert [r["content"] for r in made] == ["x", "x"]
+
+
+def test_runs_are_recorded(spark, folder, tmp_path):
+    from inkweave.plans.process import NoDocumentsError, quick_process
+
+    paths = {k: str(tmp_path / k) for k in ("jobs", "datasets", "quarantine")}
+    options = {"jobs_path": paths["jobs"], "datasets_path": paths["datasets"], "quality_filter": False}
+    run = quick_process(spark, folder, str(tmp_path / "out"), quarantine_path=paths["quarantine"], doc_types=["txt", "md"], **options)
+    assert run.items.inputFiles() and spark.read.parquet(paths["quarantine"]).count() == 1
+    with pytest.raises(NoDocumentsError):
+        quick_process(spark, folder, str(tmp_path / "none"), doc_types=["html"], exclude_name_contains=("p.html",), **options)
+    assert sorted(r["status"] for r in spark.read.parquet(paths["jobs"]).collect()) == ["completed", "failed"]
+    assert spark.read.parquet(paths["datasets"]).count() == 1
