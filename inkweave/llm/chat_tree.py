@@ -13,7 +13,6 @@ stays small whatever is shared. Each pack repeats the shared turns it needs once
 from __future__ import annotations
 
 import re
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -82,9 +81,14 @@ class Coder:
         return "".join(out)
 
 
-@cache
+_CODERS: dict[str | None, Coder] = {}
+
+
 def coder(path: str | None) -> Coder:
-    return Coder(path)
+    """The coder of a vocabulary file, read once per task."""
+    if path not in _CODERS:
+        _CODERS[path] = Coder(path)
+    return _CODERS[path]
 
 
 # --- packs --------------------------------------------------------------------------------------------------
