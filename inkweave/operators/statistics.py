@@ -95,37 +95,53 @@ def dataset_summary(examples: DataFrame, name_prefix: str = "Generated Dataset")
     return schemas.conform(named, schemas.DATASET)
 
 
-def _section(rows: DataFrame, section: str, key, value) -> DataFrame:
-    return rows.select(F.lit(section).alias("section"), key.alias("key"), value.cast("bigint").alias("value"))
+def _sections(rows: DataFrame, *entries) -> DataFrame:
+    """(section, key, value) rows of a small table: each of its rows gives the entries whose condition holds."""
+    made = [
+        F.when(holds, F.struct(F.lit(section).alias("section"), key.alias("key"), value.cast("bigint").alias("value")))
+        for section, key, value, holds in entries
+    ]
+    return rows.select(F.inline(F.filter(F.array(*made), lambda entry: entry.isNotNull())))
 
 
 def statistics_report(documents: DataFrame, examples: DataFrame, jobs: DataFrame) -> DataFrame:
-    """All statistics as (section, key, value).
-
-    The example sections both start from the same small counts, whose shuffle Spark runs once.
-    """
-    by_type = document_statistics(documents)
-    counts = example_counts(examples)
-    by_task = example_statistics(counts)
-    by_status = job_statistics(jobs)
-    approval = quality_statistics(counts)
-    total, is_all = F.lit("total"), F.col("doc_type") == ALL
-    status_all, task_all = F.col("status") == ALL, F.col("task_type") == ALL
+    """All statistics as (section, key, value). Each entity is aggregated once, and its sections come from that row set."""
+    total, always = F.lit("total"), F.lit(True)
 
-    def named(prefix: str, column: str):
-        return F.concat(F.lit(prefix), F.col(column))
+    def key(column: str, prefix: str, of_all: str) -> tuple:
+        is_all = F.col(column) == ALL
+        return F.when(is_all, F.lit(of_all)).otherwise(F.concat(F.lit(prefix), F.col(column))), is_all
 
+    by_type, all_types = key("doc_type", "type:", "total")
+    by_task, all_tasks = key("task_type", "task:", "total_examples")
+    by_status, all_states = key("status", "status:", "total")
+    counts = example_counts(examples)
+    approved = F.sum(F.when(F.col("quality_approved"), F.col("examples")))
+    tasks = counts.rollup("task_type").agg(
+        F.coalesce(F.sum("examples"), F.lit(0)).alias("examples"),
+        F.countDistinct("dataset_id").alias("datasets"),
+        F.coalesce(approved, F.lit(0)).alias("approved"),
+        F.grouping("task_type").alias("_total"),
+    )
+    tasks = tasks.withColumn("task_type", F.when(F.col("_total") == 1, F.lit(ALL)).otherwise(F.col("task_type")))
     sections = [
-        _section(by_type, "documents", F.when(is_all, total).otherwise(named("type:", "doc_type")), F.col("documents")),
-        _section(by_type.where(is_all), "documents", F.lit("total_size"), F.col("total_size")),
-        _section(
-            by_task, "datasets", F.when(task_all, F.lit("total_examples")).otherwise(named("task:", "task_type")), F.col("examples")
+        _sections(
+            document_statistics(documents),
+            ("documents", by_type, F.col("documents"), always),
+            ("documents", F.lit("total_size"), F.col("total_size"), all_types),
+        ),
+        _sections(
+            tasks,
+            ("datasets", by_task, F.col("examples"), always),
+            ("datasets", total, F.col("datasets"), all_tasks),
+            ("quality", F.lit("approved_examples"), F.col("approved"), all_tasks),
+            ("quality", F.lit("total_examples"), F.col("examples"), all_tasks),
+        ),
+        _sections(
+            job_statistics(jobs),
+            ("jobs", by_status, F.col("jobs"), always),
+            ("jobs", F.lit("active"), F.col("active"), all_states),
         ),
-        _section(by_task.where(task_all), "datasets", total, F.col("datasets")),
-        _section(by_status, "jobs", F.when(status_all, total).otherwise(named("status:", "status")), F.col("jobs")),
-        _section(by_status.where(status_all), "jobs", F.lit("active"), F.col("active")),
-        _section(approval, "quality", F.lit("approved_examples"), F.col("approved_examples")),
-        _section(approval, "quality", F.lit("total_examples"), F.col("total_examples")),
     ]
     return reduce(DataFrame.unionByName, sections)
 
