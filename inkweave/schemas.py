@@ -67,20 +67,6 @@ CHUNK = _struct(
     topics=T.ArrayType(T.StringType()),
 )
 
-TASK_RESULT = _struct(
-    task_id=T.StringType(),
-    template_id=T.StringType(),
-    input_chunk_id=T.StringType(),
-    output=T.StringType(),
-    confidence=T.DoubleType(),
-    quality_scores=_scores,
-    processing_time=T.DoubleType(),
-    token_usage=T.IntegerType(),
-    cost=T.DoubleType(),
-    status=T.StringType(),
-    error_message=T.StringType(),
-)
-
 EXAMPLE = _struct(
     id=T.StringType(),
     dataset_id=T.StringType(),
@@ -146,6 +132,12 @@ def in_domain(column: Column, domain: tuple[str, ...]) -> Column:
     return F.coalesce(column.isin(*domain), F.lit(False))
 
 
+def checked(column: Column, domain: tuple[str, ...], name: str) -> Column:
+    """The column, ending the job at a value outside the domain; null passes."""
+    wrong = F.raise_error(F.concat(F.lit(f"{name} outside its domain: "), column)).cast("string")
+    return F.when(column.isNull() | in_domain(column, domain), column).otherwise(wrong)
+
+
 def when_zero(given: Column | None, derived: Column) -> Column:
     """The given count, or the derived one where the given is 0 or null."""
     if given is None:

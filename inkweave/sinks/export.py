@@ -138,7 +138,7 @@ def append_ledger(
         F.current_timestamp().alias("exported_at"),
         F.lit(rows).cast("bigint").alias("exported_rows"),
     )
-    entry.coalesce(1).write.mode("append").parquet(ledger_path)
+    schemas.conform(entry, schemas.LEDGER).coalesce(1).write.mode("append").parquet(ledger_path)
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:

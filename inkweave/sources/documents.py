@@ -61,13 +61,13 @@ def make_documents(
     """Project rows to documents: a narrow select that stays in the scan stage.
 
     ``size`` is the UTF-8 size of the content. Word and character counts are derived unless given as
-    other than 0. Given metadata wins over what the source tells.
+    other than 0. Given metadata wins over what the source tells. A document type outside the domain ends the job.
     """
     staged = rows.select(
         content.alias("content"),
         source.alias("source"),
         title.alias("title"),
-        doc_type.alias("doc_type"),
+        schemas.checked(doc_type, schemas.DOCUMENT_TYPES, "doc_type").alias("doc_type"),
         (F.lit("en") if language is None else language).alias("language"),
         (F.lit("utf-8") if encoding is None else encoding).alias("encoding"),
         (F.lit(None).cast("string") if extraction_method is None else extraction_method).alias(
