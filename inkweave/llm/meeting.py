@@ -49,6 +49,7 @@ class Plan:
 def planned(size: int, least: int, bytes_per_bucket: int = BUCKET_BYTES) -> Plan:
     return Plan(max(least, -(-size // bytes_per_bucket)), min(56, max(32, size.bit_length() + SPARE_BITS)))
 
+
 SENT = "bucket long, batch long, keys binary"
 FOUND = "batch long, bucket long, keys binary"
 
@@ -60,7 +61,9 @@ def batched(documents: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     batches = max(least, -(-size // BATCH_BYTES))
-    return rows.withColumn("batch", F.pmod(F.xxhash64(F.coalesce("id", F.lit(NO_ID))), F.lit(batches))), planned(size, least)
+    # rows without an id are no one another's repeats, so they may lie in different batches
+    spread = F.xxhash64(F.coalesce("id", F.xxhash64("text")))
+    return rows.withColumn("batch", F.pmod(spread, F.lit(batches))), planned(size, least)
 
 
 def run_starts(ascending: np.ndarray) -> np.ndarray:
