@@ -1,16 +1,16 @@
 """MinHash near-dedup by a multi-index Hamming join.
 
 A document's distinct word shingles give a signature of ``VALUES`` least hashes of 16 bits. Two signatures' distance is
-the number of places in which they differ. The first ``INDEXED`` places, cut into ``CHUNKS`` chunks, are looked up: any pair at a distance of up to ``DISTANCE``
+the number of places in which they differ. Cut into ``CHUNKS`` chunks, any pair at a distance of up to ``DISTANCE``
 has, by the pigeonhole principle, a chunk with one error at most; so every chunk is looked up once for each place
 that may be wrong, with that place left out. That finds *all* pairs up to the distance: at a similarity of 0.8 a pair
 lies beyond it once in some 100,000 times, and more similar pairs far more rarely.
 
 Documents of one shingle set are one class from the start, and only classes meet. Look-up keys that one class alone
-has are left out in a packed exchange (meeting.py). A key's classes are linked in two steps that never emit all pairs
-of a group: first each with the two most likely hubs of the group, confirmed on full shingle sets; then only classes
-of a key that are still in different components are compared with one another, by whole signatures, in blocks of bounded
-size and in the first key that a pair shares, and again confirmed on full sets. Classes in one component need no further link.
+has are left out in a packed exchange (meeting.py). What is left is linked in two steps, neither of which makes a row per
+pair: first each class of a key with the two most likely hubs of the key, confirmed on full shingle sets; then, of keys
+whose classes are still in several components, all classes that share a hub meet in blocks of bounded size, where those
+of different components are compared on full sets, and a block gives only the links that join components.
 """
 
 from __future__ import annotations
@@ -25,19 +25,18 @@ from inkweave.llm.bytehash import RollingHash, Texts, mix, slices, words
 from inkweave.llm.components import components
 from inkweave.llm.store import written
 
-VALUES, INDEXED = 256, 128
-#: Greatest distances of pairs that are looked at: in the indexed places, and in all of them.
-DISTANCE, WHOLE_DISTANCE = 45, 80
+VALUES = 128
+DISTANCE = 45
 CHUNKS = (DISTANCE + 1) // 2
-#: Classes of one key that meet in one task; a larger group meets as pairs of such blocks.
-BLOCK = 2048
+#: Shingles of the classes that meet in one task; more of them meet as pairs of such blocks.
+BLOCK_SHINGLES = 1 << 19
 _PIECE_BYTES = 512 << 10
 
 _ROLLING, _SETS = RollingHash(53), RollingHash(71)
 _DRAWS = np.random.default_rng(97)
 _XOR = _DRAWS.integers(0, 2**32, VALUES, dtype=np.uint32)
 _TIMES = _DRAWS.integers(0, 2**31, VALUES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_BOUNDS = [round(i * INDEXED / CHUNKS) for i in range(CHUNKS + 1)]
+_BOUNDS = [round(i * VALUES / CHUNKS) for i in range(CHUNKS + 1)]
 
 _SIGNED = "id long, n long, high long, low long, signature binary"
 _SIGNED_ARROW = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("high", pa.int64()), ("low", pa.int64()), ("signature", pa.binary())])
@@ -161,8 +160,8 @@ def _send_lookups(table: pa.Table, plan: meeting.Plan) -> pa.Table:
     return meeting.send_keys(table["batch"][0].as_py(), keys.ravel(), owner, True, plan)
 
 
-_SHARED = "key long, slot int, class long, n long, shared int"
-_SHARED_ARROW = pa.schema([("key", pa.int64()), ("slot", pa.int32()), ("class", pa.int64()), ("n", pa.int64()), ("shared", pa.int32())])
+_SHARED = "key long, class long, n long, shared int"
+_SHARED_ARROW = pa.schema([("key", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("shared", pa.int32())])
 
 
 def _shared_lookups(table: pa.Table, answers: pa.Table, plan: meeting.Plan) -> pa.Table:
@@ -170,12 +169,11 @@ def _shared_lookups(table: pa.Table, answers: pa.Table, plan: meeting.Plan) -> p
         return _SHARED_ARROW.empty_table()
     keys = _class_keys(table)
     hit = meeting.contained(plan.short(keys.ravel()), meeting.found_keys(answers)).reshape(keys.shape)
-    row, slot = np.nonzero(hit)
+    row, _ = np.nonzero(hit)
     shared = hit.sum(axis=1).astype(np.int32)
     return pa.Table.from_arrays(
         [
             pa.array(keys[hit].view(np.int64)),
-            pa.array(slot.astype(np.int32)),
             table["class"].combine_chunks().take(pa.array(row)),
             table["n"].combine_chunks().take(pa.array(row)),
             pa.array(shared[row]),
@@ -190,7 +188,7 @@ def _links(classes: DataFrame, rows: DataFrame, shingle: int, percent: int) -> D
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     batches = max(parts, -(-classes.count() // 4096))
     grouped = classes.select("class", "n", "signature", F.pmod(F.xxhash64("class"), F.lit(batches)).alias("batch"))
-    plan = meeting.Plan(batches, min(56, max(32, (batches * 4096 * INDEXED).bit_length() + meeting.SPARE_BITS)))
+    plan = meeting.Plan(batches, min(56, max(32, (batches * 4096 * VALUES).bit_length() + meeting.SPARE_BITS)))
     sent = meeting.by_batch(grouped, _send_lookups, meeting.SENT, plan=plan)
     shared = written(meeting.by_batch(grouped, _shared_lookups, _SHARED, meeting.shared_keys(sent), plan=plan), "lookups")
 
@@ -215,23 +213,23 @@ def _links(classes: DataFrame, rows: DataFrame, shingle: int, percent: int) -> D
 
     # what is left: keys of three classes or more that lie in several components
     open_keys = (
-        shared.join(hubs.where("members > 2").select("key"), "key")
+        shared.join(hubs.where("members > 2").select("key", F.col("hub_b").alias("hub")), "key")
         .join(found.withColumnRenamed("node", "class"), "class", "left")
         .withColumn("component", F.coalesce("component", "class"))
     )
-    several = open_keys.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members"))
-    several = several.where("x != y").select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    left = written(open_keys.join(several, "key"), "open-keys")
-    own = F.pmod(F.xxhash64("class"), F.col("blocks"))
+    several = open_keys.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y")
+    # classes of one key have one hub, so they meet if they meet by hubs, and far less often than by keys
+    left = written(open_keys.join(several.select("key"), "key").select("hub", "class", "n", "component").distinct(), "open-classes")
+    sizes = left.groupBy("hub").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     dealt = (
-        left.join(classes.select("class", "signature"), "class")
-        .withColumn("own", own)
+        left.join(sizes, "hub")
+        .withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")))
+        .join(sets, "class")
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        .select("key", "slot", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "class", "n", "component", "signature")
+        .select("hub", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "class", "component", "shingles")
     )
-    close = dealt.groupBy("key", "x", "y").applyInArrow(lambda table: _close_pairs(table, percent), "a long, b long")
-    second = _confirmed(close.distinct().join(pairs, ["a", "b"], "left_anti"), sets, percent)
-    return first.unionByName(written(second, "late-links"))
+    late = dealt.groupBy("hub", "x", "y").applyInArrow(lambda table: _late_links(table, percent), "a long, b long")
+    return first.unionByName(written(late, "late-links"))
 
 
 def _can_match(n: str, m: str, percent: int):
@@ -242,32 +240,36 @@ def _can_match(n: str, m: str, percent: int):
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _close_pairs(table: pa.Table, percent: int) -> pa.Table:
-    """Pairs of different components up to the signature distance, between two blocks (or within one) of a key.
-
-    A pair of classes shares many keys; it is given in the first of them only.
-    """
-    ids, sizes, component, own = (table[c].to_numpy() for c in ("class", "n", "component", "own"))
-    signatures = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint16).reshape(-1, VALUES)
+def _late_links(table: pa.Table, percent: int) -> pa.Table:
+    """Links between classes of different components, of two blocks (or within one), until these are one component."""
+    ids, component, own = (table[c].to_numpy() for c in ("class", "component", "own"))
+    lists = table["shingles"].combine_chunks()
+    first = lists.offsets.to_numpy().astype(np.int64)
+    codes = np.unique(lists.values.to_numpy(), return_inverse=True)[1]
+    sizes = np.diff(first)
+    group = np.unique(component, return_inverse=True)[1]  # components as they are joined here
     two = table["x"][0].as_py() != table["y"][0].as_py()
-    slot = table["slot"][0].as_py()
-    chunk = int(np.searchsorted(_BOUNDS, slot, side="right")) - 1
+    side = np.flatnonzero(own == own[0]) if two else np.arange(len(ids))
+    held = np.zeros(int(codes.max()) + 1 if len(codes) else 1, bool)
     a, b = [], []
-    for i in range(len(ids)):
-        if two and own[i] != own[0]:
+    for i in side.tolist():
+        can = (group != group[i]) & (np.minimum(sizes, sizes[i]) * 100 >= np.maximum(sizes, sizes[i]) * percent)
+        at = np.flatnonzero(can & ((own != own[i]) if two else (np.arange(len(ids)) > i)))
+        if not len(at):
             continue
-        can = (component != component[i]) & (np.minimum(sizes, sizes[i]) * 100 >= np.maximum(sizes, sizes[i]) * percent)
-        at = np.flatnonzero(can & ((own != own[i]) if two else (ids > ids[i])))
-        differ = signatures[at] != signatures[i]
-        close = differ.sum(axis=1) <= WHOLE_DISTANCE
-        at, differ = at[close], differ[close]
-        errors = np.add.reduceat(differ[:, :INDEXED].astype(np.int64), _BOUNDS[:-1], axis=1)
-        # all keys of a chunk without an error match, of one with an error the key that leaves out its place
-        first = ((errors <= 1).argmax(axis=1) == chunk) & ((errors[:, chunk] == 1) | (slot == _BOUNDS[chunk]))
-        a.append(np.minimum(ids[at[first]], ids[i]))
-        b.append(np.maximum(ids[at[first]], ids[i]))
-    none = [np.zeros(0, np.int64)]
-    return pa.Table.from_arrays([pa.array(np.concatenate(a or none)), pa.array(np.concatenate(b or none))], schema=_PAIRS)
+        mine = codes[first[i] : first[i + 1]]
+        held[mine] = True
+        counts = sizes[at]
+        begins = np.cumsum(counts) - counts
+        places = np.repeat(first[at] - begins, counts) + np.arange(counts.sum())
+        both = np.add.reduceat(held[codes[places]].astype(np.int64), begins)
+        held[mine] = False
+        for j in at[both * 100 >= (sizes[i] + counts - both) * percent].tolist():
+            if group[j] != group[i]:
+                group[group == group[j]] = group[i]
+                a.append(min(ids[i], ids[j]))
+                b.append(max(ids[i], ids[j]))
+    return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_PAIRS)
 
 
 def _sets(batches, shingle: int):

@@ -51,8 +51,8 @@ def test_odd_rows(docs_of, odd_rows, n):
 
 
 def test_chain_without_a_common_hub(docs_of, monkeypatch):
-    """Neighbours in a chain are linked, its ends are not; blocks of two classes still meet."""
-    monkeypatch.setattr(near_dedup, "BLOCK", 2)
+    """Neighbours in a chain are linked, its ends are not; blocks of a few classes still meet."""
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 250)
     rng = random.Random(8)
     words = [f"w{rng.random()}" for _ in range(400)]
     rows = [(100 - k, " ".join(words[k * 12 : k * 12 + 120])) for k in range(16)]
