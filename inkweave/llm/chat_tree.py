@@ -5,9 +5,10 @@ Conversations of a pack are merged into a tree of turns, which is written out on
 position id (its place in its own conversation), every node the intervals of its ancestors, which together with the
 tokens before it in the node are all that a token may attend to, and a loss mask marks the assistants' texts.
 
-Equal conversations are one leaf. Conversations are dealt to packs by their first turn; a first turn that begins more
-than a pack holds is dealt by the first two turns, and what is still too much by the whole conversation, so that a pack
-stays small whatever is shared. Each pack repeats the shared turns it needs once.
+Equal conversations are one leaf. Conversations are sorted by the hashes of their turns, so that those which begin alike
+are neighbours at every depth, and the sorted rows are cut into packs: one conversation and as much further text as a
+pack holds, in which shared turns count once. A pack stays small whatever is shared, and shared turns are repeated only
+where a cut, or the border between two tasks, runs through the conversations below them.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
 PACK_CHARS = 1 << 20
+#: Characters that the template adds to a turn.
+TURN_CHARS = len(START) + len(END) + 2
 
 _TURNS = "array<struct<role:string,text:string>>"
 _PACKS = (
@@ -118,34 +121,46 @@ def pack(found: DataFrame, *, tokenizer: str | None = None, pack_chars: int = PA
     by two for the control marks. ``nodes`` are in the order of writing; ``parent`` is -1 for a first turn.
     ``ancestors`` of a node are its ancestors' intervals from the first turn on. An empty table gives no packs.
     """
-    size = F.aggregate("turns", F.lit(0), lambda t, x: t + F.length(x["text"]) + F.length(x["role"]) + 24)
-    distinct = found.groupBy("key").agg(F.first("turns").alias("turns")).withColumn("chars", size.cast("long"))
-    distinct = distinct.withColumn("one", F.xxhash64(F.slice("turns", 1, 1))).withColumn("two", F.xxhash64(F.slice("turns", 1, 2)))
-    ones = distinct.groupBy("one").agg(F.sum("chars").alias("of_one"))
-    twos = distinct.groupBy("two").agg(F.sum("chars").alias("of_two"))
-    sized = distinct.join(ones, "one").join(twos, "two")
-    salt = F.when(F.col("of_one") <= pack_chars, F.lit(0).cast("long")).when(F.col("of_two") <= pack_chars, F.col("two")).otherwise(
-        F.xxhash64("two", F.pmod(F.xxhash64("key"), F.ceil(F.col("of_two") / pack_chars)))
-    )
-    # small first turns share packs; a pack has its own group, whose size is bounded by the cuts above
-    roots = F.when(F.col("of_one") <= pack_chars // 8, F.pmod("one", F.greatest(F.lit(1), F.ceil(_total(distinct) * 2 / pack_chars)))).otherwise(F.col("one"))
-    dealt = sized.select("key", "turns", F.xxhash64(roots, salt).alias("pack"))
-    return dealt.groupBy("pack").applyInArrow(lambda table: _tree(table, tokenizer), _PACKS)
+    distinct = found.groupBy("key").agg(F.first("turns").alias("turns"))
+    steps = F.transform("turns", lambda t: F.xxhash64(t["role"], t["text"]))
+    # keys are distinct, so no range of the sort can be hot
+    dealt = distinct.withColumn("steps", steps).repartitionByRange("steps", "key").sortWithinPartitions("steps", "key")
 
+    def cut(batches):
+        for members in _cuts(batches, pack_chars):
+            yield from _tree(members, tokenizer).to_batches()
 
-def _total(distinct: DataFrame):
-    return F.lit(distinct.agg(F.sum("chars")).first()[0] or 0)
+    return dealt.select("key", "turns").mapInArrow(cut, _PACKS)
 
 
-def _tree(table: pa.Table, tokenizer: str | None) -> pa.Table:
+def _cuts(batches, pack_chars: int):
+    """The members of each pack, as (key, turns), from sorted rows: the first, and others of ``pack_chars`` of new text."""
+    members: list[tuple[str, list[tuple[str, str]]]] = []
+    size = 0
+    for batch in batches:
+        keys, turns = batch.column("key"), batch.column("turns")
+        for i in range(batch.num_rows):
+            path = [(t["role"], t["text"]) for t in turns[i].as_py()]
+            if members:
+                before = members[-1][1]
+                shared = next((j for j, (x, y) in enumerate(zip(before, path, strict=False)) if x != y), min(len(before), len(path)))
+                size += sum(len(role) + len(text) + TURN_CHARS for role, text in path[shared:])
+                if size > pack_chars:
+                    yield members
+                    members, size = [], 0
+            members.append((keys[i].as_py(), path))
+    if members:
+        yield members
+
+
+def _tree(members: list[tuple[str, list[tuple[str, str]]]], tokenizer: str | None) -> pa.Table:
     code = coder(tokenizer)
     children: list[dict[tuple[str, str], int]] = [{}]
     turns: list[tuple[str, str]] = [("", "")]
     leaves: list[tuple[str, int]] = []
-    for key, path in sorted(zip(table["key"].to_pylist(), table["turns"].to_pylist(), strict=True), key=lambda x: x[0]):
+    for key, path in members:
         node = 0
-        for turn in path:
-            step = (turn["role"], turn["text"])
+        for step in path:
             following = children[node].get(step)
             if following is None:
                 following = children[node][step] = len(turns)
@@ -174,7 +189,7 @@ def _tree(table: pa.Table, tokenizer: str | None) -> pa.Table:
         below = [*above, {"begin": begin, "end": len(tokens)}]
         stack += [(c, number[node], depth + len(written), below) for c in reversed(children[node].values())]
     row = {
-        "pack": [table["pack"][0].as_py()],
+        "pack": [int.from_bytes(bytes.fromhex(members[0][0][:16]), "big", signed=True)],
         "tokens": [tokens],
         "positions": [positions],
         "loss": [loss],

@@ -105,6 +105,21 @@ def test_chat_round_trip(spark, tokenizer, pack_chars):
     assert chat_tree.read_back(chat_tree.pack(chat_tree.conversations(said.limit(0)))).collect() == []
 
 
+@pytest.mark.parametrize("depth", [1, 3])
+def test_hot_first_turns_are_written_once_per_pack(spark, depth):
+    """However many conversations begin with the same turns, these are written about once per pack_chars of other text."""
+    start = [(t, "system", f"start {t} " + "s" * 500) for t in range(depth)]
+    rows = [(c, *t) for c in range(400) for t in [*start, (depth, "user", f"question {c} " + "q" * 80)]]
+    found = chat_tree.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3))
+    packs = chat_tree.pack(found, pack_chars=5_000).collect()
+    firsts = sum(n.parent == -1 for p in packs for n in p.nodes)
+    other = sum(len(r[3]) + 32 for r in rows if r[1] == depth)
+    assert sum(len(p.leaves) for p in packs) == 400 and max(len(p.tokens) for p in packs) < 5_000 + 600 * (depth + 1)
+    # cuts, the borders of 8 tasks, and a little for what a cut leaves free
+    assert firsts <= 1.1 * other / 5_000 + 8 + 1
+    assert sum(len(p.nodes) for p in packs) == 400 + depth * firsts
+
+
 # --- queries and the pipeline ---------------------------------------------------------------------------------
 
 
