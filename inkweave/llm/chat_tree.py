@@ -3,7 +3,9 @@
 Turns are written in a template with control marks, control strings inside roles and texts escaped reversibly.
 Conversations of a pack are merged into a tree of turns, which is written out once, depth first: every token has a
 position id (its place in its own conversation), every node the intervals of its ancestors, which together with the
-tokens before it in the node are all that a token may attend to, and a loss mask marks the assistants' texts.
+tokens before it in the node are all that a token may attend to, and a loss mask marks the assistants' texts. The child
+with the most nodes below it is written first, next to its parent, and intervals that touch are one, so that a node of a
+tree of n nodes has about log2(n) intervals at most, however deep it lies.
 
 Equal conversations are one leaf. Conversations are sorted by the hashes of their turns, so that those which begin alike
 are neighbours at every depth, and the sorted rows are cut into packs: one conversation and as much further text as a
@@ -119,7 +121,8 @@ def pack(found: DataFrame, *, tokenizer: str | None = None, pack_chars: int = PA
 
     Token ids are those of the vocabulary file ``tokenizer`` (a path every executor can read; bytes if None), followed
     by two for the control marks. ``nodes`` are in the order of writing; ``parent`` is -1 for a first turn.
-    ``ancestors`` of a node are its ancestors' intervals from the first turn on. An empty table gives no packs.
+    ``ancestors`` of a node are its ancestors' intervals from the first turn on: the last is its parent's, those before it
+    are merged where they touch. An empty table gives no packs.
     """
     distinct = found.groupBy("key").agg(F.first("turns").alias("turns"))
     steps = F.transform("turns", lambda t: F.xxhash64(t["role"], t["text"]))
@@ -168,12 +171,17 @@ def _tree(members: list[tuple[str, list[tuple[str, str]]]], tokenizer: str | Non
                 children.append({})
             node = following
         leaves.append((key, node))
+    # a child is numbered after its parent
+    below = [1] * len(turns)
+    for node in range(len(turns) - 1, -1, -1):
+        below[node] += sum(below[c] for c in children[node].values())
+    order = [sorted(c.values(), key=lambda child: -below[child]) for c in children]
     heads = code.encode([escape_role(role) + "\n" for role, _ in turns[1:]])
     bodies = code.encode([escape(text) for _, text in turns[1:]])
     line = code.encode(["\n"])[0]
 
     tokens, positions, loss, nodes, ancestors, number = [], [], [], [], [], {}
-    stack = [(c, -1, 0, []) for c in reversed(children[0].values())]
+    stack = [(c, -1, 0, []) for c in reversed(order[0])]
     while stack:
         node, parent, depth, above = stack.pop()
         body = bodies[node - 1]
@@ -186,8 +194,10 @@ def _tree(members: list[tuple[str, list[tuple[str, str]]]], tokenizer: str | Non
         number[node] = len(nodes)
         nodes.append({"begin": begin, "end": len(tokens), "parent": parent})
         ancestors.append(above)
-        below = [*above, {"begin": begin, "end": len(tokens)}]
-        stack += [(c, number[node], depth + len(written), below) for c in reversed(children[node].values())]
+        if len(above) > 1 and above[-2]["end"] == above[-1]["begin"]:
+            above = [*above[:-2], {"begin": above[-2]["begin"], "end": above[-1]["end"]}]
+        spans = [*above, {"begin": begin, "end": len(tokens)}]
+        stack += [(c, number[node], depth + len(written), spans) for c in reversed(order[node])]
     row = {
         "pack": [int.from_bytes(bytes.fromhex(members[0][0][:16]), "big", signed=True)],
         "tokens": [tokens],
@@ -245,6 +255,13 @@ _READ_SCHEMA = pa.schema(
 )
 
 
+def _runs(loss: np.ndarray, spans: list[tuple[int, int]]):
+    """(begin, end) of each text under the mask: texts are apart, as marks lie between them."""
+    for a, b in spans:
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], loss[a:b], [False]]).astype(np.int8))) + a
+        yield from zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)
+
+
 def _read_pack(row: dict, code: Coder):
     tokens, loss = np.array(row["tokens"], np.int64), np.array(row["loss"], bool)
     out: list[dict] = []
@@ -255,7 +272,7 @@ def _read_pack(row: dict, code: Coder):
             own = row["nodes"][leaf["node"]]
             spans = [(s["begin"], s["end"]) for s in (*row["ancestors"][leaf["node"]], own)]
         formatted = "".join(code.decode(tokens[a:b].tolist()) for a, b in spans)
-        masked = "".join(unescape(code.decode(tokens[a:b][loss[a:b]].tolist())) for a, b in spans)
+        masked = "".join(unescape(code.decode(tokens[a:b].tolist())) for a, b in _runs(loss, spans))
         turns = [{"role": unescape_role(r), "text": unescape(t)} for r, t in _TURN.findall(formatted)]
         out.append({"key": leaf["key"], "formatted": formatted, "turns": turns, "loss_text": masked})
         size += len(formatted)

@@ -120,6 +120,28 @@ def test_hot_first_turns_are_written_once_per_pack(spark, depth):
     assert sum(len(p.nodes) for p in packs) == 400 + depth * firsts
 
 
+def test_deep_conversations_have_few_intervals():
+    """A chain of turns, alone and with a branch at each turn: intervals are few, and every path reads back."""
+    depth = 2_000
+    chain = [(("user", "assistant")[t % 2], ("<", "\\|x", f"t{t}")[t // 2 % 3]) for t in range(depth)]
+    branches = [[*chain[:t], ("user", f"aside {t}")] for t in range(0, depth, 40)]
+    for paths, least in (([chain], 2), ([*branches, chain], 15)):
+        members = [(f"{i:064x}", path) for i, path in enumerate(paths)]
+        row = chat_tree._tree(members, None).to_pylist()[0]
+        assert max(map(len, row["ancestors"])) <= least
+        read = {r["key"]: r for batch in chat_tree._read_pack(row, chat_tree.coder(None)) for r in batch.to_pylist()}
+        for key, path in members:
+            assert [(t["role"], t["text"]) for t in read[key]["turns"]] == path
+            assert read[key]["loss_text"] == "".join(x for r, x in path if r == "assistant")
+        for node, above in zip(row["nodes"], row["ancestors"], strict=True):
+            spans, parent = [], node["parent"]
+            while parent >= 0:
+                spans.insert(0, (row["nodes"][parent]["begin"], row["nodes"][parent]["end"]))
+                parent = row["nodes"][parent]["parent"]
+            if node["parent"] % 97 == 0:
+                assert [i for a, b in spans for i in range(a, b)] == [i for s in above for i in range(s["begin"], s["end"])]
+
+
 # --- queries and the pipeline ---------------------------------------------------------------------------------
 
 
