@@ -140,6 +140,19 @@ FROM said s LEFT JOIN covered c USING (doc_id) LEFT JOIN named n USING (doc_id)
 """
 
 
+def op8_near_matches(spark, folder):
+    """The proximity half of op8, for every row of the table; the columns of op8's own query are those of its SQL."""
+    documents = table(spark, folder, "documents")
+    found = decontamination.near_matches(documents, table(spark, folder, "benchmark"), within=8)
+    near = found.groupBy("id").agg(F.count_distinct("item").alias("n_near"), F.count_distinct("first", "second").alias("n_places"))
+    joined = documents.select("doc_id").join(near, F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    return joined.select("doc_id", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.coalesce("n_places", F.lit(0)).alias("n_places"))
+
+
+#: Registered queries besides the one of each operator.
+FURTHER: dict[str, Query] = {"op8_near_matches": op8_near_matches}
+
+
 @query
 def op4_pii_pseudonyms(spark, folder):
     found = pseudonyms.pseudonymise(table(spark, folder, "documents"), key="inkweave", found_col="found")

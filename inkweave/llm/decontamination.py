@@ -151,22 +151,46 @@ def near_matches(
     item_text_col: str = "text",
     within: int = 8,
 ) -> DataFrame:
-    """(id, item, first, second): places where an item's two rarest terms lie within ``within`` words of each other.
+    """(id, item, first, second): places where the two rarest terms of an item's stretch lie within ``within`` words of each other.
 
-    Proximity matches find items that were reworded: the terms may come in either order. The rarest terms are two
-    different terms of the item that the corpus has, by their counts; items of one such term match nothing. Null
-    texts and items match nothing; repeated rows match once.
+    Proximity matches find items that were reworded: the terms may come in either order. The stretches are all runs of
+    ``within`` + 1 words of an item, or the whole of a shorter one, so a copy of any stretch matches. The rarest terms
+    are two different terms of the stretch that the corpus has, by their counts; stretches of one such term match
+    nothing. ``first`` is the place of the rarer one. Null texts and items match nothing; repeated rows match once.
     """
     items, owners = _item_words(benchmark, item_col, item_text_col)
-    terms = items.select("key", F.explode(F.array_distinct("w")).alias("term"))
-    index = postings(documents, _small(terms.select("term").distinct()), id_col=id_col, text_col=text_col).distinct()
-    counts = index.groupBy("term").agg(F.count("*").alias("rows"))
-    rare = terms.join(counts, "term").groupBy("key").agg(F.slice(F.sort_array(F.collect_list(F.struct("rows", "term"))), 1, 2).alias("rare"))
-    rare = rare.where("size(rare) = 2")
-    stretch = F.col("position") - F.col("position") % within
-    one = index.join(rare.select("key", F.expr("rare[0].term").alias("term")), "term")
-    one = one.select("key", "id", "mark", F.col("position").alias("first"), F.explode(F.array(stretch - within, stretch, stretch + within)).alias("stretch"))
-    two = index.join(rare.select("key", F.expr("rare[1].term").alias("term")), "term")
-    two = two.select("key", "id", "mark", F.col("position").alias("second"), stretch.alias("stretch"))
-    met = one.join(two, ["key", "id", "mark", "stretch"]).where(F.abs(F.col("first") - F.col("second")) <= within)
-    return met.join(owners, "key").select(F.when(F.col("id") != _NO_ID, F.col("id")).alias("id"), "item", "first", "second").distinct()
+    items = written(items, "items")
+    terms = _small(items.select(F.explode("w").alias("term")).distinct())
+    index = postings(documents, terms, id_col=id_col, text_col=text_col).distinct()
+    counts = written(index.groupBy("term").agg(F.count("*").alias("rows")), "term-counts")
+    pairs = written(_pairs(items, counts, within), "pairs")
+    chosen = pairs.select(F.col("before").alias("term")).distinct()
+
+    # each place is compared with the next ones of its document only: no more than ``within`` of them are near enough
+    index = postings(documents, _small(chosen), id_col=id_col, text_col=text_col)
+    listed = index.groupBy("id", "mark").agg(F.sort_array(F.collect_set(F.struct("position", "term"))).alias("places"))
+    near = F.expr(f"""
+        flatten(transform(places, (x, i) -> transform(
+            filter(slice(places, i + 2, {within}), y -> y.position - x.position <= {within} and y.term != x.term),
+            y -> struct(x.term as before, y.term as after, x.position as at, y.position as next)
+        )))
+    """)
+    neighbours = listed.select("id", "mark", F.explode(near).alias("hit")).select("id", "mark", "hit.*")
+    met = neighbours.join(_small(pairs), ["before", "after"])
+    placed = met.select(
+        "key", "id", F.when(F.col("in_order"), F.col("at")).otherwise(F.col("next")).alias("first"),
+        F.when(F.col("in_order"), F.col("next")).otherwise(F.col("at")).alias("second"),
+    )
+    found = placed.join(owners, "key")
+    return found.select(F.when(F.col("id") != _NO_ID, F.col("id")).alias("id"), "item", "first", "second").distinct()
+
+
+def _pairs(items: DataFrame, counts: DataFrame, within: int) -> DataFrame:
+    """(key, before, after, in_order): the two rarest terms of each stretch of an item, both ways round; in_order has the rarer first."""
+    starts = F.expr(f"sequence(0, greatest(size(w) - {within + 1}, 0))")
+    stretches = items.select("key", "w", F.explode(starts).alias("start"))
+    terms = stretches.select("key", "start", F.explode(F.array_distinct(F.expr(f"slice(w, start + 1, {within + 1})"))).alias("term"))
+    rated = terms.join(counts, "term").groupBy("key", "start").agg(F.slice(F.sort_array(F.collect_list(F.struct("rows", "term"))), 1, 2).alias("rare"))
+    pairs = rated.where("size(rare) = 2").select("key", F.expr("rare[0].term").alias("one"), F.expr("rare[1].term").alias("two")).distinct()
+    ways = F.expr("array(struct(one as before, two as after, true as in_order), struct(two as before, one as after, false as in_order))")
+    return pairs.select("key", F.explode(ways).alias("way")).select("key", "way.*")

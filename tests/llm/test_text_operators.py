@@ -1,6 +1,7 @@
 """Mixing, pseudonyms, decontamination, quality and language against brute force or held-out labels."""
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -206,6 +207,42 @@ def test_near_matches(spark, docs_of):
     assert {(r.id, r.item) for r in found} <= {(1, "9"), (2, "9"), (3, "9")} and {r.id for r in found} >= {1, 2}
 
 
+def near(rows, items, within):
+    """Every place, by brute force: places of a stretch's two rarest terms are compared one by one."""
+    texts = {(i, text): item_words(text) for i, text in rows}
+    said = {w for _, text in items for w in item_words(text)}
+    counts = {}
+    for w in texts.values():
+        for x in w:
+            if x in said:
+                counts[x] = counts.get(x, 0) + 1
+    out = set()
+    for item, text in items:
+        w = item_words(text)
+        for j in range(max(len(w) - within, 1) if w else 0):
+            rare = sorted({x for x in w[j : j + within + 1] if x in counts}, key=lambda x: (counts[x], x.encode()))[:2]
+            for (i, _), d in texts.items() if len(rare) == 2 else ():
+                first, second = ([p for p, x in enumerate(d) if x == r] for r in rare)
+                out |= {(str(i), str(item), p, q) for p in first for q in second if abs(p - q) <= within}
+    return out
+
+
+def test_near_matches_of_full_items(spark, docs_of, odd_rows):
+    """Items of 30 words whose two rarest terms lie far apart: copies and reworded stretches are found."""
+    rng = random.Random(8)
+    common = [f"c{i}" for i in range(40)]
+    items = [(k, " ".join([f"rare{k}a", *rng.choices(common, k=28), f"rare{k}b"])) for k in range(4)]
+    rows = [(50 + k, " ".join(rng.choices(common, k=20)) + " " + text) for k, text in items]
+    rows += [(60, " ".join(reversed(items[0][1].split()[8:20]))), (61, " ".join(items[1][1].split()[5:14])), (62, " ".join(common) * 3)]
+    rows += [*odd_rows, rows[0]]
+    items += [(5, odd_rows[1][1]), (6, None), (7, ""), (8, "und und und")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = decontamination.near_matches(docs_of(rows), benchmark, within=8).collect()
+    own = {(str(r.id), r.item, r.first, r.second) for r in found}
+    assert own == near(rows, items, 8) and len(own) == len(found)
+    assert {(str(50 + k), str(k)) for k in range(4)} | {("61", "1")} <= {x[:2] for x in own}
+
+
 # --- quality and language -------------------------------------------------------------------------------------
 
 
