@@ -36,8 +36,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality_trees.train(docs, labels, F.lit(True))
-    scored = quality_trees.score(docs, model, also=tuple(docs.columns))
-    return scored.where(F.col("score") >= LEAST_QUALITY).select(*docs.columns)
+    # other columns travel in one, so that theirs may be the names of the score's
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("others")
+    scored = quality_trees.score(docs.select("doc_id", "text", others), model, also=("text", "others"))
+    back = [F.col("text") if c == "text" else F.col("others").getField(c).alias(c) for c in docs.columns]
+    return scored.where(F.col("score") >= LEAST_QUALITY).select(*back)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -144,13 +144,14 @@ def mix(
     pieces = F.ceil(F.col("documents") / CLASS_ROWS).cast("long")
     classes = written(planned.join(plan, ["number", "size"]).withColumn("pieces", pieces), "length-classes")
     limits = classes.join(_limits(drawn, classes), ["number", "size"], "left").select(
-        F.col("source").alias("class_source"), F.col("size").alias("class_size"), "copies", "limit",
+        F.col("source").alias("mix_class_source"), F.col("size").alias("mix_class_size"),
+        F.col("copies").alias("mix_copies"), F.col("limit").alias("mix_limit"),
         F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"),
     )
     limits = written(limits, "draw-limits")
     limits = F.broadcast(limits) if limits.count() <= BROADCAST_ROWS else limits
-    found = mixed.join(limits, F.col("mix_source").eqNullSafe(F.col("class_source")) & (F.col("mix_size") == F.col("class_size")))
-    times = F.col("copies") + F.when(F.col("mix_draw") <= F.col("limit"), 1).otherwise(0)
+    found = mixed.join(limits, F.col("mix_source").eqNullSafe(F.col("mix_class_source")) & (F.col("mix_size") == F.col("mix_class_size")))
+    times = F.col("mix_copies") + F.when(F.col("mix_draw") <= F.col("mix_limit"), 1).otherwise(0)
     return found.select(
         *[F.col(f"`{c}`") for c in names], "mix_size", "mix_source_size", "mix_target", (F.col("mix_size") * times).alias("mix_taken")
     )

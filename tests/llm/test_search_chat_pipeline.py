@@ -174,3 +174,16 @@ def test_pipeline_of_nothing(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{FOLDER}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+@pytest.mark.parametrize("name", ["quality", "mix_sources"])
+def test_stages_take_clashing_names(spark, name):
+    """Further columns with the names that a stage uses inside are handed through and change nothing."""
+    stage, docs = dict(corpus_pipeline.STAGES)[name], spark.read.parquet(f"{FOLDER}/documents.parquet")
+    more = ("id", "score", "others", "copies", "limit", "class_source", "class_size", "size", "source_size", "target")
+    plain = stage(spark, docs, FOLDER)
+    found = stage(spark, docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in more}), FOLDER)
+    assert found.columns[: len(docs.columns) + len(more)] == [*docs.columns, *more]
+    rows = found.collect()
+    assert rows and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in more)
+    assert sorted(tuple(r[c] for c in plain.columns) for r in rows) == sorted(map(tuple, plain.collect()))
