@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from inkweave.llm import (
     chat_tree,
+    conversation_trie,
     decontamination,
     language_id,
     mixing,
@@ -21,7 +22,10 @@ from inkweave.llm import (
     quality_trees,
     substring_dedup,
     suffix_dedup,
+    url_cascade,
+    whitening,
 )
+from inkweave.llm.store import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -211,3 +215,98 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
     CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM written GROUP BY conv_id
 """
+
+
+@query
+def op11_embedding_whitening(spark, folder):
+    found = whitening.whiten(table(spark, folder, "embeddings"), components=8)
+    parts = F.posexplode(F.arrays_zip("whitened", "explained"))
+    return found.select("vec_id", "n", "deviation", "identity_error", parts.alias("place", "part")).select(
+        "vec_id", (F.col("place") + 1).alias("component"), "n", "deviation", F.col("part.whitened").alias("whitened"),
+        F.col("part.explained").alias("explained"), "identity_error",
+    )
+
+
+@query
+def op12_conversation_trie(spark, folder):
+    numbered = conversation_trie.turns(table(spark, folder, "conversations"))
+    numbered = written(numbered, "turns")
+    conv = F.col("conv_id")
+    length = F.crc32(conv.cast("string")) % 6
+    rebuilt = conversation_trie.graft(numbered, conv - conv % 100, length, most=5)
+    return conversation_trie.trie(rebuilt, numbered.where("place = 1")).drop("digest", "parent")
+
+
+ORACLE["op12_conversation_trie"] = r"""
+WITH said AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+    SELECT conv_id, list({'r': role, 't': text} ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS turns FROM said GROUP BY conv_id
+), checked AS (
+    SELECT conv_id, turns, conv_id - conv_id % 100 AS base, list_reduce(
+        list_prepend(4294967295::UBIGINT, list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i, 1))::UBIGINT)),
+        lambda h, b: list_reduce(list_prepend(xor(h, b), list_transform(range(8), lambda i: 0::UBIGINT)),
+            lambda x, i: xor(x >> 1, (x & 1) * 3988292384::UBIGINT))) AS crc
+    FROM own
+), long AS (
+    SELECT conv_id, turns, base, CAST(xor(crc, 4294967295::UBIGINT) % 6 AS BIGINT) AS h FROM checked
+), rebuilt AS (
+    SELECT a.conv_id, list_concat(coalesce(b.turns[1:a.h], []), a.turns[a.h + 1:]) AS turns FROM long a LEFT JOIN own b ON b.conv_id = a.base
+), paths AS (
+    SELECT conv_id, len(turns) AS n, unnest(range(0, len(turns) + 1)) AS depth, turns FROM rebuilt
+), members AS (
+    SELECT conv_id, n, depth, turns[1:depth] AS path FROM paths
+), nodes AS (
+    SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '') AS ends
+    FROM members GROUP BY path, depth
+), valued AS (
+    SELECT *, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * length(path[depth].t) END AS saved, path[1:depth - 1] AS above FROM nodes
+), families AS (
+    SELECT above, depth - 1 AS depth, count(*) AS n_children FROM valued WHERE depth > 0 GROUP BY above, depth
+), counted AS (
+    SELECT v.*, coalesce(f.n_children, 0) AS n_children FROM valued v LEFT JOIN families f ON f.above = v.path AND f.depth = v.depth
+), below AS (
+    SELECT path[1:k] AS path, k AS depth, sum((n_children = 0)::BIGINT) AS n_leaves, sum(saved) AS saved_tokens
+    FROM (SELECT *, unnest(range(0, depth + 1)) AS k FROM counted) GROUP BY path[1:k], k
+)
+SELECT c.conv_id, CAST(c.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children,
+    CAST(b.n_leaves AS BIGINT) AS n_leaves, CAST(b.saved_tokens AS BIGINT) AS saved_tokens, sha256(c.ends) AS ends_sha256
+FROM counted c JOIN below b ON b.path = c.path AND b.depth = c.depth
+LEFT JOIN nodes p ON p.path = c.above AND p.depth = c.depth - 1
+"""
+
+
+#: The rules of the query: host, path, action.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+@query
+def op13_url_cascade(spark, folder):
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    return url_cascade.judge(pages, url_cascade.build(rules, F.col("url"), pages))
+
+
+ORACLE["op13_url_cascade"] = r"""
+WITH rules(host, path, action) AS (
+    VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), cut AS (
+    SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), said AS (
+    SELECT page_id, row_number() OVER () AS row, regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1) AS raw, regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) AS path FROM cut
+), named AS (
+    SELECT page_id, row, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM said
+), fits AS (
+    SELECT n.row, r.host || r.path AS rule, r.action,
+        row_number() OVER (PARTITION BY n.row ORDER BY length(r.host || r.path) DESC, length(r.host) DESC, r.action DESC) AS place
+    FROM named n JOIN rules r ON (n.host = r.host OR ends_with(n.host, '.' || r.host)) AND starts_with(n.path, r.path)
+)
+SELECT n.page_id, n.host, n.path, f.rule, coalesce(f.action, 'allow') AS verdict
+FROM named n LEFT JOIN fits f ON f.row = n.row AND f.place = 1
+"""
