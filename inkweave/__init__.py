@@ -12,7 +12,7 @@ from inkweave.operators.tasks import TaskTemplate, execute_tasks, python_runner
 from inkweave.plans.process import process_documents, quick_process
 from inkweave.sinks.export import export_dataset
 from inkweave.sources.files import FileLoader, scan_directory
-from inkweave.sources.load import load_documents
+from inkweave.sources.load import load_documents, load_sources
 
 # The few Python functions travel to the executors with the job, so the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -27,6 +27,7 @@ __all__ = [
     "execute_tasks",
     "export_dataset",
     "load_documents",
+    "load_sources",
     "process_documents",
     "python_runner",
     "quality_gate",

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkweave import schemas
@@ -18,6 +18,8 @@ from inkweave.functions.text import fold_whitespace, token_estimate
 CHUNK_SIZE = 1000
 CHUNK_OVERLAP = 200
 CONTEXT_CHARS = 100
+#: Chunks of one document that a window looks through together.
+SEGMENT_CHUNKS = 4096
 
 
 def clean_documents(documents: DataFrame) -> DataFrame:
@@ -93,3 +95,62 @@ def chunk_documents(
         }
     )
     return full.select(*schemas.CHUNK.fieldNames(), *[f"document_{name}" for name in carry])
+
+
+def neighbour_context(
+    chunks: DataFrame,
+    *,
+    size: int = CHUNK_SIZE,
+    overlap: int = CHUNK_OVERLAP,
+    context: int = CONTEXT_CHARS,
+    segment: int = SEGMENT_CHUNKS,
+) -> DataFrame:
+    """Fill in ``preceding_context`` and ``following_context`` from the neighbouring chunks, where the text is not at hand.
+
+    A neighbour's own step of text lies next to the chunk, so a few neighbours hold all of its context. A document is
+    cut into segments of ``segment`` chunks, and each segment gets the edges of the chunks next to it as a halo, without
+    their content: a document of any length spreads over the tasks. Where a neighbour is missing, context ends there.
+    Chunks must be cut as ``chunk_documents`` cuts them by the given size and overlap, and ids be unique.
+    """
+    if not 0 <= overlap < size or context < 0:
+        raise ValueError("need 0 <= overlap < size and context >= 0")
+    step = size - overlap
+    reach = math.ceil(context / step)
+    at, own = F.col("chunk_index"), F.floor(F.col("chunk_index") / segment)
+    if segment < max(reach, 1):
+        raise ValueError("a segment must be as long as the context reaches")
+    segments = F.array_compact(
+        F.array(own, F.when((own > 0) & (at - own * segment < reach), own - 1), F.when((own + 1) * segment - at <= reach, own + 1))
+    )
+    rest = [c for c in chunks.columns if c not in ("document_id", "chunk_index", "preceding_context", "following_context")]
+    edged = chunks.select(
+        "document_id",
+        "chunk_index",
+        F.struct(*rest).alias("own"),
+        F.struct(at.alias("at"), F.substring("content", 1, step).alias("head"), F.substring(F.col("content"), F.lit(overlap + 1), F.char_length("content")).alias("tail")).alias("edge"),
+        F.explode(segments).alias("segment"),
+    )
+    mine = F.col("segment") == F.floor(at / segment)
+    placed = edged.withColumn("own", F.when(mine, F.col("own")))
+    order = Window.partitionBy("document_id", "segment").orderBy("chunk_index")
+
+    def piece(k: int, part: str) -> Column:
+        found = F.lag("edge", k).over(order) if k > 0 else F.lead("edge", -k).over(order)
+        return F.when(found["at"] == at - k, found[part])
+
+    def joined(pieces: list[Column]) -> list[Column]:
+        """The pieces up to the first missing one: nothing beyond it is next to the chunk."""
+        whole, out = F.lit(True), []
+        for p in pieces:
+            whole = whole & p.isNotNull()
+            out.append(F.when(whole, p))
+        return out
+
+    lead = F.concat_ws("", *reversed(joined([piece(k, "head") for k in range(1, reach + 1)]))) if reach else F.lit("")
+    tail = F.concat_ws("", *joined([piece(-k, "tail") for k in range(1, reach + 1)])) if reach else F.lit("")
+    found = placed.select(
+        "document_id", "chunk_index", "own",
+        F.nullif(F.right(lead, F.lit(context)), F.lit("")).alias("preceding_context"),
+        F.nullif(F.substring(tail, 1, context), F.lit("")).alias("following_context"),
+    ).where(F.col("own").isNotNull())
+    return found.select("*", "own.*").select(*[c for c in chunks.columns if c not in ("preceding_context", "following_context")], "preceding_context", "following_context")

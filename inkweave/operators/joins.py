@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkweave.session import written
+
 
 def hot_keys(rows: DataFrame, on: Sequence[str]) -> DataFrame:
     """The keys that hold more than an even partition's share of the rows, and how many salts each is split into.
@@ -56,12 +58,14 @@ def _all_set(keys: Sequence[str]):
 
 
 def example_lineage(examples: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """Examples with the position of their chunk and the title, source and type of their document.
+    """The lineage of examples: id, task_type, source_document_id and source_chunk_id, the position of their chunk, and
+    the title, source and type of their document.
 
-    A document may have any number of examples, so that join is salted, and comes first, so that finding
-    the hot documents needs no join. A chunk has one example per template at most, so the chunk join is plain.
-    Only narrow columns are joined.
+    The ids of the examples are written once, so that neither counting the hot documents nor joining runs the examples'
+    own pipeline again. A document may have any number of examples, so that join is salted, and comes first; a chunk has
+    one example per template at most, so the chunk join is plain. Only narrow columns are joined.
     """
+    narrow = written(examples.select("id", "task_type", "source_document_id", "source_chunk_id"), "lineage")
     positions = chunks.select(
         F.col("id").alias("source_chunk_id"), "chunk_index", "start_index", "end_index"
     )
@@ -71,5 +75,5 @@ def example_lineage(examples: DataFrame, chunks: DataFrame, documents: DataFrame
         F.col("source").alias("document_source"),
         "doc_type",
     )
-    titled = hot_key_join(examples, origins, on=["source_document_id"], salt_on="id", how="left")
+    titled = hot_key_join(narrow, origins, on=["source_document_id"], salt_on="id", how="left")
     return titled.join(positions, "source_chunk_id", "left")

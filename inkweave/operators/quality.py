@@ -22,6 +22,10 @@ DEFAULT_TOXIC_WORDS = ("hate", "idiot", "kill", "moron", "scum", "stupid", "tras
 DEFAULT_BIASED_WORDS = ("always", "everybody", "inferior", "never", "nobody", "obviously", "superior")
 
 
+#: What scoring takes of a chunk's text, for ``execute_tasks`` to make once per chunk.
+PREPARED = {"input_words": words}
+
+
 def score_map(scores: Mapping[str, Column]) -> Column:
     """metric -> score, without the metrics that have none."""
     names = [m for m in QUALITY_METRICS if m in scores] + [m for m in scores if m not in QUALITY_METRICS]
@@ -89,10 +93,15 @@ class Evaluator:
     extra: Mapping[str, object] = field(default_factory=dict)
 
     def score(self, examples: DataFrame, label: Column | None = None) -> DataFrame:
-        """Fill quality_scores; scores an example already carries stand."""
+        """Fill quality_scores; scores an example already carries stand.
+
+        Where the examples have ``input_words`` (see PREPARED), these are taken, and left out of the result.
+        """
+        given = "input_words" in examples.columns
         tokenized = examples.withColumns(
             {
-                "_in": words(F.col("input_text")),
+                # an item without an output has no scores, so its input is left alone
+                "_in": F.col("input_words") if given else words(F.when(F.col("output_text").isNotNull(), F.col("input_text"))),
                 "_out": words(F.col("output_text")),
                 "_lines": filled_lines(F.col("output_text")),
             }
@@ -112,7 +121,7 @@ class Evaluator:
         fresh = score_map({name: F.col(f"score_{name}") for name in scores})
         fresh = F.map_filter(fresh, lambda metric, _: ~F.map_contains_key(carried, metric))
         merged = F.map_concat(carried, fresh)
-        return measured.withColumn("quality_scores", merged).drop("_in", "_out", "_lines", *measures)
+        return measured.withColumn("quality_scores", merged).drop("_in", "_out", "_lines", "input_words", *measures)
 
     def evaluate(self, examples: DataFrame, label: Column | None = None) -> DataFrame:
         """Add quality_scores, passed and reasons."""
@@ -158,11 +167,12 @@ def evaluate_dataset(evaluated: DataFrame, least_score: float = 0.5) -> DataFram
     """One row: examples, how many passed, the mean score, whether the dataset passes, and why not.
 
     A dataset passes if it has examples and their mean score is ``least_score`` or more. ``quality_stats`` of the
-    same examples has the detail per metric.
+    same examples has the detail per metric. Scored rows without a verdict have no number of passed ones.
     """
+    passed = F.count_if(F.col("passed")) if "passed" in evaluated.columns else F.max(F.lit(None).cast("bigint"))
     row = evaluated.agg(
         F.count(F.lit(1)).alias("examples"),
-        F.count_if(F.col("passed")).alias("passed_examples"),
+        passed.alias("passed_examples"),
         F.avg(example_score(F.col("quality_scores"))).alias("overall_score"),
     )
     reasons = F.array_compact(
@@ -189,12 +199,25 @@ def quality_stats(scored: DataFrame) -> DataFrame:
     )
 
 
-def quality_stats_map(scored: DataFrame) -> DataFrame:
-    """The per-metric statistics as one map of maps; there are only as many entries as metrics."""
-    names = ("count", "mean", "min", "max", "stddev")
-    stats = F.map_from_arrays(
-        F.array(*[F.lit(n) for n in names]), F.array(*[F.col(n).cast("double") for n in names])
-    )
-    return quality_stats(scored).agg(
-        F.map_from_entries(F.collect_list(F.struct("metric", stats.alias("stats")))).alias("quality_stats")
-    )
+def moments_map(scores: Column, names: Sequence[str] = QUALITY_METRICS, where: Column | None = None) -> Column:
+    """An aggregate: metric -> (statistic -> value) over rows of score maps, without the metrics that no row has.
+
+    All moments are mergeable, so a group of any size is reduced before the shuffle. ``where`` leaves rows out.
+    """
+
+    def entry(metric: str) -> Column:
+        score = F.try_element_at(scores, F.lit(metric))
+        score = score if where is None else F.when(where, score)
+        moments = {"count": F.count(score).cast("double"), "mean": F.avg(score), "min": F.min(score), "max": F.max(score), "stddev": F.stddev_samp(score)}
+        return F.create_map(*[x for name, value in moments.items() for x in (F.lit(name), value)])
+
+    stats = F.map_from_arrays(F.array(*[F.lit(m) for m in names]), F.array(*[entry(m) for m in names]))
+    return F.map_filter(stats, lambda _, moments: moments["count"] > 0)
+
+
+def quality_stats_map(scored: DataFrame, by: Sequence[str] = (), names: Sequence[str] = QUALITY_METRICS) -> DataFrame:
+    """The per-metric statistics as one map of maps, over all rows or per group: one aggregate.
+
+    ``names`` are the metrics looked for; those of an evaluator's ``extra`` are added by the caller.
+    """
+    return scored.groupBy(*by).agg(moments_map(F.col("quality_scores"), names).alias("quality_stats"))

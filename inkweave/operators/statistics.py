@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkweave import schemas
+from inkweave.operators.quality import moments_map
 
 ALL = "all"
 
@@ -74,23 +76,36 @@ def quality_statistics(counts: DataFrame) -> DataFrame:
     )
 
 
-def dataset_summary(examples: DataFrame, name_prefix: str = "Generated Dataset") -> DataFrame:
-    """One row per dataset: its number of examples and the counts per task type."""
-    per_task = examples.groupBy("dataset_id", "task_type").agg(F.count(F.lit(1)).alias("n"))
-    # At most one entry per task type in each of these groups.
-    per_dataset = per_task.groupBy("dataset_id").agg(
-        F.sum("n").alias("total_examples"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("task_type", "n")))).alias("task_type_counts"),
+def dataset_summary(
+    examples: DataFrame, name_prefix: str = "Generated Dataset", exports: DataFrame | None = None, metrics: Sequence[str] = schemas.QUALITY_METRICS
+) -> DataFrame:
+    """One row per dataset: its number of examples, the counts per task type and the statistics of every metric.
+
+    One aggregate, whose state is a few numbers per dataset whatever its size. ``exports`` (the ledger) adds the last
+    export of each dataset; of exports at one time the one with the greatest path. Datasets that were never exported
+    have none.
+    """
+    counts = F.map_from_arrays(
+        F.array(*[F.lit(t) for t in schemas.TASK_TYPES]), F.array(*[F.count_if(F.col("task_type") == t) for t in schemas.TASK_TYPES])
+    )
+    rows = examples if "quality_scores" in examples.columns else examples.withColumn("quality_scores", F.create_map().cast("map<string,double>"))
+    per_dataset = rows.groupBy("dataset_id").agg(
+        F.count(F.lit(1)).alias("total_examples"),
+        F.map_filter(counts, lambda _, n: n > 0).alias("task_type_counts"),
+        moments_map(F.col("quality_scores"), metrics).alias("quality_stats"),
     )
+    if exports is not None:
+        order = F.struct("exported_at", "export_path", "export_format")
+        last = exports.groupBy("dataset_id").agg(F.max(order).alias("export"))
+        per_dataset = per_dataset.join(last, "dataset_id", "left").select("*", "export.*").drop("export")
     named = per_dataset.select(
         F.col("dataset_id").alias("id"),
         F.concat_ws(" ", F.lit(name_prefix), F.col("dataset_id")).alias("name"),
         F.lit("1.0.0").alias("version"),
-        "total_examples",
-        "task_type_counts",
         F.lit(0.8).alias("train_split"),
         F.lit(0.1).alias("validation_split"),
         F.lit(0.1).alias("test_split"),
+        *[c for c in per_dataset.columns if c != "dataset_id"],
     )
     return schemas.conform(named, schemas.DATASET)
 

@@ -247,7 +247,7 @@ BUILT_IN_RUNNERS = {
 }
 
 # Document columns the built-in runners read from the chunks.
-RUNNER_CARRY = ("language", "source")
+RUNNER_CARRY = ("language", "source", "doc_seq")
 
 
 _TASK_COLUMNS = ("task_position", "task_type", "template_id", "template_name", "prompt")
@@ -263,11 +263,15 @@ def execute_tasks(
     runners: Mapping[str, TaskRunner] | None = None,
     *,
     price_per_token: float | None = None,
+    prepared: Mapping[str, Callable[[Column], Column]] | None = None,
 ) -> DataFrame:
     """One result per chunk and template: output, usage, status, and the error of an item that failed.
 
-    The chunk's text and position ride along, so that examples need no join back.
+    The chunk's text and position ride along, so that examples need no join back. ``prepared`` names further columns to
+    make of the chunk's text, once per chunk and not per task, and to keep on the results.
     """
+    if prepared:
+        chunks = chunks.withColumns({name: make(F.col("content")) for name, make in prepared.items()})
     known = {**BUILT_IN_RUNNERS, **(runners or {})}
     runner_of = {t.id: known.get(t.task_type) for t in templates}
     position_of = {t.id: position for position, t in enumerate(templates)}
@@ -330,6 +334,8 @@ def execute_tasks(
         "document_id",
         "chunk_index",
         F.col("content").alias("input_text"),
+        (F.col("document_doc_seq") if "document_doc_seq" in chunks.columns else F.lit(None).cast("bigint")).alias("doc_seq"),
+        *(prepared or ()),
     )
 
 
@@ -349,20 +355,20 @@ def instruction_responses(conversations: DataFrame) -> DataFrame:
 
 
 def assemble_examples(
-    results: DataFrame, chunks: DataFrame | None = None, dataset_id: Column | None = None
+    results: DataFrame, chunks: DataFrame | None = None, dataset_id: Column | None = None, keep: Sequence[str] = ()
 ) -> DataFrame:
     """Examples of the completed results: chunk text in, output out, with lineage, template and scores.
 
     Results that do not carry their chunk's text are joined to the chunks by id.
     """
-    items = example_items(results, chunks, dataset_id)
+    items = example_items(results, chunks, dataset_id, keep)
     return items.where(F.col("status") == "completed").drop("status")
 
 
 def example_items(
-    results: DataFrame, chunks: DataFrame | None = None, dataset_id: Column | None = None
+    results: DataFrame, chunks: DataFrame | None = None, dataset_id: Column | None = None, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """The results in the shape of examples, failed ones with them, and their status."""
+    """The results in the shape of examples, failed ones with them, their status and the columns ``keep``."""
     done = results
     if "input_text" not in done.columns:
         if chunks is None:
@@ -380,8 +386,11 @@ def example_items(
         "template_id",
         "quality_scores",
         "status",
+        *[c for c in ("doc_seq", "task_position", "chunk_index") if c in done.columns],
+        *keep,
     )
-    return schemas.conform(named, StructType([*schemas.EXAMPLE.fields, StructField("status", StringType())]))
+    shape = StructType([*schemas.EXAMPLE.fields, StructField("status", StringType())])
+    return named.to(StructType([*shape.fields, *[done.schema[c] for c in keep]]))
 
 
 def task_errors(results: DataFrame) -> DataFrame:

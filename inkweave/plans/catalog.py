@@ -13,15 +13,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkweave import schemas
 from inkweave.functions import html, linearize, metrics, text, urls
-from inkweave.operators import assemble, chunking, joins, quality, splits, statistics, tasks
+from inkweave.operators import assemble, chunking, jobs, joins, ordering, quality, splits, statistics, tasks, template_table, word_lists
 from inkweave.plans.process import process_documents, quick_process
-from inkweave.session import scratch_path
+from inkweave.session import scratch_path, written
 from inkweave.sinks import export
 from inkweave.sources import documents as docs
-from inkweave.sources import files, routing, web
-from inkweave.sources.load import load_tables
+from inkweave.sources import files, records, routing, web
+from inkweave.sources.load import load_tables, registered_documents
 from inkweave.streaming import documents as streaming
+from inkweave.streaming import registry as stream_registry_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -97,9 +99,9 @@ def chunks_of(spark: SparkSession, folder: str) -> DataFrame:
     return chunking.chunk_documents(cleaned, carry=tasks.RUNNER_CARRY)
 
 
-def results_of(spark: SparkSession, folder: str, *task_types: str, price: float | None = None) -> DataFrame:
+def results_of(spark: SparkSession, folder: str, *task_types: str, price: float | None = None, prepared=None) -> DataFrame:
     return tasks.execute_tasks(
-        chunks_of(spark, folder), tasks.templates_for(task_types or None), price_per_token=price
+        chunks_of(spark, folder), tasks.templates_for(task_types or None), price_per_token=price, prepared=prepared
     )
 
 
@@ -176,14 +178,17 @@ def csv_rows_text(spark, folder):
     return assemble.csv_rows_text(records, headers, document="l_orderkey", row_num="n", cells="cells")
 
 
-@query
-def csv_body_text(spark, folder):
-    """Bodies with a quoted comma and line end, an empty record and a short one."""
+def event_csv() -> Column:
     number, user, kind = F.col("event_id").cast("string"), F.col("user_id").cast("string"), F.col("event_type")
-    body = F.concat(
+    return F.concat(
         F.lit("id,kind\r\n"), number, F.lit(',"'), kind, F.lit(', ""x""\nnext"\r\n\r\nshort\r\n'), user, F.lit(","), kind
     )
-    return table(spark, folder, "events").select("event_id", linearize.csv_text(body).alias("content"))
+
+
+@query
+def csv_body_text(spark, folder):
+    """Bodies with a quoted comma and line end, an empty record and a short one."""
+    return table(spark, folder, "events").select("event_id", linearize.csv_text(event_csv()).alias("content"))
 
 
 @query
@@ -340,6 +345,39 @@ def stream_documents(spark, folder):
     return folder_totals(streaming.streamed_documents(spark, out))
 
 
+@query
+def load_registry(spark, folder):
+    """The registry of everything loaded: an address fetched twice is one document."""
+    loaded = files.LoadedFiles(mixed_documents(spark, folder), spark.createDataFrame([], schemas.QUARANTINE))
+    return registered_documents(loaded).groupBy("doc_type").agg(F.count(F.lit(1)).alias("documents"))
+
+
+@query
+def load_counts(spark, folder):
+    """Files read and lost, counted while they are read once."""
+    return files.FileLoader().load_once(damaged_files(spark, folder), types=("txt",)).report()
+
+
+@query
+def stream_registry(spark, folder):
+    """A registry kept up to date by a stream; the last batch is run again, as after a failure."""
+    path, checkpoint = scratch_path(spark, "registry"), scratch_path(spark, "registry-checkpoint")
+    source = written_folder(spark, folder)
+    incoming = streaming.file_stream(spark, source, max_files_per_trigger=3)
+    stream_registry_of.stream_registry(incoming, path, checkpoint).awaitTermination()
+    last = spark.read.parquet(path).agg(F.max("batch_id")).first()[0]
+    again = spark.read.option("basePath", path).parquet(f"{path}/batch_id={last}").drop("batch_id")
+    stream_registry_of.upsert_batch(written(again, "replayed"), last, path)
+    return folder_totals(stream_registry_of.registered(spark, path))
+
+
+@query
+def csv_records(spark, folder):
+    """The records of CSV bodies with a quoted comma and line end, an empty record and a short one."""
+    bodies = table(spark, folder, "events").select("event_id", event_csv().alias("body"))
+    return records.with_csv_records(bodies, "body").select("event_id", "row_num", F.to_json("cells").alias("cells"))
+
+
 # --- derived columns and predicates -----------------------------------------------------------------------
 
 
@@ -385,6 +423,13 @@ def chunk_context(spark, folder):
     return chunks_of(spark, folder).select("id", "preceding_context", "following_context")
 
 
+@query
+def neighbour_context(spark, folder):
+    """As chunk_context, but from the chunks alone."""
+    bare = chunks_of(spark, folder).drop("preceding_context", "following_context")
+    return chunking.neighbour_context(bare).select("id", "preceding_context", "following_context")
+
+
 @query
 def task_fanout(spark, folder):
     rows = tasks.fan_out(chunks_of(spark, folder), tasks.templates_for(["qa_generation", "summarization"]))
@@ -399,6 +444,31 @@ def render_prompts(spark, folder):
     return rows.select(F.col("id").alias("chunk_id"), "task_type", prompt.alias("prompt"))
 
 
+@query
+def prompts_from_table(spark, folder):
+    """Templates made of the regions: every chunk is asked about each of them."""
+    region = F.col("r_name")
+    templates = table(spark, folder, "region").select(
+        F.lower(region).alias("name"), F.lit("classification").alias("task_type"),
+        F.lit("Is this {topic} of {region}?\n{content}").alias("prompt_template"),
+        F.create_map(F.lit("region"), region, F.lit("topic"), F.concat(F.lit("news "), F.col("r_regionkey").cast("string"))).alias("parameters"),
+        F.col("r_regionkey").alias("task_position"),
+    )
+    rows = template_table.fan_out_table(chunks_of(spark, folder), templates)
+    return rows.select(F.col("id").alias("chunk_id"), "template_id", "template_name", "task_position", F.md5("prompt").alias("prompt_md5"))
+
+
+@query
+def ordered_examples(spark, folder):
+    """Examples in the order in which a sequential run over the documents, by their path, makes them."""
+    numbered = ordering.number_documents(plain_documents(spark, folder), ["source"])
+    cleaned = chunking.clean_documents(numbered)
+    chunks = chunking.chunk_documents(cleaned, carry=tasks.RUNNER_CARRY)
+    made = tasks.assemble_examples(tasks.execute_tasks(chunks, tasks.templates_for(["qa_generation", "classification"])))
+    narrow = made.select("id", "doc_seq", "task_position", "chunk_index")
+    return ordering.ordered_examples(narrow)
+
+
 @query
 def execute_tasks(spark, folder):
     """The built-in tasks on chunks, and conversation turns with their responses."""
@@ -495,13 +565,24 @@ def metric_toxicity(spark, folder):
     """The document's label where it has one, else its share of listed words."""
     labels = table(spark, folder, "labels").select("doc_id", "toxic")
     tokenized = table(spark, folder, "documents").select("doc_id", text.words(F.col("text")).alias("tokens"))
-    scored = tokenized.select("doc_id", metrics.toxicity(F.col("tokens"), LISTED_WORDS).alias("share"))
-    labelled = joins.hot_key_join(scored, labels, on=["doc_id"], salt_on=["doc_id", "share"], how="left")
+    # the place of the row in its file tells rows of one document apart
+    row = F.monotonically_increasing_id().alias("row")
+    scored = tokenized.select("doc_id", metrics.toxicity(F.col("tokens"), LISTED_WORDS).alias("share"), row)
+    labelled = joins.hot_key_join(scored, labels, on=["doc_id"], salt_on="row", how="left")
     return labelled.select(
         "doc_id", F.round(F.coalesce(F.col("toxic").cast("double"), F.col("share")), 9).alias("score")
     )
 
 
+@query
+def metric_listed_words(spark, folder):
+    """The share of a document's words that the benchmark uses: a list that is a table."""
+    tokenized = table(spark, folder, "documents").select("doc_id", text.words(F.col("text")).alias("tokens"))
+    listed = table(spark, folder, "benchmark").select(F.explode(text.words(F.col("text"))).alias("word"))
+    shares = word_lists.listed_share(tokenized, listed, key="doc_id")
+    return shares.select("doc_id", F.round("score", 9).alias("score"))
+
+
 def strict_evaluator() -> quality.Evaluator:
     return quality.Evaluator(
         templates=tasks.templates_for(["qa_generation", "classification"]),
@@ -511,8 +592,14 @@ def strict_evaluator() -> quality.Evaluator:
     )
 
 
+def scorable_examples(spark: SparkSession, folder: str, *task_types: str, dataset: Column | None = None) -> DataFrame:
+    """Examples with the words of their chunks, which are made once per chunk."""
+    results = results_of(spark, folder, *task_types, prepared=quality.PREPARED)
+    return tasks.assemble_examples(results, dataset_id=dataset, keep=tuple(quality.PREPARED))
+
+
 def evaluated_examples(spark: SparkSession, folder: str) -> DataFrame:
-    return strict_evaluator().evaluate(examples_of(spark, folder, "qa_generation", "classification"))
+    return strict_evaluator().evaluate(scorable_examples(spark, folder, "qa_generation", "classification"))
 
 
 @query
@@ -573,7 +660,7 @@ def quality_stats(spark, folder):
 
 def gated_examples(spark: SparkSession, folder: str) -> DataFrame:
     """Question-answer examples through the gate, and classifications with the gate off."""
-    on = strict_evaluator().evaluate(examples_of(spark, folder, "qa_generation", dataset=spread_dataset()))
+    on = strict_evaluator().evaluate(scorable_examples(spark, folder, "qa_generation", dataset=spread_dataset()))
     off = examples_of(spark, folder, "classification", dataset=F.lit("ds-all"))
     columns = ("id", "dataset_id", "task_type", "quality_approved")
     kept, _ = quality.quality_gate(on)
@@ -617,6 +704,41 @@ def dataset_summary(spark, folder):
     )
 
 
+@query
+def dataset_quality(spark, folder):
+    """The statistics of every metric, dataset by dataset, and how the dataset was exported."""
+    examples = strict_evaluator().evaluate(scorable_examples(spark, folder, "qa_generation", "classification", dataset=spread_dataset()))
+    exports = examples.select("dataset_id").distinct().where("dataset_id < 'ds-8'").select(
+        "dataset_id", F.lit("jsonl").alias("export_format"), F.concat(F.lit("/out/"), F.col("dataset_id")).alias("export_path"),
+        F.current_timestamp().alias("exported_at"),
+    )
+    found = statistics.dataset_summary(examples, exports=exports)
+    stats = found.select("id", "export_format", "export_path", F.explode("quality_stats").alias("metric", "moments"))
+    names = ("count", "mean", "min", "max", "stddev")
+    return stats.select("id", "export_format", "export_path", "metric", *[F.round(F.col("moments")[n], 6).alias(n) for n in names])
+
+
+STATE_OF_EVENT = {"view": "pending", "click": "processing", "purchase": "completed", "error": "failed", "signup": "cancelled"}
+
+
+@query
+def job_states(spark, folder):
+    """A log of job states: a user's day is a job, each event a change of its state."""
+    states = F.create_map(*[F.lit(x) for pair in STATE_OF_EVENT.items() for x in pair])
+    log = table(spark, folder, "events").select(
+        F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd")).alias("id"),
+        F.lit("user_day").alias("job_type"),
+        states[F.col("event_type")].alias("status"),
+        F.col("event_id").alias("seq"),
+        F.col("ts").alias("at"),
+    )
+    # every event twice, as where an append was repeated
+    jobs_now = jobs.latest_jobs(schemas.conform(log.unionByName(log), schemas.JOB_EVENT))
+    return jobs_now.select(
+        "id", "status", F.unix_micros("created_at").alias("created_us"), F.unix_micros("updated_at").alias("updated_us")
+    )
+
+
 @query
 def statistics_report(spark, folder):
     return statistics.statistics_report(
@@ -710,7 +832,7 @@ QUERIES["process_documents"] = QUERIES.pop("process_documents_query")
 def quick_process_query(spark, folder):
     """The flagship: documents to gated, split examples in JSONL, read back."""
     out = scratch_path(spark, "quick-process")
-    quick_process(spark, plain_documents(spark, folder), out)
+    quick_process(spark, plain_documents(spark, folder), out, run_id="quick-process")
     return export.read_jsonl(spark, out).select(
         "id", "dataset_id", "task_type", "input_text", "output_text", "source_document_id", "source_chunk_id",
         "template_id", "quality_approved", "split",

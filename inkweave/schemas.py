@@ -51,6 +51,8 @@ DOCUMENT = _struct(
     extraction_method=T.StringType(),
     processing_time=T.DoubleType(),
     metadata=_texts,
+    created_at=T.TimestampType(),
+    doc_seq=T.LongType(),
 )
 
 CHUNK = _struct(
@@ -67,6 +69,18 @@ CHUNK = _struct(
     topics=T.ArrayType(T.StringType()),
 )
 
+TEMPLATE = _struct(
+    id=T.StringType(),
+    name=T.StringType(),
+    task_type=T.StringType(),
+    prompt_template=T.StringType(),
+    parameters=_texts,
+    min_output_length=T.IntegerType(),
+    max_output_length=T.IntegerType(),
+    quality_thresholds=_scores,
+    task_position=T.IntegerType(),
+)
+
 EXAMPLE = _struct(
     id=T.StringType(),
     dataset_id=T.StringType(),
@@ -81,6 +95,9 @@ EXAMPLE = _struct(
     instruction=T.StringType(),
     context=T.StringType(),
     category=T.StringType(),
+    doc_seq=T.LongType(),
+    task_position=T.IntegerType(),
+    chunk_index=T.IntegerType(),
 )
 
 DATASET = _struct(
@@ -94,6 +111,10 @@ DATASET = _struct(
     train_split=T.DoubleType(),
     validation_split=T.DoubleType(),
     test_split=T.DoubleType(),
+    export_format=T.StringType(),
+    exported_at=T.TimestampType(),
+    export_path=T.StringType(),
+    created_at=T.TimestampType(),
 )
 
 JOB = _struct(
@@ -109,6 +130,9 @@ JOB = _struct(
     error_message=T.StringType(),
 )
 
+# What happened to a job: its row as it was then, the event's number within the run, and when.
+JOB_EVENT = T.StructType([*JOB.fields, T.StructField("seq", T.LongType()), T.StructField("at", T.TimestampType())])
+
 LEDGER = _struct(
     dataset_id=T.StringType(),
     export_format=T.StringType(),

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app_name: str = "inkweave") -> SparkSession:
@@ -46,3 +46,23 @@ def _local_folder() -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that no other run uses."""
     return f"{shared_folder(spark)}/inkweave/{label}-{uuid.uuid4().hex}"
+
+
+def written(rows: DataFrame, label: str) -> DataFrame:
+    """The rows, written once to the shared folder and read from there."""
+    path = scratch_path(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def drop_scratch(spark: SparkSession, *frames: DataFrame) -> int:
+    """Remove the scratch tables that the frames read, when the caller is done with them; how many were removed.
+
+    Only folders that ``written`` has made are touched: those of this library's own part of the shared folder.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/inkweave")
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    root = files.makeQualified(root)
+    found = {spark._jvm.org.apache.hadoop.fs.Path(f).getParent().toString() for frame in frames for f in frame.inputFiles()}
+    own = [p for p in (spark._jvm.org.apache.hadoop.fs.Path(f) for f in sorted(found)) if p.getParent() is not None and files.makeQualified(p.getParent()).equals(root)]
+    return sum(bool(files.delete(p, True)) for p in own)

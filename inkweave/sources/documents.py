@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from inkweave import schemas
 from inkweave.functions import text, urls
+from inkweave.operators.ordering import row_digest
 
 
 def document_id(source: Column) -> Column:
@@ -57,11 +59,14 @@ def make_documents(
     modified_time: Column | None = None,
     word_count: Column | None = None,
     char_count: Column | None = None,
+    created_at: Column | None = None,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Project rows to documents: a narrow select that stays in the scan stage.
 
     ``size`` is the UTF-8 size of the content. Word and character counts are derived unless given as
     other than 0. Given metadata wins over what the source tells. A document type outside the domain ends the job.
+    ``created_at`` is when the documents are loaded, unless it is given. ``carry`` names columns of the rows to keep.
     """
     staged = rows.select(
         content.alias("content"),
@@ -76,8 +81,11 @@ def make_documents(
         (F.lit(0) if word_count is None else word_count).cast("bigint").alias("given_words"),
         (F.lit(0) if char_count is None else char_count).cast("bigint").alias("given_chars"),
         override(source_metadata(source, size_on_disk, modified_time), metadata).alias("metadata"),
+        (F.current_timestamp() if created_at is None else created_at).alias("created_at"),
+        *carry,
     )
     body = F.col("content")
+    kept = StructType([*schemas.DOCUMENT.fields, *[staged.schema[c] for c in carry]])
     return schemas.conform(
         staged.select(
             "*",
@@ -86,7 +94,7 @@ def make_documents(
             schemas.when_zero(F.col("given_words"), text.word_count(body)).alias("word_count"),
             schemas.when_zero(F.col("given_chars"), text.char_count(body)).alias("char_count"),
         ),
-        schemas.DOCUMENT,
+        kept,
     )
 
 
@@ -104,11 +112,17 @@ def document_registry(documents: DataFrame, order_by: str, key: str = "id") -> D
     """One row per id, the last write winning: the greatest order, a null one being the least; of equal orders the one
     with the greatest hash, so that reruns agree.
 
-    An aggregate, not a window: every map task reduces its rows to one per id before the shuffle, so an
-    id that was written again and again never gathers in one task.
+    The last write of an id is found among narrow rows of id, order and hash, by an aggregate that reduces them before
+    the shuffle. The documents are then looked up by all three, so the content is in no aggregate, and the writes of an
+    id that was written again and again go to many tasks. Copies in all three are told apart by a limit of one row,
+    which every task applies to its own rows before they are sent.
     """
     rest = [name for name in documents.columns if name != key]
-    # never null, as max_by passes over null orders
-    place = F.struct(F.col(order_by), F.xxhash64(*rest))
-    last = F.max_by(F.struct(*rest), place).alias("last")
-    return documents.groupBy(key).agg(last).select(key, "last.*").select(*documents.columns)
+    place = F.struct(F.col(key).alias("id"), F.col(order_by).alias("order"), row_digest(documents, rest).alias("digest"))
+    # one struct, as the parts of a struct are compared null by null
+    marked = documents.withColumn("_place", place)
+    last = marked.select("_place").groupBy(F.col("_place.id").alias("id")).agg(F.max(F.struct("_place.order", "_place.digest")).alias("last"))
+    winners = last.select(F.struct("id", "last.order", "last.digest").alias("_place"))
+    one = Window.partitionBy("_place").orderBy("_place")
+    distinct = marked.withColumn("_copy", F.row_number().over(one)).where("_copy = 1")
+    return distinct.join(winners, "_place", "left_semi").select(*documents.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -15,6 +15,7 @@ from inkweave import schemas
 from inkweave.functions import linearize, text, urls
 from inkweave.functions.html import with_html_text
 from inkweave.operators.staging import compute_once
+from inkweave.session import scratch_path
 from inkweave.sources.documents import make_documents
 
 # How each file type's documents name the way they were read.
@@ -89,13 +90,19 @@ def decode_strict(body: Column, encoding: str = "utf-8") -> Column:
 
 @dataclass
 class LoadedFiles:
-    """``documents`` that were read, and the ``quarantine`` rows (source, stage, error class, message)."""
+    """``documents`` that were read, and the ``quarantine`` rows (source, stage, error class, message).
+
+    ``counted`` has the numbers of both where the files were read once and written (see ``FileLoader.load_once``).
+    """
 
     documents: DataFrame
     quarantine: DataFrame
+    counted: tuple[int, int] | None = None
 
     def report(self) -> DataFrame:
         """One row: how many were loaded and how many were lost."""
+        if self.counted is not None:
+            return self.documents.sparkSession.createDataFrame([self.counted], "loaded long, failed long")
         loaded = self.documents.agg(F.count(F.lit(1)).alias("loaded"))
         return loaded.withColumn("failed", self.quarantine.agg(F.count(F.lit(1))).scalar())
 
@@ -166,6 +173,19 @@ class FileLoader:
             raise ValueError(f"unknown mode: {mode}")
         return LoadedFiles(self.documents(good), quarantine_rows(extracted))
 
+    def load_once(self, files: DataFrame, types: Iterable[str] = schemas.FILE_TYPES) -> LoadedFiles:
+        """As ``load`` permissively, in one pass: what was read and what was lost is written to the shared folder, a
+        folder for each, and counted while it is written. The raw bytes are not kept."""
+        counted, bad = Observation(), F.col("error_class").isNotNull()
+        extracted = self.extract(files, types).drop("content").withColumn("state", F.when(bad, F.lit("failed")).otherwise(F.lit("loaded")))
+        seen = extracted.observe(counted, F.count_if(~bad).alias("loaded"), F.count_if(bad).alias("failed"))
+        path = scratch_path(files.sparkSession, "loaded")
+        seen.write.partitionBy("state").parquet(path)
+        read = files.sparkSession.read.schema(extracted.schema).parquet(path)
+        totals = counted.get
+        documents = self.documents(read.where(F.col("state") == "loaded").drop("state"))
+        return LoadedFiles(documents, quarantine_rows(read.where(F.col("state") == "failed")), (totals["loaded"], totals["failed"]))
+
     def outcomes(self, files: DataFrame, types: Iterable[str] = schemas.FILE_TYPES) -> DataFrame:
         """Every file once: source, state (loaded or failed), error_class, and the text. One pass for good and bad."""
         bad = F.col("error_class").isNotNull()

@@ -41,18 +41,18 @@ def content_or_fallback(pages: DataFrame, scraped: DataFrame, *, row_id: str, mo
     ).drop("_page", "_main")
 
 
-def web_documents(pages: DataFrame, mode: str = "auto") -> DataFrame:
-    """Documents of fetched pages(url, html), by the main-content rule.
+def web_documents(pages: DataFrame, mode: str = "auto", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Documents of fetched pages(url, html), by the main-content rule, with the columns ``carry`` of the pages.
 
     The title is looked for in the extracted content, as that is all a loader hands on, so it is the
     address that names the document unless the text itself carries a title element.
     """
     fetched = with_main_content(pages, "html", "content", mode)
-    return documents_of_content(fetched.withColumn("extraction_method", F.lit(FETCHED)), mode)
+    return documents_of_content(fetched.withColumn("extraction_method", F.lit(FETCHED)), mode, carry)
 
 
-def documents_of_content(pages: DataFrame, mode: str = "auto") -> DataFrame:
-    """Documents of pages(url, content, extraction_method)."""
+def documents_of_content(pages: DataFrame, mode: str = "auto", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Documents of pages(url, content, extraction_method, and the columns ``carry``)."""
     return make_documents(
         with_page_title(pages, "content", "url", "_named", mode),
         content=F.col("content"),
@@ -60,4 +60,5 @@ def documents_of_content(pages: DataFrame, mode: str = "auto") -> DataFrame:
         title=F.col("_named"),
         doc_type=F.lit("url"),
         extraction_method=F.col("extraction_method"),
+        carry=carry,
     )

@@ -243,8 +243,76 @@ def test_addresses_asked_for_twice(spark):
     assert [r["content"] for r in made] == ["x", "x"]
 
 
+def test_load_order_follows_the_sources(spark, folder):
+    """doc_seq is the place in the order of sources; a directory's files follow each other by path."""
+    pages = spark.createDataFrame([("http://h/a", "<p>x</p>"), ("http://h/a", "<p>y</p>"), ("http://h/b", "z")], "url string, html string")
+    named = ["http://h/b", folder + "/sub", "http://h/a", folder + "/a.txt", folder, "http://h/b"]
+    made = [load_documents(spark, named, pages=pages, ordered=True).orderBy("doc_seq").collect() for _ in range(2)]
+    rows = made[0]
+    assert [r["doc_seq"] for r in rows] == list(range(8))
+    assert [r["source"].rsplit("/", 1)[1] for r in rows] == ["b", "c.json", "p.html", "t.csv", "a", "a.txt", "B.MD", "b"]
+    assert [r["content"] for r in rows] == [r["content"] for r in made[1]]
+    assert {r["doc_seq"] for r in load_documents(spark, folder).collect()} == {None}
+
+
+def test_files_are_read_once(spark, folder):
+    from inkweave.sources.load import load_sources, registered_documents
+
+    loaded = load_sources(spark, [folder, folder + "/a.txt"], once=True)
+    plain = load_sources(spark, [folder, folder + "/a.txt"])
+    assert tuple(loaded.report().first()) == tuple(plain.report().first()) == (5, 3)
+    for one, other in ((loaded.documents, plain.documents), (loaded.quarantine, plain.quarantine)):
+        one, other = (x.drop("created_at", "metadata") for x in (one, other))
+        assert sorted(map(repr, one.collect())) == sorted(map(repr, other.collect()))
+    plan = loaded.quarantine._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("binaryFile") <= 1  # the listing of files that are too long
+    assert {r["id"] for r in registered_documents(loaded).collect()} == {r["id"] for r in loaded.documents.collect()}
+
+
+def test_stream_registry_survives_a_replay(spark, folder, tmp_path):
+    from pathlib import Path
+
+    from inkweave.sources.documents import document_registry
+    from inkweave.streaming import registry
+
+    path, checkpoint = str(tmp_path / "registry"), str(tmp_path / "cp")
+    run = lambda: registry.stream_registry(file_stream(spark, folder, max_files_per_trigger=2), path, checkpoint).awaitTermination()
+    key = lambda frame: sorted(tuple(r) for r in frame.select("id", "title", "content", "word_count").collect())
+    run()
+    before = key(registry.registered(spark, path))
+    assert before == key(document_registry(FileLoader().load(scan_directory(spark, folder)).documents, order_by="created_at"))
+    # the last batch is run again, as where the stream failed before it could write that it was done
+    commits = sorted(Path(checkpoint, "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    written = spark.read.parquet(path).count()
+    commits[-1].unlink()
+    Path(checkpoint, "commits", f".{commits[-1].name}.crc").unlink(missing_ok=True)
+    run()
+    assert key(registry.registered(spark, path)) == before and spark.read.parquet(path).count() == written
+    # a file that is written anew is the later document of its id
+    changed = FileLoader().load(scan_directory(spark, folder, types=["md"])).documents.withColumn("content", F.lit("later"))
+    registry.upsert_batch(changed, 1000, path)
+    assert {r["content"] for r in registry.registered(spark, path).where("doc_type = 'md'").collect()} == {"later"}
+    assert registry.registered(spark, path).count() == len(before)
+
+
+def test_csv_records(spark):
+    import csv
+    import io
+
+    from inkweave.sources.records import with_csv_records
+
+    csv.field_size_limit(1 << 30)
+    bodies = ["a,b\r\n1,\"x, \"\"y\"\"\nz\"\r\n\r\nshort\r\n4,5", "", None, "\n", "one", 'é,"' + "l" * 300_000 + '"\n']
+    rows = spark.createDataFrame(list(enumerate(bodies)), "i int, body string").withColumn("row", F.lit("kept")).repartition(3)
+    found = sorted((r["i"], r["row_num"], r["cells"]) for r in with_csv_records(rows, "body").collect())
+    wanted = [(i, n, cells) for i, b in enumerate(bodies) if b is not None for n, cells in enumerate(csv.reader(io.StringIO(b, newline="")))]
+    assert found == wanted
+
+
 def test_runs_are_recorded(spark, folder, tmp_path):
-    from inkweave.plans.process import NoDocumentsError, quick_process
+    """Two runs are two jobs and two datasets; a run that fails has failed, whatever was done before."""
+    from inkweave.operators.jobs import job_events, job_id, jobs
+    from inkweave.plans.process import NoDocumentsError, process_documents, quick_process
 
     paths = {k: str(tmp_path / k) for k in ("jobs", "datasets", "quarantine")}
     options = {"jobs_path": paths["jobs"], "datasets_path": paths["datasets"], "quality_filter": False}
@@ -252,5 +320,56 @@ def test_runs_are_recorded(spark, folder, tmp_path):
     assert run.items.inputFiles() and spark.read.parquet(paths["quarantine"]).count() == 1
     with pytest.raises(NoDocumentsError):
         quick_process(spark, folder, str(tmp_path / "none"), doc_types=["html"], exclude_name_contains=("p.html",), **options)
-    assert sorted(r["status"] for r in spark.read.parquet(paths["jobs"]).collect()) == ["completed", "failed"]
-    assert spark.read.parquet(paths["datasets"]).count() == 1
+    with pytest.raises(Exception, match="already exists"):
+        quick_process(spark, folder, str(tmp_path / "out"), run_id="again", **options)
+    again = process_documents(run.documents, **options)
+    assert len({run.run_id, again.run_id, "again"}) == 3 and run.dataset_id != again.dataset_id
+    now = {r["id"]: r for r in jobs(spark, paths["jobs"]).collect()}
+    assert sorted(r["status"] for r in now.values()) == ["completed", "completed", "failed", "failed"]
+    assert now[run.job_id]["name"] == "Process 2 documents" and now[run.job_id]["total_items"] == run.items.count() > 0
+    assert now[run.job_id]["output_data"]["dataset_id"] == run.dataset_id
+    assert now[job_id("again")]["status"] == "failed" and "exists" in now[job_id("again")]["error_message"]
+    events = [r["status"] for r in job_events(spark, paths["jobs"]).where(F.col("id") == run.job_id).orderBy("seq").collect()]
+    assert events == ["pending", "processing", "completed"]
+    datasets = {r["id"]: r for r in spark.read.parquet(paths["datasets"]).collect()}
+    assert set(datasets) == {run.dataset_id, again.dataset_id}
+    assert [datasets[i]["name"] for i in (run.dataset_id, again.dataset_id)] == ["Generated Dataset 1", "Generated Dataset 2"]
+    one = datasets[run.dataset_id]
+    assert (one["export_format"], one["export_path"]) == ("jsonl", str(tmp_path / "out")) and one["exported_at"] is not None
+    assert one["total_examples"] == sum(one["task_type_counts"].values()) == run.examples.count()
+    assert datasets[again.dataset_id]["export_path"] is None
+
+
+def test_the_example_of_the_readme(spark, folder, tmp_path):
+    """The README's first example, with its paths put into a temporary folder."""
+    import os
+    import re
+
+    readme = open(os.path.join(os.path.dirname(os.path.dirname(__file__)), "README.md")).read()
+    code = re.search(r"```python\n(.*?)```", readme, re.S)[1]
+    (tmp_path / "one.html").write_text("<p>One. Two.</p>")
+    for name, path in (("/data/corpus", folder), ("/data/one.html", str(tmp_path / "one.html")), ("/out/", f"{tmp_path}/out/")):
+        code = code.replace(name, path)
+
+    class Client:
+        @staticmethod
+        def complete(prompt):
+            return prompt[:40]
+
+    fetched = spark.createDataFrame([("http://site/a-b", "<p>Page. More.</p>")], "url string, html string")
+    names = {"spark": spark, "fetched_pages": fetched, "client": Client}
+    exec(code, names)  # noqa: S102
+    assert names["run"].examples.count() > 0
+    assert export.read_jsonl(spark, f"{tmp_path}/out/set").count() == names["run"].examples.count()
+
+
+def test_scratch_tables_can_be_dropped(spark, tmp_path):
+    from inkweave.session import drop_scratch, written
+
+    kept = str(tmp_path / "kept")
+    spark.range(3).write.parquet(kept)
+    one, other = written(spark.range(5), "a"), spark.read.parquet(kept)
+    assert one.count() == 5 and drop_scratch(spark, one, other) == 1
+    assert spark.read.parquet(kept).count() == 3
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+        one.collect()
