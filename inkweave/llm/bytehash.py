@@ -1,12 +1,15 @@
 """Words and rolling hashes of many texts at once, as numpy arrays over one Arrow string buffer.
 
 A text is a slice of one shared byte buffer, so the work is a few vector operations per buffer and not a loop per
-text. Hashes are polynomials modulo 2^64 over random byte values, finished by a mixing step; a window's hash comes
-from two prefix sums, whatever its length.
+text. A word's hash holds all bytes of a short word, and is a digest of a long one. Hashes of windows are polynomials
+modulo 2^64 over such hashes (or over random byte values), finished by a mixing step; a window's hash comes from two
+prefix sums, whatever its length. Over words they are equal by chance alone; over bytes there are long strings that
+collide for every base, so byte spans are hashed where bytes are compared afterwards, or where only counts are taken.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -95,6 +98,36 @@ def words(texts: Texts, separator: np.ndarray = _SPACE) -> Words:
     return Words(starts, ends, texts.owner(starts), np.searchsorted(starts, texts.offsets))
 
 
+#: A word of so many bytes at most is two numbers as it is; longer ones are digested.
+PLAIN_BYTES = 16
+
+
+def word_digests(texts: Texts, found: Words) -> np.ndarray:
+    """Two 64-bit hashes of each word (a row per word), made of its length and all of its bytes.
+
+    Words of up to 16 bytes are two 64-bit numbers already, which are mixed; the few longer ones have a digest, made
+    once for each of them that is different.
+    """
+    sizes = found.ends - found.starts
+    padded = np.zeros(len(texts.data) + PLAIN_BYTES, np.uint8)
+    padded[: len(texts.data)] = texts.data
+    halves = np.lib.stride_tricks.sliding_window_view(padded, PLAIN_BYTES)[found.starts].copy().view("<u8").reshape(-1, 2)
+    ones = np.uint64(2**64 - 1)
+    for half in (0, 1):  # what lies behind the word is no part of it
+        bits = np.clip(8 * (sizes - 8 * half), 0, 64).astype(np.uint64)
+        halves[:, half] &= np.where(bits > 0, ones >> (np.uint64(64) - np.maximum(bits, np.uint64(1))), np.uint64(0))
+    size = sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    one, two = mix(halves[:, 0] ^ mix(halves[:, 1] + size)), mix(halves[:, 1] ^ mix(halves[:, 0] - size))
+    out = np.stack([one, two], axis=1)
+    known: dict[bytes, tuple[int, int]] = {}
+    for i in np.flatnonzero(sizes > PLAIN_BYTES).tolist():
+        word = texts.data[found.starts[i] : found.ends[i]].tobytes()
+        if word not in known:
+            known[word] = np.frombuffer(hashlib.blake2b(word, digest_size=16).digest(), "<u8")
+        out[i] = known[word]
+    return out
+
+
 def slices(table: pa.Table | pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.Table]:
     """The table's rows in pieces of about ``most`` bytes of text."""
     table = pa.Table.from_batches([table]) if isinstance(table, pa.RecordBatch) else table

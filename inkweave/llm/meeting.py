@@ -167,8 +167,8 @@ _CLAIMS = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), *((n, pa.bin
 _FIRSTS = pa.schema([("batch", pa.int64()), *((n, pa.binary()) for n in ("high", "low", "least"))])
 
 
-# Keys of 96 bits: the high 64 and the low 32 of a second hash. Two keys of a hundred billion are equal by chance once
-# in millions of runs.
+# Keys of 96 bits: the high 64 and the low 32 of a second hash, of digests of words. Two keys of a hundred billion are
+# equal by chance once in millions of runs.
 _HALVES = (("high", "<u8"), ("low", "<u4"))
 
 

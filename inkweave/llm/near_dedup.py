@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkweave.llm import meeting
-from inkweave.llm.bytehash import RollingHash, Texts, mix, slices, words
+from inkweave.llm.bytehash import RollingHash, Texts, mix, slices, word_digests, words
 from inkweave.llm.components import components
 from inkweave.llm.store import written
 
@@ -32,7 +32,7 @@ CHUNKS = (DISTANCE + 1) // 2
 BLOCK_SHINGLES = 1 << 19
 _PIECE_BYTES = 512 << 10
 
-_ROLLING, _SETS = RollingHash(53), RollingHash(71)
+_ROLLING = RollingHash(53)
 _DRAWS = np.random.default_rng(97)
 _XOR = _DRAWS.integers(0, 2**32, VALUES, dtype=np.uint32)
 _TIMES = _DRAWS.integers(0, 2**31, VALUES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -82,10 +82,11 @@ def near_duplicates(
 
 
 def shingle_sets(texts: Texts, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingle hashes of each text, ascending, one text after the other, and where each text's begin."""
+    """The distinct shingles of each text as 64 bits made of their words' digests, ascending, one text after the other,
+    and where each text's begin."""
     lowered = texts.lower()
     found = words(lowered)
-    values = _ROLLING.spans(lowered.data, found.starts, found.ends)
+    values = word_digests(lowered, found)[:, 0]
     counts = np.diff(found.first)
     whole = np.flatnonzero((counts > 0) & (counts < shingle))
     hashes, owner = np.zeros(0, np.uint64), np.zeros(0, np.int64)

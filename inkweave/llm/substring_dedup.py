@@ -2,10 +2,11 @@
 
 Every document's non-overlapping blocks of words are indexed, and every rolling window of the same length probes
 them. Any repeat of ``window`` words holds a whole block of the document that it repeats, if a block has
-``(window + 1) // 2`` words, so no repeat is missed. Windows around a hit are then compared by 96-bit hashes: a hit
-grows word by word to the maximal exact repeat, which is the union of the repeated windows. Blocks and windows meet
-in packed exchanges (meeting.py), never as pairs of documents, so a passage that a million documents share costs one
-entry per batch.
+``(window + 1) // 2`` words, so no repeat is missed. A hit is extended over all windows that hold its block: these are
+judged one by one, by 96 bits made of digests of their words, and the union of the repeated ones is the maximal exact
+repeat. Blocks and windows meet in packed exchanges (meeting.py), never as pairs of documents, so a passage that a
+million documents share costs one entry per batch; that is why windows are judged by their digests, and a hit is not
+followed word by word into each of the documents that share it.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from inkweave.llm import meeting
-from inkweave.llm.bytehash import RollingHash, Texts, words
+from inkweave.llm.bytehash import RollingHash, Texts, word_digests, words
 
 _ONE, _TWO = RollingHash(11), RollingHash(23)
 _CUT = "id long, kept_text string, n_words long, n_removed long"
@@ -46,16 +47,20 @@ def remove_repeats(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
     return meeting.by_batch(rows, _cut, _CUT, first, window=window)
 
 
-def _hashed(texts: Texts, length: int, rolling: RollingHash):
-    """Words, the hash of each window of ``length`` words, and which of these lie in one text."""
+def _hashed(texts: Texts, *lengths: int):
+    """Words, and for each length both hashes of the windows of so many words, and which of them lie in one text."""
     found = words(texts)
-    hashes = rolling.windows(rolling.spans(texts.data, found.starts, found.ends), length)
-    inside = found.owner[: len(hashes)] == found.owner[length - 1 :] if len(hashes) else np.zeros(0, bool)
-    return found, hashes, inside
+    digests = word_digests(texts, found)
+    out = []
+    for length in lengths:
+        high, low = _ONE.windows(digests[:, 0], length), _TWO.windows(digests[:, 1], length)
+        inside = found.owner[: len(high)] == found.owner[length - 1 :] if len(high) else np.zeros(0, bool)
+        out.append((high, (low >> np.uint64(32)).astype(np.uint32), inside))
+    return found, *out
 
 
 def _blocks(table: pa.Table, block: int, plan: meeting.Plan) -> pa.Table:
-    found, hashes, inside = _hashed(Texts.of(table["text"]), block, _ONE)
+    found, (hashes, _, inside) = _hashed(Texts.of(table["text"]), block)
     at = np.flatnonzero(inside)
     owner = found.owner[at]
     aligned = (at - found.first[owner]) % block == 0
@@ -63,19 +68,11 @@ def _blocks(table: pa.Table, block: int, plan: meeting.Plan) -> pa.Table:
     return meeting.send_keys(table["batch"][0].as_py(), hashes[at], ids[owner], aligned, plan)
 
 
-def _both(texts: Texts, window: int):
-    found, high, inside = _hashed(texts, window, _ONE)
-    low = _TWO.windows(_TWO.spans(texts.data, found.starts, found.ends), window)
-    return found, high, (low >> np.uint64(32)).astype(np.uint32), inside
-
-
 def _claims(table: pa.Table, hits: pa.Table, block: int, window: int, plan: meeting.Plan) -> pa.Table:
     if not table.num_rows or not hits.num_rows:
         return meeting.claim(0, np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64), plan)
-    texts = Texts.of(table["text"])
-    _, blocks, whole = _hashed(texts, block, _ONE)
+    found, (blocks, _, whole), (high, low, inside) = _hashed(Texts.of(table["text"]), block, window)
     hit = whole & meeting.contained(plan.short(blocks), meeting.found_keys(hits))
-    found, high, low, inside = _both(texts, window)
     # a window is looked at if one of its blocks is hit
     before = np.concatenate([[0], np.cumsum(hit)])
     n, span = len(high), window - block + 1
@@ -88,7 +85,7 @@ def _cut(table: pa.Table, answers: pa.Table, window: int) -> pa.Table:
     if not table.num_rows:
         return _CUT_ARROW.empty_table()
     texts = Texts.of(table["text"])
-    found, high, low, inside = _both(texts, window)
+    found, (high, low, inside) = _hashed(texts, window)
     n = len(high)
     least = meeting.least_ids(answers, high, low)
     repeated = inside & (least < meeting.ids_of(table)[found.owner[:n]])

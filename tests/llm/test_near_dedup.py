@@ -80,3 +80,11 @@ def test_components(spark):
     expected = {i: 0 for i in range(31)} | {100: 100, 101: 100}
     assert {r.node: r.component for r in found} == expected and len(found) == len(expected)
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_words_that_polynomial_hashes_confuse(docs_of):
+    signs = [bin(i).count("1") % 2 for i in range(1024)]
+    one, other = ("".join(x[s] for s in signs) for x in ("ab", "ba"))
+    rows = [(1, f"x {one}"), (2, f"x {other}"), (3, f"X {one}"), (4, one), (5, other)]
+    for n in (2, 5):
+        check(near_dedup.near_duplicates(docs_of(rows), shingle=n).collect(), rows, n)

@@ -104,3 +104,35 @@ def test_words_never_cross_texts():
     found = words(texts)
     assert [texts.data[a:b].tobytes() for a, b in zip(found.starts, found.ends, strict=True)] == [b"a", b"b", b"c", b"d", b"e"]
     assert found.owner.tolist() == [0, 0, 3, 4, 4] and found.first.tolist() == [0, 2, 2, 2, 3, 5]
+
+
+def alike():
+    """Two different words of 1,024 bytes that every polynomial hash modulo 2^64 takes for one."""
+    signs = [bin(i).count("1") % 2 for i in range(1024)]
+    return "".join("ab"[x] for x in signs), "".join("ba"[x] for x in signs)
+
+
+def test_words_that_polynomial_hashes_confuse(docs_of):
+    one, other = alike()
+    start = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{start} {one}"), (2, f"{start} {other}"), (3, f"{start} {one}")]
+    cut = {r.id: r.n_removed for r in remove_repeats(docs_of(rows), window=13).collect()}
+    assert cut == {1: 0, 2: 0, 3: 13}
+
+
+def test_hashes_of_words_hold_all_of_their_bytes():
+    from inkweave.llm.bytehash import word_digests
+
+    rng = random.Random(4)
+    said = ["".join(rng.choice("ab\x00é") for _ in range(rng.randint(1, 24))) for _ in range(3000)]
+    said += [w[:-1] + x for w in said[:300] for x in "ab\x00"] + ["\x00" * n for n in range(1, 30)] + ["a" * n for n in range(1, 40)]
+    rows = [" ".join(said[:1500]), None, "", "  \t" + "\n".join(said[1500:]), said[0], "a", " "]
+    texts = Texts.of(pa.array(rows))
+    found = words(texts)
+    spelled = [texts.data[a:b].tobytes() for a, b in zip(found.starts, found.ends, strict=True)]
+    hashes = word_digests(texts, found)
+    for column in range(2):
+        known = {}
+        assert all(known.setdefault(w, h) == h for w, h in zip(spelled, hashes[:, column].tolist(), strict=True))
+        assert len(set(known.values())) == len(set(spelled)) > 1000
+    assert word_digests(Texts.of(pa.array([None], pa.string())), words(Texts.of(pa.array([None], pa.string())))).shape == (0, 2)
