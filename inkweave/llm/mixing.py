@@ -9,6 +9,7 @@ table of lengths; documents themselves are only counted and ranked, in classes s
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import pandas as pd
@@ -17,8 +18,6 @@ from pyspark.sql import functions as F
 
 from inkweave.llm.store import written
 
-#: Words that the dynamic programme looks at; beyond it, whole documents of the commonest lengths are taken first.
-FIT_WORDS = 1 << 16
 #: Rows of one (source, length) class ranked in one task; larger classes are cut by hash and ranked piece by piece.
 CLASS_ROWS = 4096
 MOST_COPIES = 3
@@ -59,43 +58,61 @@ def targets(sizes: DataFrame, weights: Sequence[int]) -> DataFrame:
 def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
     """How many documents of each length to take, so that their words come as near to the budget as can be from below.
 
-    Each length first gives its even share of the budget; documents are then added, most plentiful lengths first,
-    while more than FIT_WORDS are missing, and the rest is fitted by a bounded-knapsack dynamic programme.
+    Each length gives its even share of the budget, and whole documents fill what the shares leave. What is then missing,
+    less than a document, is fitted by a bounded-knapsack dynamic programme in which some lengths, the shortest, may
+    give a few documents more or fewer. As long as a sum is missed, more lengths are loosened by more documents. Of all
+    ways to reach a sum one differs by no more than twice the longest length in documents (longer differences hold a
+    part that sums to nothing), so the search ends there at the latest, and what it has found is the best.
     """
+    counts = {length: n for length, n in counts.items() if length > 0 and n > 0}
     total = sum(length * n for length, n in counts.items())
     if budget <= 0 or total <= 0:
         return {}
     if budget >= total:
         return dict(counts)
-    taken = {length: n * budget // total for length, n in counts.items() if length}
+    taken = {length: n * budget // total for length, n in counts.items()}
     missing = budget - sum(length * n for length, n in taken.items())
-    spare = {length: counts[length] - n for length, n in taken.items() if counts[length] > n}
-    for length in sorted(spare, key=lambda x: (-spare[x], -x)):
-        if missing <= FIT_WORDS:
-            break
-        more = min(spare[length], -(-(missing - FIT_WORDS) // length), missing // length)
+    for length in sorted(counts, key=lambda x: (-(counts[x] * budget % total), -x)):  # the largest remainders first
+        if taken[length] < counts[length] and length <= missing:
+            taken[length] += 1
+            missing -= length
+    for length in sorted(counts, reverse=True):
+        more = min(counts[length] - taken[length], missing // length)
         taken[length] += more
-        spare[length] -= more
         missing -= more * length
+    least = budget % math.gcd(*counts)  # sums are multiples of what all lengths share
+    lengths, loose, room = sorted(counts), 6, 2
+    while missing > least:
+        chosen = lengths[:loose]
+        taken, missing = _loosened(counts, taken, missing, chosen, room)
+        if loose >= len(lengths) and (room > 2 * lengths[-1] or all(room >= counts[x] for x in lengths)):
+            break
+        loose, room = 2 * loose, 4 * room
+    return {length: n for length, n in taken.items() if n}
+
+
+def _loosened(counts: dict[int, int], taken: dict[int, int], missing: int, chosen: list[int], room: int) -> tuple[dict[int, int], int]:
+    """The best that the chosen lengths can do if each gives up to ``room`` documents more or fewer than it does."""
+    back = {length: min(taken[length], room) for length in chosen}
+    start = missing + sum(length * n for length, n in back.items())
     # sums that can be reached are bits of a number; a length's copies are offered in powers of two and a remainder
-    reach, mask = 1, (1 << (missing + 1)) - 1
+    reach, mask = 1, (1 << (start + 1)) - 1
     steps: list[tuple[int, int, int]] = []
-    for length in sorted(spare, reverse=True):
-        left, block = min(spare[length], missing // length if length else 0), 1
-        while left > 0:
+    for length in reversed(chosen):
+        left, block = min(back[length] + min(counts[length] - taken[length], room), start // length), 1
+        while left > 0 and not (reach >> start) & 1:
             n = min(block, left)
             steps.append((length, n, reach))
             reach |= (reach << (length * n)) & mask
             left -= n
             block *= 2
-        if (reach >> missing) & 1:
-            break
     at = reach.bit_length() - 1
+    missed, found = start - at, {**taken, **{length: taken[length] - n for length, n in back.items()}}
     for length, n, before in reversed(steps):
         if not (before >> at) & 1:
             at -= length * n
-            taken[length] += n
-    return {length: n for length, n in taken.items() if n}
+            found[length] += n
+    return found, missed
 
 
 def _plan(rows: pd.DataFrame) -> pd.DataFrame:

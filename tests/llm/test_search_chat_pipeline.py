@@ -187,3 +187,111 @@ def test_stages_take_clashing_names(spark, name):
     rows = found.collect()
     assert rows and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in more)
     assert sorted(tuple(r[c] for c in plain.columns) for r in rows) == sorted(map(tuple, plain.collect()))
+
+
+# --- the stages against brute force -----------------------------------------------------------------------------
+
+CLASHES = ("row", "ROW_", "id", "left_out", "component_id", "found", "mark", "score", "others", "batch", "key", "first", "n", "unnamed")
+
+
+@pytest.fixture(scope="module")
+def odd_docs(spark, odd_rows):
+    """Documents with null and repeated ids, nulls, copies, near copies, benchmark texts, and columns of clashing names."""
+    items = [r.text for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").orderBy("item_id").limit(4).collect()]
+    words = [f"word{i}" for i in range(60)]
+    rows = [*odd_rows, (None, items[0]), (None, items[0]), (70, "see " + items[1] + " there"), (71, items[1]), (71, "clean text of one's own"), (72, items[2].upper())]
+    rows += [(80, " ".join(words)), (None, " ".join(words)), (81, " ".join([*words[:59], "other"])), (79, " ".join(words)), (79, " ".join(words))]
+    rows += [(90 + i, f"mail a{i}@example.com or 988-555-24{i:02}") for i in range(3)] + [(None, "card 4041894974608795"), (None, None), (None, "")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES)
+    full = [(i, t, ("en", None, "de")[k % 3], ("a", None, "b", "c")[k % 4], len(t or ""), *(f"{c}{k}" for c in CLASHES)) for k, (i, t) in enumerate(rows)]
+    return spark.createDataFrame(full, schema).repartition(4), full
+
+
+def left(spark, name, docs):
+    """The rows that a stage keeps, by the number that their column ``id`` ends with."""
+    found = dict(corpus_pipeline.STAGES)[name](spark, docs, FOLDER)
+    assert found.columns[: len(docs.columns)] == docs.columns
+    return {int(r["id"][2:]): r for r in found.collect()}
+
+
+def test_near_duplicate_stage(spark, odd_docs):
+    from test_near_dedup import all_pairs, shingles
+
+    docs, rows = odd_docs
+    component = all_pairs([(k, r[1]) for k, r in enumerate(rows)], 5)
+    groups = {}
+    for k, r in enumerate(rows):
+        groups.setdefault(component[k] if shingles(r[1], 5) else ("alone", k), []).append(k)
+    kept = left(spark, "near_duplicates", docs)
+    assert len(kept) == len(groups) < len(rows)
+    for members in groups.values():
+        (own,) = [k for k in members if k in kept]
+        ids = [rows[k][0] for k in members if rows[k][0] is not None]
+        assert rows[own][0] == min(ids, default=None) and tuple(kept[own]) == rows[own]
+
+
+def test_decontamination_stage(spark, odd_docs):
+    docs, rows = odd_docs
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    lowered = lambda t: word.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    windows = set()
+    for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect():
+        w = lowered(r.text)
+        windows |= {tuple(w[i : i + 10]) for i in range(max(len(w) - 9, 1))} if w else set()
+    lengths = {len(w) for w in windows}
+    said = {k: lowered(r[1]) for k, r in enumerate(rows)}
+    clean = {k for k, w in said.items() if not any(tuple(w[i : i + n]) in windows for n in lengths for i in range(len(w) - n + 1))}
+    kept = left(spark, "decontaminate", docs)
+    assert set(kept) == clean and len(clean) < len(rows) - 4
+    assert all(tuple(kept[k]) == rows[k] for k in kept)
+
+
+def test_quality_stage(spark, odd_docs):
+    docs, rows = odd_docs
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    model = corpus_pipeline.quality_trees.train(docs, labels, F.lit(True))
+    scored = {r["text"]: r["score"] for r in corpus_pipeline.quality_trees.score(docs.select("doc_id", "text"), model, also=("text",)).collect()}
+    kept = left(spark, "quality", docs)
+    assert set(kept) == {k for k, r in enumerate(rows) if scored[r[1]] >= corpus_pipeline.LEAST_QUALITY}
+    assert all(tuple(kept[k]) == rows[k] for k in kept)
+
+
+def test_pseudonym_stage(spark, odd_docs):
+    docs, rows = odd_docs
+    kept = left(spark, "pseudonymise", docs)
+    assert set(kept) == set(range(len(rows)))
+    changed = {k for k in kept if tuple(kept[k]) != rows[k]}
+    assert changed == {k for k, r in enumerate(rows) if re.search("@example|^card", r[1] or "")}
+    for k in changed:
+        assert kept[k]["n_chars"] == len(kept[k]["text"]) and not re.search(r"4041894974608795|988-555-24", kept[k]["text"])
+        assert [x for c, x in zip(docs.columns, kept[k], strict=True) if c not in ("text", "n_chars")] == [x for c, x in zip(docs.columns, rows[k], strict=True) if c not in ("text", "n_chars")]
+
+
+def test_mix_stage(spark, odd_docs):
+    from test_text_operators import water_filled
+
+    docs, rows = odd_docs
+    sizes = [len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in rows]
+    of_source = {}
+    for r, n in zip(rows, sizes, strict=True):
+        of_source[r[3]] = of_source.get(r[3], 0) + n
+    target = water_filled(of_source, (5, 2, 1))
+    kept = left(spark, "mix_sources", docs)
+    taken = dict.fromkeys(of_source, 0)
+    for k, r in kept.items():
+        assert tuple(r)[: len(rows[k])] == rows[k] and r.mix_taken in (sizes[k], 2 * sizes[k], 3 * sizes[k])
+        assert r.mix_target == pytest.approx(target[r.source])
+        taken[r.source] += r.mix_taken
+    assert all(taken[s] <= target[s] + 1 for s in taken)
+
+
+def test_contaminated_documents_without_an_id_do_not_get_through(spark, odd_docs, tmp_path):
+    """The whole run: no row of a benchmark text is left, whatever its id."""
+    docs, rows = odd_docs
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{FOLDER}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    plain = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    docs.select(*plain.columns).unionByName(plain).write.parquet(str(tmp_path / "documents.parquet"))
+    items = {r.text for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()}
+    last = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert last and not any(item in (r.text or "") for r in last for item in items)

@@ -76,19 +76,34 @@ def test_mix_comes_near_its_targets(table, monkeypatch):
         assert 0 <= gap <= 0.02 * target[name]
 
 
-def test_fit_is_exact_where_lengths_allow():
+def test_fit_finds_the_best_sum():
+    """Against all sums that there are: of few and many lengths, small and large, with and without a common divisor."""
     rng = np.random.default_rng(4)
-    for _ in range(50):
-        counts = {int(n): int(c) for n, c in zip(rng.choice(40, 6, replace=False) + 1, rng.integers(1, 5, 6), strict=True)}
-        reach = {0}
+    for k in range(400):
+        scale, most, kinds = ((1, 40, 6), (7, 300, 3), (1, 900, 12), (2, 30, 8))[k % 4]
+        counts = {int(n) * scale: int(c) for n, c in zip(rng.choice(most, kinds, replace=False) + 1, rng.integers(1, 9, kinds), strict=True)}
+        reach = 1
         for n, c in counts.items():
-            reach = {r + n * k for r in reach for k in range(c + 1)}
+            for _ in range(c):
+                reach |= reach << n
         budget = int(rng.integers(1, sum(n * c for n, c in counts.items()) + 1))
         taken = mixing.fit(counts, budget)
-        assert all(0 <= k <= counts[n] for n, k in taken.items())
-        # the even shares that are taken first are part of the best sum in all but tiny cases; never above the budget
-        assert max(r for r in reach if r <= budget) - sum(n * k for n, k in taken.items()) in range(max(counts))
-    assert mixing.fit({3: 2}, 99) == {3: 2} and mixing.fit({}, 5) == {} and mixing.fit({0: 4}, 5) == {}
+        assert all(0 <= t <= counts[n] for n, t in taken.items())
+        assert sum(n * t for n, t in taken.items()) == (reach & ((1 << budget + 1) - 1)).bit_length() - 1, (counts, budget)
+    assert mixing.fit({3: 2}, 99) == {3: 2} and mixing.fit({}, 5) == {} and mixing.fit({0: 4}, 5) == {} and mixing.fit({3: 2}, 2) == {}
+
+
+def test_fit_of_large_budgets():
+    """Whatever the number of words, the budget is met to the word, and every length gives about its even share."""
+    rng = np.random.default_rng(5)
+    counts = {int(n): int(c) for n, c in zip(rng.choice(20_000, 3000, replace=False) + 1, rng.integers(1, 40_000, 3000), strict=True)}
+    total = sum(n * c for n, c in counts.items())
+    for budget in (total // 3, total // 2 + 12_345, total - 10**9 - 7, 10**6 + 1):
+        taken = mixing.fit(counts, budget)
+        assert sum(n * t for n, t in taken.items()) == budget
+        assert sum(abs(taken.get(n, 0) - c * budget / total) for n, c in counts.items()) < 1.2 * len(counts) + 200
+    # a sum out of reach is given up without looking at every sum
+    assert mixing.fit({1000: 10**6, 1001: 1}, 5 * 10**8 + 500) == {1000: 499_999, 1001: 1}
 
 
 # --- pseudonyms -----------------------------------------------------------------------------------------------
