@@ -15,17 +15,29 @@ from inkweave.llm.store import written
 
 #: Documents that score less are rejected.
 LEAST_QUALITY = 0.5
-#: A list of ids this long at most is sent to every executor; a longer one is joined by a shuffle.
+#: A list of rows' numbers this long at most is sent to every executor; a longer one is joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: SQL cannot express trees, signatures, keyed permutations and fitted budgets; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is not among these."""
-    ids = written(ids.where("id is not null").distinct(), "left-out")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(ids, docs["doc_id"] == ids["id"], "left_anti")
+def _keyed(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """The documents with a number of their own each, and that column's name, which no column of theirs has.
+
+    They are written, so that a row has the same number for every reader. Verdicts are given by row: a document without
+    an id is judged like any other, and rows that share an id are judged each.
+    """
+    name = "row"
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), label), name
+
+
+def _without(keyed: DataFrame, row: str, gone: DataFrame) -> DataFrame:
+    """The documents whose number is not among ``gone(id)``."""
+    gone = written(gone.select(F.col("id").alias("left_out")), "left-out")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return keyed.join(gone, keyed[row] == gone["left_out"], "left_anti").drop(row)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,23 +58,38 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8): the one with the least id.
 
-    Documents without words or without an id are no one's duplicates and stay; repeated rows of one id stay together.
+    Every row is a document: of repeated rows one stays, and texts that share an id are compared like any others. A
+    document without an id stays only where its group has none with one; of several rows with the least id the first
+    that was written stays. Documents without words are no one's duplicates and stay.
     """
-    found = near_dedup.near_duplicates(docs, shingle=5, percent=80)
-    return _without(docs, found.where("not kept").select("id"))
+    keyed, row = _keyed(docs, "numbered")
+    found = written(near_dedup.near_duplicates(keyed, id_col=row, shingle=5, percent=80), "duplicates")
+    grouped = found.where("n_shingles > 0").select("id", "component_id")
+    # a group of one is left as it is; only the others look for their least id
+    several = written(grouped.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id"), "groups")
+    members = written(grouped.join(several, "component_id", "left_semi"), "members")
+    named = keyed.select(F.col(row).alias("id"), F.col("doc_id").isNull().alias("unnamed"), "doc_id")
+    order = F.struct("unnamed", "doc_id", "id")
+    stays = members.join(named, "id").groupBy("component_id").agg(F.min(order).alias("first"))
+    kept = stays.select(F.col("first.id").alias("id"))
+    return _without(keyed, row, members.join(kept, "id", "left_anti"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of ten words of a benchmark item; a document without an id is not looked up."""
+    """Documents that hold no window of ten words of a benchmark item, whether or not they have an id."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontamination.find_contamination(docs, benchmark, window=10)
-    return _without(docs, found.where("contaminated").select("id"))
+    keyed, row = _keyed(docs, "numbered")
+    found = decontamination.find_contamination(keyed, benchmark, id_col=row, window=10)
+    return _without(keyed, row, found.where("contaminated"))
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced; ``n_chars`` follows the new text where the text was changed."""
-    changed = pseudonyms.pseudonymise(docs, key="inkweave", found_col="mix_found")
-    n_chars = F.when(F.size("mix_found") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    found = "found"
+    while found.lower() in (c.lower() for c in docs.columns):
+        found += "_"
+    changed = pseudonyms.pseudonymise(docs, key="inkweave", found_col=found)
+    n_chars = F.when(F.size(found) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return changed.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
