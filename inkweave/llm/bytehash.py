@@ -128,8 +128,8 @@ def word_digests(texts: Texts, found: Words) -> np.ndarray:
     return out
 
 
-def slices(table: pa.Table | pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.Table]:
-    """The table's rows in pieces of about ``most`` bytes of text."""
+def slices(table: pa.Table | pa.RecordBatch, column: str, most: int = SLICE_BYTES, rows: int | None = None) -> Iterator[pa.Table]:
+    """The table's rows in pieces of about ``most`` bytes of text, and of ``rows`` rows at most if that is given."""
     table = pa.Table.from_batches([table]) if isinstance(table, pa.RecordBatch) else table
     if not table.num_rows:
         return
@@ -137,7 +137,9 @@ def slices(table: pa.Table | pa.RecordBatch, column: str, most: int = SLICE_BYTE
     piece = (np.cumsum(sizes) - sizes) // most
     cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), table.num_rows]
     for begin, end in zip(cuts, cuts[1:], strict=False):
-        yield table.slice(begin, end - begin)
+        step = rows or max(end - begin, 1)
+        for at in range(begin, end, step):
+            yield table.slice(at, min(step, end - at))
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -17,10 +17,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkweave.llm.bytehash import Texts, slices
+from inkweave.llm.store import written
 
 UNKNOWN = "und"
 DIMENSIONS = 4096
-_PIECE_BYTES = 256 << 10
+#: Texts that are counted together: so many bytes, and so many texts, as each has DIMENSIONS numbers.
+_PIECE_BYTES, _PIECE_ROWS = 256 << 10, 128
+#: Ranges that ids' hashes are counted in, to find those with the least hash without ranking all.
+_RANGES = 4096
 _LETTER = np.full(256, 32, np.uint32)
 _LETTER[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
 _LETTER[ord("A") : ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
@@ -97,45 +101,73 @@ def train(
 
     Learns from ``max_per_language`` rows of each language at most, those with the least hash of their id; rows with a
     null id, text or language, or an empty text, do not count. No rows give no centroids: all texts are then unknown.
+    A language's texts are clustered in one task; the driver holds the centroids alone.
     """
     usable = documents.where(learn).select(
         F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")
     )
     usable = usable.where("id is not null and lang is not null and text rlike '\\\\p{L}'")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    picked = usable.select("id", "lang").withColumn("place", F.row_number().over(first)).where(F.col("place") <= max_per_language)
-    # bounded rows per language, so small unless languages are many: Spark checks the size before it broadcasts
-    chosen = usable.join(picked.select("id", "lang").distinct(), ["id", "lang"], "left_semi")
+    chosen = written(usable.join(_least(usable.select("id", "lang"), max_per_language), ["id", "lang"], "left_semi"), "learned-texts")
 
     def counted(batches):
         for batch in batches:
-            for table in slices(batch, "text", _PIECE_BYTES):
+            for table in slices(batch, "text", _PIECE_BYTES, _PIECE_ROWS):
                 rows = counts(Texts.of(table["text"])).astype(np.float32)
                 yield pa.RecordBatch.from_arrays(
                     [table["id"].combine_chunks(), table["lang"].combine_chunks(), pa.array([r.tobytes() for r in rows], pa.binary())],
                     names=["id", "lang", "counts"],
                 )
 
-    found = chosen.mapInArrow(counted, "id long, lang string, counts binary").toArrow()
-    if not found.num_rows:
+    def frequencies(batches):
+        total, n = np.zeros(DIMENSIONS, np.int64), 0
+        for batch in batches:
+            for table in slices(batch, "text", _PIECE_BYTES, _PIECE_ROWS):
+                rows = counts(Texts.of(table["text"]))
+                total, n = total + (rows > 0).sum(axis=0), n + len(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tolist()], pa.list_(pa.int64()))], names=["n", "held"])
+
+    # one row of each task; the texts stay where they are
+    parts = chosen.mapInArrow(frequencies, "n long, held array<bigint>").collect()
+    n = sum(r["n"] for r in parts)
+    if not n:
         return Centroids([], np.zeros((0, DIMENSIONS)), np.ones(DIMENSIONS), np.zeros(0))
-    order = np.argsort(found["id"].to_numpy(), kind="stable")
-    lang = np.array(found["lang"].to_pylist(), object)[order]
-    rows = np.frombuffer(b"".join(found["counts"].to_pylist()), np.float32).reshape(-1, DIMENSIONS)[order]
-    idf = np.log((1 + len(rows)) / (1 + (rows > 0).sum(axis=0))) + 1
-    vectors = unit(np.log1p(rows) * idf)
-    names, points, floor = [], [], []
-    for name in sorted(set(lang)):
-        own = vectors[lang == name]
-        found_points = cluster(own, centroids)
-        cosine = own @ found_points.T
+    idf = np.log((1 + n) / (1 + np.sum([r["held"] for r in parts], axis=0))) + 1
+
+    def learned(key: tuple, table: pa.Table) -> pa.Table:
+        """One language's centroids, from its ``max_per_language`` rows."""
+        order = np.argsort(table["id"].to_numpy(), kind="stable")
+        rows = np.frombuffer(b"".join(table["counts"].to_pylist()), np.float32).reshape(-1, DIMENSIONS)[order]
+        own = unit(np.log1p(rows) * idf)
+        points = cluster(own, centroids)
+        cosine = own @ points.T
         best = cosine.argmax(axis=1)
-        for j in range(len(found_points)):
-            members = cosine[best == j, j]
-            names.append(str(name))
-            points.append(found_points[j])
-            floor.append(float(np.quantile(members, floor_quantile)) if len(members) else 1.0)
-    return Centroids(names, np.array(points), idf, np.array(floor))
+        members = [cosine[best == j, j] for j in range(len(points))]
+        floor = [float(np.quantile(m, floor_quantile)) if len(m) else 1.0 for m in members]
+        columns = [pa.array([key[0].as_py()] * len(points), pa.string()), pa.array(range(len(points)), pa.int32()), pa.array(points.tolist(), pa.list_(pa.float64())), pa.array(floor, pa.float64())]
+        return pa.table(columns, names=["lang", "place", "point", "floor"])
+
+    grouped = chosen.mapInArrow(counted, "id long, lang string, counts binary").groupBy("lang")
+    found = grouped.applyInArrow(learned, "lang string, place int, point array<double>, floor double").collect()
+    found.sort(key=lambda r: (r["lang"], r["place"]))
+    return Centroids([r["lang"] for r in found], np.array([r["point"] for r in found]), idf, np.array([r["floor"] for r in found]))
+
+
+def _least(ids: DataFrame, most: int) -> DataFrame:
+    """(id, lang): of each language the ``most`` rows with the least hash of their id.
+
+    Ids are counted by ranges of their hash first, with a map-side combine, so that only the few that lie in a language's
+    first ranges are ranked, however many rows and partitions there are.
+    """
+    hashed = ids.withColumn("hash", F.xxhash64("id"))
+    ranged = hashed.withColumn("range", F.shiftright("hash", 64 - _RANGES.bit_length() + 1))
+    held = ranged.groupBy("lang", "range").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("lang").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    needed = held.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("before") < most)
+    last = needed.groupBy("lang").agg(F.max("range").alias("last"))
+    near = ranged.join(F.broadcast(last), "lang").where("range <= last")  # a row per language, as the model has
+    first = Window.partitionBy("lang").orderBy("hash", "id")
+    ranked = near.withColumn("place", F.row_number().over(first)).where(F.col("place") <= most)
+    return ranked.select("id", "lang").distinct()
 
 
 def identify(documents: DataFrame, model: Centroids, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,7 +183,7 @@ def identify(documents: DataFrame, model: Centroids, *, id_col: str = "doc_id",
 
     def identified(batches):
         for batch in batches:
-            for table in slices(batch, "text", _PIECE_BYTES):
+            for table in slices(batch, "text", _PIECE_BYTES, _PIECE_ROWS):
                 known = table["letters"].to_numpy() & bool(model.languages)
                 names, score, rejected = [UNKNOWN] * table.num_rows, np.zeros(table.num_rows), np.ones(table.num_rows, bool)
                 if known.any():

@@ -1,6 +1,7 @@
 """Mixing, pseudonyms, decontamination, quality and language against brute force or held-out labels."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -319,3 +320,67 @@ def test_language(spark, docs_of, odd_rows):
     assert len(odd) == len(odd_rows) + 1 and language_id.identify(docs_of([]), model).collect() == []
     untaught = language_id.train(docs.where("lang is null"), F.lit(True))
     assert {r.lang_pred for r in language_id.identify(docs, untaught).collect()} == {language_id.UNKNOWN}
+
+
+def plain_counts(text):
+    """Two- and three-byte sequences of a text's letters, hashed, in plain Python."""
+    data = [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in (text or "").encode()]
+    out = [0] * language_id.DIMENSIONS
+    for width in (2, 3):
+        for i in range(len(data) - width + 1):
+            if data[i] == data[i + 1] == 32:
+                continue
+            value = 0
+            for b in data[i : i + width]:
+                value = (value * 257 + b) % 2**32
+            out[(value + width) * 2654435761 % 2**32 >> 20] += 1
+    return out
+
+
+def test_language_against_plain_python(spark, docs_of):
+    """Counts, weights, unit vectors, cosines and the nearest centroid, one by one."""
+    rng = random.Random(12)
+    vocabulary = {n: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(60)] for n, letters in (("x", "abcdé"), ("y", "uvwxyz"))}
+    rows = [(i, " ".join(rng.choice(vocabulary["xy"[i % 2]]) for _ in range(20)) + (" 1, 2!", "\n\n", "")[i % 3], "s", "xy"[i % 2]) for i in range(120)]
+    docs = docs_of([*rows, (None, "abc", "s", "x"), (500, None, "s", "x"), (501, "12 !", "s", "y"), (502, "", "s", "y"), (503, "ab cd", "s", None)])
+    model = language_id.train(docs, F.col("doc_id") % 3 != 1, max_per_language=30)
+    picked = []
+    hashes = {r.doc_id: r.h for r in docs.where("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().collect()}
+    for name in "xy":
+        picked += sorted((hashes[i], i, t) for i, t, _, lang in rows if lang == name and i % 3 != 1)[:30]
+    held = [sum(plain_counts(t)[d] > 0 for _, _, t in picked) for d in range(language_id.DIMENSIONS)]
+    idf = [math.log((1 + len(picked)) / (1 + h)) + 1 for h in held]
+    assert np.allclose(model.idf, idf) and model.languages == ["x"] * 4 + ["y"] * 4
+    texts = {i: t for i, t, _, _ in rows} | {500: None, 501: "12 !", 502: "", 503: "ab cd"}
+    for r in language_id.identify(docs.where("doc_id is not null"), model).collect():
+        text = texts[r.id]
+        if not re.search(r"[^\W\d_]", text or ""):
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        vector = [math.log1p(c) * w for c, w in zip(plain_counts(text), idf, strict=True)]
+        length = math.sqrt(sum(v * v for v in vector))
+        cosine = [sum(v * p for v, p in zip(vector, point, strict=True)) / length for point in model.points.tolist()]
+        best = max(range(len(cosine)), key=cosine.__getitem__)
+        assert r.lang_pred == model.languages[best] and r.score == pytest.approx(min(1.0, max(0.0, cosine[best]))) and r.rejected == (cosine[best] < model.floor[best])
+
+
+def test_texts_are_counted_a_few_at_a_time(spark):
+    """Ten thousand short or empty texts take no more memory at a time than a hundred do."""
+    import pyarrow as pa
+
+    from inkweave.llm.bytehash import slices
+
+    for texts in ([""] * 10_000, [None] * 500, ["ab"] * 1000):
+        table = pa.table({"text": pa.array(texts, pa.string()), "n": list(range(len(texts)))})
+        parts = list(slices(table, "text", 1 << 20, 128))
+        assert max(p.num_rows for p in parts) <= 128 and pa.concat_tables(parts).equals(table)
+
+
+def test_learning_takes_the_least_hashes(spark):
+    rows = [(i, "ab"[i % 7 == 0]) for i in range(30_000)] + [(5, "a")] * 40
+    ids = spark.createDataFrame(rows, "id long, lang string").repartition(5)
+    hashes = {r.id: r.h for r in ids.select("id", F.xxhash64("id").alias("h")).distinct().collect()}
+    found = {(r.id, r.lang) for r in language_id._least(ids, 700).collect()}
+    for name in "ab":
+        own = sorted((hashes[i], i) for i, lang in rows if lang == name)[:700]
+        assert {i for i, lang in found if lang == name} == {i for _, i in own}
