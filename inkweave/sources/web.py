@@ -13,6 +13,8 @@ from inkweave.sources.documents import make_documents
 # The tags that tell scraped text from text taken out of the fetched page.
 SCRAPED = "webLoader.Decodo.API"
 FETCHED = "webLoader.Fallback.HTTPX_BS4"
+#: Addresses with usable scraped text up to which their list is sent to every executor.
+BROADCAST_ADDRESSES = 100_000
 
 
 def with_page_title(rows: DataFrame, html: str, url: str, into: str, mode: str = "auto") -> DataFrame:
@@ -26,19 +28,26 @@ def content_or_fallback(pages: DataFrame, scraped: DataFrame, *, row_id: str, mo
     """Add ``content`` and ``extraction_method`` to pages(url, html, ...): scraped(url, content) text where it
     is present and not blank, else the page's main content.
 
-    ``scraped`` holds one row per address. Addresses fetched again and again are salted (see joins).
+    ``scraped`` holds one row per address. The main content is taken out where the pages are read, so that texts and no
+    HTML are shuffled (a caller who keeps ``html`` sends it along). As long as the addresses with usable text are few
+    enough to be sent to every executor, their pages are not parsed at all. Addresses fetched again and again are salted.
     """
-    given = scraped.select("url", F.col("content").alias("scraped_text"))
-    joined = hot_key_join(pages, given, on=["url"], salt_on=row_id, how="left")
-    usable = F.coalesce(~text.is_blank(F.col("scraped_text")), F.lit(False))
-    marked = joined.withColumn("_page", F.when(~usable, F.col("html")))
-    read = with_main_content(marked, "_page", "_main", mode)
-    return read.withColumns(
+    given = scraped.where(~text.is_blank(F.col("content"))).select("url", F.col("content").alias("scraped_text"))
+    usable = given.select(F.col("url").alias("_usable"))
+    if usable.limit(BROADCAST_ADDRESSES + 1).count() <= BROADCAST_ADDRESSES:
+        known = pages.join(F.broadcast(usable), pages["url"] == F.col("_usable"), "left")
+        marked = known.withColumn("_page", F.when(F.col("_usable").isNull(), F.col("html"))).drop("_usable")
+    else:
+        marked = pages.withColumn("_page", F.col("html"))
+    read = with_main_content(marked, "_page", "_main", mode).drop("_page")
+    joined = hot_key_join(read, given, on=["url"], salt_on=row_id, how="left", counted_on=pages)
+    found = F.col("scraped_text").isNotNull()
+    return joined.withColumns(
         {
-            "content": F.when(usable, F.col("scraped_text")).otherwise(F.col("_main")),
-            "extraction_method": F.when(usable, F.lit(SCRAPED)).otherwise(F.lit(FETCHED)),
+            "content": F.when(found, F.col("scraped_text")).otherwise(F.col("_main")),
+            "extraction_method": F.when(found, F.lit(SCRAPED)).otherwise(F.lit(FETCHED)),
         }
-    ).drop("_page", "_main")
+    ).drop("_main")
 
 
 def web_documents(pages: DataFrame, mode: str = "auto", carry: tuple[str, ...] = ()) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from inkweave.plans.process import quick_process
 from inkweave.session import shared_folder
 from inkweave.sinks import export
-from inkweave.sources import routing
+from inkweave.sources import routing, web
 from inkweave.sources.files import FileLoader, extraction_fallback, scan_directory
 from inkweave.sources.load import LoadError, load_documents
 from inkweave.sources.web import content_or_fallback
@@ -120,7 +120,9 @@ def test_extraction_fallback(spark):
     assert made == [("fb", "fallback"), ("x" * 50, "primary"), ("", "fallback"), ("fb", "fallback")]
 
 
-def test_content_or_fallback_with_repeated_addresses(spark):
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_content_or_fallback_with_repeated_addresses(spark, monkeypatch, most):
+    monkeypatch.setattr(web, "BROADCAST_ADDRESSES", most)
     pages = spark.createDataFrame(
         [(1, "u", "<body>p1</body>"), (2, "u", "<body>p2</body>"), (3, "v", "<body>p3</body>"), (4, "w", "<body>p4</body>")],
         "id int, url string, html string",
