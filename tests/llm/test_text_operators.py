@@ -167,6 +167,49 @@ def test_pseudonyms(docs_of):
     assert pseudonyms.pseudonymise(docs_of([]), key="k").collect() == []
 
 
+def iban(country, account):
+    number = "".join(str(int(c, 36)) for c in account + country + "00")
+    return f"{country}{98 - int(number) % 97:02}{account}"
+
+
+def test_kinds_of_other_countries(docs_of):
+    """Account numbers, telephone numbers, IPv6 addresses and letters beyond ASCII in mail: permuted within their format."""
+    german, british = iban("DE", "370400440532013000"), iban("GB", "WEST12345698765432")
+    assert german == "DE89370400440532013000" and british == "GB82WEST12345698765432"
+    spaced = "DE89 3704 0044 0532 0130 00"
+    rows = [
+        (1, f"pay {german}, again {spaced}; {british}."),
+        (2, "no account DE88370400440532013000 nor DE8937 or ZZ89370400440532013000"),
+        (3, "call +49 30 1234567, +493012345678 or 01 23 45 67 89, 01.23.45.67.89"),
+        (4, "+12 34 is none, 01 23 45 67 89 10 11 is a list, 01 23.45-67 89 neither"),
+        (5, "2001:db8:85a3:0:0:8a2e:370:7334 and 2001:DB8:85a3:0:0:8A2E:370:7334, 2001:db8::ff00:42:8329!"),
+        (6, "std::vector a::b 12:30:45 10:20 ::1"),
+        (7, "josé@x.fr JOSÉ@x.fr müller.42@übung.example.de a@b"),
+    ]
+    text = {r.doc_id: r.text for r in pseudonyms.pseudonymise(docs_of(rows), key="k").collect()}
+    moved = iban("DE", plain_permuted("370400440532013000", "k", "iban"))
+    assert text[1] == f"pay {moved}, again {' '.join(moved[i:i + 4] for i in range(0, 22, 4))}; {iban('GB', plain_permuted('WEST12345698765432', 'k', 'iban'))}."
+    for unchanged in (2, 4, 6):
+        assert text[unchanged] == dict(rows)[unchanged]
+    abroad, short = "49" + plain_permuted("301234567", "k", "abroad"), "01" + plain_permuted("23456789", "k", "abroad")
+    pairs = [short[i : i + 2] for i in range(0, 10, 2)]
+    assert text[3] == f"call +{abroad[:2]} {abroad[2:4]} {abroad[4:]}, +49{plain_permuted('3012345678', 'k', 'abroad')} or {' '.join(pairs)}, {'.'.join(pairs)}"
+    one, other, third = re.findall(r"[0-9a-f:]{12,}", text[5])
+    assert one == other != "2001:db8:85a3:0:0:8a2e:370:7334" and [len(x) for x in one.split(":")] == [4, 3, 4, 1, 1, 4, 3, 4]
+    assert [len(x) for x in third.split(":")] == [4, 3, 0, 4, 2, 4] and third != "2001:db8::ff00:42:8329"
+    first, second, last, none = text[7].split(" ")
+    assert first == plain_permuted("josé", "k", "email") + "@x.fr" and second == plain_permuted("JOSÉ", "k", "email") + "@x.fr" and none == "a@b"
+    assert last == plain_permuted("müller.42", "k", "email") + "@übung.example.de" and "müller" not in last
+    again = pseudonyms.pseudonymise(docs_of(rows), key="other").collect()
+    assert {r.doc_id for r in again if r.text != text[r.doc_id]} == {1, 3, 5, 7}
+
+
+def test_addresses_of_one_shape_are_permuted_one_to_one(spark):
+    hosts = spark.range(2000).select(F.col("id"), F.expr("concat('2001:db8::', lower(lpad(hex(id), 4, '0')), ':1')").alias("text"))
+    made = [r.text for r in pseudonyms.pseudonymise(hosts, key="k").collect()]
+    assert len(set(made)) == 2000 and all(re.fullmatch(r"[0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f]{4}:[0-9a-f]", m) for m in made)
+
+
 def test_dates_and_addresses_are_permuted_one_to_one(spark):
     days = spark.range(2000).select(F.col("id"), F.expr("cast(date_add(date'1990-01-01', cast(id as int)) as string)").alias("text"))
     made = [r.text for r in pseudonyms.pseudonymise(days, key="k").collect()]
