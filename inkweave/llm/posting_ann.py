@@ -1,11 +1,13 @@
 """Approximate nearest neighbours by inner product: balanced posting lists.
 
 Vectors are brought to one length by one more component, so that the largest inner product is the least distance. A
-bounded sample is halved again and again into clusters of about one size; their centres form a graph of near centres,
-which is what a task holds in memory and searches by best-first steps. Every vector goes to the list of its nearest
-centre, and a boundary vector to others nearly as near as well, unless these lie closer to one another than to it. A
-query reads the lists whose centres are at most ``REACH`` times as far as the nearest one. Lists and the queries that
-read them are cut into blocks, so a list that holds a third of all vectors is many tasks.
+bounded sample is halved again and again into clusters of about one size; where there are more vectors, each cluster is
+halved further on a sample of its own, by the tasks, so that centres grow with the rows and lists keep their length. The
+centres form a graph of near centres, which is what a task holds in memory and walks from the nearest of its entries;
+as long as they are few, one matrix product sees them all for less than the walk costs, and finds no fewer. Every vector
+goes to the list of its nearest centre, and a boundary vector to others nearly as near as well, unless these lie closer
+to one another than to it. A query reads the lists whose centres are at most ``REACH`` times as far as the nearest one.
+Lists and the queries that read them are cut into blocks, so a list that holds a third of all vectors is many tasks.
 """
 
 from __future__ import annotations
@@ -21,12 +23,18 @@ from inkweave.llm.store import written
 
 SAMPLE_ROWS = 20_000
 LIST_ROWS = 256
-MOST_CENTRES = 2048
+#: Centres that the driver fits, and centres in all, which every task holds: 65,536 of 64 numbers are 34 MB.
+FIRST_CENTRES, MOST_CENTRES = 2048, 1 << 16
+#: Sample rows of a cluster for each centre that it is cut into.
+SAMPLE_EACH = 32
+#: Up to so many centres are looked at one and all; more are walked to by the graph.
+FULL_LOOK = 4096
+NEAR = 24
 REPLICAS = 6
 #: A vector is replicated to centres at most this much farther than its nearest; a query reads lists this much farther.
 BOUNDARY, REACH = 1.1, 1.3
-#: At least so many lists are read, and so many centres kept in view while the graph is searched.
-LEAST_LISTS, VIEW = 4, 96
+#: At least so many lists are read; so many centres are kept in view on a walk, and so many entered from at a step.
+LEAST_LISTS, VIEW, STEP = 4, 192, 4
 VECTOR_BLOCK, QUERY_BLOCK = 8192, 2048
 
 
@@ -43,41 +51,66 @@ class Centres:
         rest = np.sqrt(np.maximum(self.radius**2 - (vectors**2).sum(axis=1), 0.0))
         return np.concatenate([vectors, rest[:, None]], axis=1)
 
-    def search(self, vectors: np.ndarray, view: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each augmented vector the centres found nearest, nearest first, and their distances (inf: none)."""
-        n, k = len(vectors), len(self.points)
-        view = min(view, k)
-        far = np.full((n, k), np.inf)
-        open_ = np.zeros((n, k), bool)
-        square = (self.points**2).sum(axis=1)
-        own = (vectors**2).sum(axis=1)
-        far[:, self.entries] = own[:, None] + square[self.entries] - 2 * vectors @ self.points[self.entries].T
-        open_[:, self.entries] = True
+    def nearest(self, vectors: np.ndarray, view: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each augmented vector the ``view`` nearest centres found, nearest first, and their distances (inf: none)."""
+        if len(self.points) > FULL_LOOK:
+            ids, far = self._walked(vectors, min(view, VIEW))
+        else:
+            far = (vectors**2).sum(axis=1)[:, None] + (self.points**2).sum(axis=1)[None, :] - 2 * vectors @ self.points.T
+            view = min(view, far.shape[1])
+            ids = np.argpartition(far, view - 1, axis=1)[:, :view] if view < far.shape[1] else np.broadcast_to(np.arange(view), far.shape)
+            far = np.take_along_axis(far, ids, axis=1)
+        order = np.argsort(far, axis=1, kind="stable")
+        return np.take_along_axis(ids, order, axis=1), np.sqrt(np.maximum(np.take_along_axis(far, order, axis=1), 0.0))
+
+    def _walked(self, vectors: np.ndarray, view: int) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest centres by walking the graph: of each vector a view of bounded length, however many centres there are."""
+        square, own = (self.points**2).sum(axis=1), (vectors**2).sum(axis=1)
+
+        def gaps(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+            out = np.empty(centres.shape)
+            for at in range(0, len(rows), 128):  # few at a time: each takes its centres' points along
+                r, c = rows[at : at + 128], centres[at : at + 128]
+                out[at : at + 128] = own[r][:, None] + square[c] - 2 * np.einsum("id,ijd->ij", vectors[r], self.points[c])
+            return out
+
+        n = len(vectors)
+        first = own[:, None] + square[self.entries] - 2 * vectors @ self.points[self.entries].T
+        ids, far, seen = (np.full((n, view), x) for x in (-1, np.inf, True))
+        width = min(view, len(self.entries))
+        best = np.argsort(first, axis=1, kind="stable")[:, :width]
+        ids[:, :width], far[:, :width], seen[:, :width] = self.entries[best], np.take_along_axis(first, best, axis=1), False
         live = np.arange(n)
         while len(live):
-            ahead = np.where(open_[live], far[live], np.inf)
-            best = ahead.argmin(axis=1)
-            reach = np.partition(far[live], view - 1, axis=1)[:, view - 1]
-            on = ahead[np.arange(len(live)), best] <= reach
-            on &= np.isfinite(ahead[np.arange(len(live)), best])
-            live, best = live[on], best[on]
-            open_[live, best] = False
-            around = self.near[best]
-            new = ~np.isfinite(np.take_along_axis(far[live], around, axis=1))
-            row, column = np.nonzero(new)
-            r, c = live[row], around[row, column]
-            far[r, c] = own[r] + square[c] - 2 * np.einsum("ij,ij->i", vectors[r], self.points[c])
-            open_[r, c] = True
-        order = np.argsort(far, axis=1, kind="stable")[:, :view]
-        return order, np.sqrt(np.maximum(np.take_along_axis(far, order, axis=1), 0.0))
-
-
-def fit(sample: np.ndarray, centres: int, radius: float) -> Centres:
-    """Centres of clusters of about equal size: the largest cluster is halved by two means until there are enough."""
-    shape = Centres(np.zeros((0, 0)), np.zeros((0, 0), int), np.zeros(0, int), radius)
-    points = shape.augmented(sample)
+            order = np.argsort(np.where(seen[live], np.inf, far[live]), axis=1, kind="stable")[:, :STEP]
+            fresh = ~np.take_along_axis(seen[live], order, axis=1)
+            live, order, fresh = live[fresh[:, 0]], order[fresh[:, 0]], fresh[fresh[:, 0]]
+            if not len(live):
+                break
+            from_ = np.where(fresh, np.take_along_axis(ids[live], order, axis=1), ids[live[:, None], order[:, :1]])
+            seen[live[:, None], order] = True
+            around = self.near[from_].reshape(len(live), -1)
+            both_ids = np.concatenate([ids[live], around], axis=1)
+            both_far = np.concatenate([far[live], gaps(live, around)], axis=1)
+            both_seen = np.concatenate([seen[live], np.zeros(around.shape, bool)], axis=1)
+            by_id = np.argsort(both_ids, axis=1, kind="stable")  # what is in view comes before the same centre met again
+            sorted_ids = np.take_along_axis(both_ids, by_id, axis=1)
+            again = np.zeros(sorted_ids.shape, bool)
+            again[:, 1:] = sorted_ids[:, 1:] == sorted_ids[:, :-1]
+            np.put_along_axis(both_far, by_id, np.where(again, np.inf, np.take_along_axis(both_far, by_id, axis=1)), axis=1)
+            keep = np.argpartition(both_far, view - 1, axis=1)[:, :view]
+            far[live] = np.take_along_axis(both_far, keep, axis=1)
+            ids[live] = np.where(np.isfinite(far[live]), np.take_along_axis(both_ids, keep, axis=1), -1)
+            seen[live] = np.take_along_axis(both_seen, keep, axis=1) | ~np.isfinite(far[live])
+        return ids, far
+
+
+def halved(points: np.ndarray, centres: int) -> np.ndarray:
+    """Centres of clusters of about equal size: a cluster is halved by two means until there are enough."""
+    if not len(points):
+        return np.zeros((1, points.shape[1]))
     rng = np.random.default_rng(5)
-    groups, most = [np.arange(len(points))], -(-len(points) // centres)
+    groups, most = [np.arange(len(points))], max(1, -(-len(points) // centres))
     done = []
     while groups:
         group = groups.pop()
@@ -96,33 +129,48 @@ def fit(sample: np.ndarray, centres: int, radius: float) -> Centres:
                 half = np.arange(len(own)) % 2 == 0
             a, b = own[half].mean(axis=0), own[~half].mean(axis=0)
         groups += [group[half], group[~half]]
-    middle = np.stack([points[g].mean(axis=0) for g in done]) if len(points) else np.zeros((1, sample.shape[1] + 1))
-    gaps = ((middle[:, None, :] - middle[None, :, :]) ** 2).sum(axis=2) if len(middle) <= 512 else None
-    near = []
-    for i in range(len(middle)):
-        gap = gaps[i] if gaps is not None else ((middle - middle[i]) ** 2).sum(axis=1)
-        near.append(np.argsort(gap, kind="stable")[: min(24, len(middle))])
-    # entries spread over the centres, so that every region of the graph is reached
-    entries = [0]
-    gap = ((middle - middle[0]) ** 2).sum(axis=1)
-    while len(entries) < min(16, len(middle)):
+    return np.stack([points[g].mean(axis=0) for g in done])
+
+
+def near_centres(points: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The nearest centres of some of the centres, themselves among them."""
+    width = min(NEAR, len(points))
+    square, out = (points**2).sum(axis=1), []
+    for at in range(0, len(rows), 256):
+        gap = square[None, :] - 2 * points[rows[at : at + 256]] @ points.T
+        found = np.argpartition(gap, width - 1, axis=1)[:, :width]
+        out.append(np.take_along_axis(found, np.argsort(np.take_along_axis(gap, found, axis=1), axis=1, kind="stable"), axis=1))
+    return np.concatenate(out) if out else np.zeros((0, width), int)
+
+
+def linked(points: np.ndarray, near: np.ndarray, radius: float) -> Centres:
+    """The graph of centres, with entries spread over them, so that every region is reached."""
+    entries, gap = [0], ((points - points[0]) ** 2).sum(axis=1)
+    while len(entries) < min(64, len(points)):
         entries.append(int(gap.argmax()))
-        gap = np.minimum(gap, ((middle - middle[entries[-1]]) ** 2).sum(axis=1))
-    return Centres(middle, np.stack(near), np.unique(entries), radius)
+        gap = np.minimum(gap, ((points - points[entries[-1]]) ** 2).sum(axis=1))
+    return Centres(points, near, np.unique(entries), radius)
+
+
+def fit(sample: np.ndarray, centres: int, radius: float) -> Centres:
+    """Centres and their graph from one sample."""
+    points = halved(Centres(np.zeros((0, 0)), np.zeros((0, 0), int), np.zeros(0, int), radius).augmented(sample), centres)
+    return linked(points, near_centres(points, np.arange(len(points))), radius)
 
 
 # --- on Spark -----------------------------------------------------------------------------------------------
 
 
-def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v) of the vectors that can be compared: one dimension, finite, not zero; a repeated id counts once."""
+def _usable(vectors: DataFrame, queries: Column, id_col: str, vector_col: str) -> DataFrame:
+    """(row, id, asked, v) of the vectors that can be compared: one dimension, finite, not zero, with an id."""
     v = F.transform(F.col(f"`{vector_col}`"), lambda x: x.cast("double"))
-    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("v"))
+    rows = vectors.select(
+        F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(queries, F.lit(False)).alias("asked"), v.alias("v")
+    )
     rows = rows.where("id is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity'))")
-    rows = rows.where("exists(v, x -> x <> 0)")
+    rows = written(rows.where("exists(v, x -> x <> 0)"), "vectors")
     sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    rows = rows.where(F.size("v") == (sizes["n"] if sizes else 0))
-    return rows.groupBy("id").agg(F.min("v").alias("v"))
+    return rows.where(F.size("v") == (sizes["n"] if sizes else 0))
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -137,19 +185,56 @@ def _pieces(batches, rows: int = 1024):
             yield batch.slice(begin, rows)
 
 
-def _placed(rows: DataFrame, centres: Centres, query: bool) -> DataFrame:
-    """(list, id, v): a row for each list that a vector belongs to, or that a query reads."""
+def _centres(rows: DataFrame, size: int, radius: float) -> Centres:
+    """Centres in proportion to the rows: a first fit on the driver, and where that is too few, one of each of its clusters."""
+    wanted = int(np.clip(size // LIST_ROWS, 1, MOST_CENTRES))
+    sample = rows.orderBy(F.xxhash64("id"), "id", "row").limit(SAMPLE_ROWS).select("v").toArrow()
+    first = fit(_matrix(sample["v"]), min(wanted, FIRST_CENTRES), radius)
+    if wanted <= FIRST_CENTRES:
+        return first
+    each = -(-wanted // len(first.points))
+    share = min(1.0, 2 * SAMPLE_EACH * each * len(first.points) / size)
+    drawn = rows.where(F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
+
+    def near(batches):
+        for batch in _pieces(batches):
+            place = first.nearest(first.augmented(_matrix(batch.column(1))), 1)[0][:, 0]
+            yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int64)), *batch.columns], names=["list", "row", "v"])
+
+    def cut(key: tuple, table: pa.Table) -> pa.Table:
+        # a hot cluster has more sample rows than it needs: those with the first numbers
+        own = table.sort_by("row").slice(0, 4 * SAMPLE_EACH * each)
+        points = halved(first.augmented(_matrix(own["v"])), min(each, own.num_rows))
+        return pa.table([pa.array([key[0].as_py()] * len(points)), pa.array(points.tolist(), pa.list_(pa.float64()))], names=["list", "point"])
+
+    placed = drawn.select("row", "v").mapInArrow(near, "list long, row long, v array<double>").groupBy("list").applyInArrow(cut, "list long, point array<double>")
+    points = np.array([r["point"] for r in sorted(placed.collect(), key=lambda r: (r["list"], r["point"]))])  # MOST_CENTRES at most, or so
+
+    def link(batches):
+        for batch in _pieces(batches):
+            found = near_centres(points, batch.column(0).to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.tolist(), pa.list_(pa.int64()))], names=["id", "near"])
+
+    links = rows.sparkSession.range(len(points)).mapInArrow(link, "id long, near array<long>").collect()
+    return linked(points, np.array([r["near"] for r in sorted(links)]), radius)
+
+
+def _placed(rows: DataFrame, centres: Centres, held: np.ndarray | None = None, k: int = 0) -> DataFrame:
+    """(list, row, id, v): a row for each list that a vector belongs to, or, given how many rows each list holds, for
+    each list that a query reads: all in reach, and so many that ``k`` others are in them."""
 
     def place(batches):
         for batch in _pieces(batches):
-            plain = _matrix(batch.column(1))
-            if query:  # the added component of a query is none, so that only inner products order the vectors
-                found, far = centres.search(np.concatenate([plain, np.zeros((len(plain), 1))], axis=1), VIEW)
+            plain = _matrix(batch.column(2))
+            if held is not None:  # the added component of a query is none, so that only inner products order the vectors
+                found, far = centres.nearest(np.concatenate([plain, np.zeros((len(plain), 1))], axis=1), len(centres.points))
                 chosen = far <= far[:, :1] * REACH
-                chosen[:, :LEAST_LISTS] = np.isfinite(far[:, :LEAST_LISTS])
+                before = np.cumsum(held[found], axis=1) - held[found]
+                chosen[:, :LEAST_LISTS] = True
+                chosen |= before < REPLICAS * (k + 1)  # a vector lies in REPLICAS lists at most
+                chosen &= np.isfinite(far)
             else:
-                found, far = centres.search(centres.augmented(plain), min(VIEW, 4 * REPLICAS))
-                found, far = found[:, :REPLICAS], far[:, :REPLICAS]
+                found, far = centres.nearest(centres.augmented(plain), REPLICAS)
                 chosen = far <= far[:, :1] * BOUNDARY
                 chosen[:, 0] = True
                 for j in range(1, found.shape[1]):
@@ -158,23 +243,21 @@ def _placed(rows: DataFrame, centres: Centres, query: bool) -> DataFrame:
                         chosen[:, j] &= ~(chosen[:, i] & (gap < far[:, j]))
             row, column = np.nonzero(chosen)
             taken = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found[row, column].astype(np.int64)), batch.column(0).take(taken), batch.column(1).take(taken)],
-                names=["list", "id", "v"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(found[row, column].astype(np.int64)), *(c.take(taken) for c in batch.columns)], names=["list", "row", "id", "v"])
 
-    return rows.mapInArrow(place, "list long, id long, v array<double>")
+    return rows.select("row", "id", "v").mapInArrow(place, "list long, row long, id long, v array<double>")
 
 
-_NEAREST = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+_FOUND = "query long, query_id long, row long, id long, score double"
+_NEAREST = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("row", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
 
 
 def _nearest(vectors: pa.Table, queries: pa.Table, k: int) -> pa.Table:
     """The k best of a block's vectors for each query, scored in double precision from left to right."""
     if not vectors.num_rows or not queries.num_rows:
         return _NEAREST.empty_table()
-    ids, points = vectors["id"].to_numpy(), _matrix(vectors["v"])
-    names, asked = queries["id"].to_numpy(), _matrix(queries["v"])
+    rows, ids, points = vectors["row"].to_numpy(), vectors["id"].to_numpy(), _matrix(vectors["v"])
+    numbers, names, asked = queries["row"].to_numpy(), queries["id"].to_numpy(), _matrix(queries["v"])
     out = []
     for begin in range(0, len(names), 256):
         rough = asked[begin : begin + 256] @ points.T
@@ -183,48 +266,59 @@ def _nearest(vectors: pa.Table, queries: pa.Table, k: int) -> pa.Table:
             row, column = np.nonzero(rough >= (bound - 1e-9 * np.maximum(1, np.abs(bound)))[:, None])
         else:
             row, column = np.nonzero(np.ones_like(rough, bool))
-        other = names[begin + row] != ids[column]
+        other = numbers[begin + row] != rows[column]
         row, column = row[other], column[other]
         score = np.add.accumulate(asked[begin + row] * points[column], axis=1)[:, -1]
-        order = np.lexsort((ids[column], -score, row))
+        order = np.lexsort((rows[column], ids[column], -score, row))
         row, column, score = row[order], column[order], score[order]
         place = np.arange(len(row)) - np.searchsorted(row, row)
         best = place < k
-        out.append((names[begin + row[best]], ids[column[best]], score[best]))
+        at = begin + row[best]
+        out.append((numbers[at], names[at], rows[column[best]], ids[column[best]], score[best]))
     return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=_NEAREST)
 
 
-def search(vectors: DataFrame, queries: Column, *, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(
+    vectors: DataFrame, queries: Column, *, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", exact: bool = False
+) -> DataFrame:
     """(query_id, rank, id, score): for each row where ``queries`` holds its ``k`` nearest others found, by inner product.
 
-    The score is the inner product in double precision; ties go to the smaller id. The index is fitted on SAMPLE_ROWS
-    vectors (those with the least hash of their id) and holds every vector. A query finds fewer than ``k`` only if
-    there are no more. Vectors that are null or zero, or hold a null or a number that is not finite, take no part, nor
-    does a row without an id or of another dimension than most rows. A repeated id counts once (its least vector).
-    Other columns are left out, apart from those that ``queries`` reads; an empty table gives an empty result.
+    The score is the inner product in double precision; ties go to the smaller id. The index is fitted on samples of
+    bounded size and holds every vector. ``exact`` compares all queries with all vectors instead, in blocks, which costs
+    their product: it misses nothing. A query finds fewer than ``k`` only if there are no more.
+
+    Every row is a vector of its own: rows that share an id are candidates of one another, and queries each. Vectors
+    that are null or zero, or hold a null or a number that is not finite, take no part, nor does a row without an id or
+    of another dimension than most rows. Other columns are left out, apart from those that ``queries`` reads; an empty
+    table gives an empty result.
     """
-    asked = vectors.where(queries).select(F.col(f"`{id_col}`").cast("long").alias("id")).distinct()
-    rows = written(_usable(vectors, id_col, vector_col), "vectors")
+    rows = _usable(vectors, queries, id_col, vector_col)
     size, radius = rows.agg(F.count("*"), F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x)))).first()
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("v").toArrow() if size else None
     if not size:
         return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), "id", F.lit(0.0).alias("score"))
-    centres = fit(_matrix(sample["v"]), int(np.clip(size // LIST_ROWS, 1, MOST_CENTRES)), radius)
-    lists = written(_placed(rows, centres, query=False), "posting-lists")
-    reads = written(_placed(rows.join(asked, "id", "left_semi"), centres, query=True), "list-reads")
+    asked = rows.where("asked")
+    if exact:
+        lists, reads = (f.select(F.lit(0).cast("long").alias("list"), *[F.col(c).alias(c) for c in ("row", "id", "v")]) for f in (rows, asked))
+    else:
+        centres = _centres(rows, size, radius)
+        lists = written(_placed(rows, centres), "posting-lists")
+        held = np.zeros(len(centres.points), np.int64)
+        for r in lists.groupBy("list").count().collect():  # a row per centre
+            held[r["list"]] = r["count"]
+        reads = written(_placed(asked, centres, held, k), "list-reads")
 
     sizes = lists.groupBy("list").agg(F.ceil(F.count("*") / VECTOR_BLOCK).cast("int").alias("blocks"))
     turns = reads.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("turns"))
     cuts = F.broadcast(sizes.join(turns, "list"))  # a row per centre, MOST_CENTRES at most
     one = lists.join(cuts, "list").select(
-        "list", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.explode(F.expr("sequence(0, turns - 1)")).alias("turn"), "id", "v"
+        "list", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("block"), F.explode(F.expr("sequence(0, turns - 1)")).alias("turn"), "row", "id", "v"
     )
     two = reads.join(cuts, "list").select(
-        "list", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.pmod(F.xxhash64("id"), F.col("turns")).cast("int").alias("turn"), "id", "v"
+        "list", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.pmod(F.xxhash64("row"), F.col("turns")).cast("int").alias("turn"), "row", "id", "v"
     )
     keys = ("list", "block", "turn")
-    found = one.groupBy(*keys).cogroup(two.groupBy(*keys)).applyInArrow(lambda a, b: _nearest(a, b, k), "query_id long, id long, score double")
+    found = one.groupBy(*keys).cogroup(two.groupBy(*keys)).applyInArrow(lambda a, b: _nearest(a, b, k), _FOUND)
     # a replicated vector is found more than once, with one score
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "id", "row")
     ranked = found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "id", "score")
