@@ -25,6 +25,8 @@ _ROLLING = RollingHash(37)
 _END = b"\xff"  # no byte of UTF-8
 _PLACE_BITS = 32
 _PIECE_BYTES = 128 << 10
+#: Suffixes whose windows are read from the merged order together; a core is never cut.
+_CLOSE = 4096
 
 _RUNS = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), *((n, pa.binary()) for n in ("shared", "sizes", "rest", "least", "most"))])
 _RUNS_SQL = "bucket long, batch long, shared binary, sizes binary, rest binary, least binary, most binary"
@@ -257,73 +259,98 @@ def _merge_runs(table: pa.Table, core: int, length: int) -> pa.Table:
     bucket = table["bucket"][0].as_py()
     batches = table["batch"].to_pylist()
     runs = [decoded(*x) for x in zip(table["shared"].to_pylist(), table["sizes"].to_pylist(), table["rest"].to_pylist(), strict=True)]
-    least = [np.frombuffer(x, "<i8").tolist() for x in table["least"].to_pylist()]
-    most = [np.frombuffer(x, "<i8").tolist() for x in table["most"].to_pylist()]
-    told: list[tuple[list, list, list, list]] = [([], [], [], []) for _ in runs]
+    least = [np.frombuffer(x, "<i8") for x in table["least"].to_pylist()]
+    most = [np.frombuffer(x, "<i8") for x in table["most"].to_pylist()]
+    told: list[list[tuple]] = [[] for _ in runs]
     position = [0] * len(runs)
-    group: list[list] = []  # of one core: suffix, least id, members as (run, item)
+    # of whole cores: distinct suffixes, prefixes shared with the one before, and the members (suffix, run, item)
+    suffixes: list[bytes] = []
+    shared: list[int] = []
+    members: list[tuple[int, int, int]] = []
 
     def close() -> None:
-        for (_, _, members), segments in zip(group, _first_windows(group, length), strict=True):
-            for run, item in members:
-                last, (items, begins, ends, firsts) = most[run][item], told[run]
-                for begin, end, first in segments:
-                    if first < last:
-                        items.append(item)
-                        begins.append(begin)
-                        ends.append(end)
-                        firsts.append(first)
+        of, run, item = np.array(members, np.int64).T
+        ids = np.full(len(suffixes), meeting.NO_ID)
+        lows, highs = (np.array([x[r][i] for r, i in zip(run.tolist(), item.tolist(), strict=True)]) for x in (least, most))
+        np.minimum.at(ids, of, lows)
+        owner, begin, end, first = _first_windows(suffixes, np.array(shared), ids, length)
+        # every member is told the segments of its suffix that an earlier document than its last one holds
+        low, high = np.searchsorted(owner, of), np.searchsorted(owner, of, side="right")
+        which = np.repeat(np.arange(len(of)), high - low)
+        segment = np.arange(len(which)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + np.repeat(low, high - low)
+        early = first[segment] < highs[which]
+        which, segment = which[early], segment[early]
+        for r in np.unique(run[which]).tolist():
+            own = run[which] == r
+            told[r].append((item[which[own]], begin[segment[own]], end[segment[own]], first[segment[own]]))
 
     for suffix, shares, run in merge(runs):
         item = position[run]
         position[run] = item + 1
-        if group and shares == len(suffix) == len(group[-1][0]):
-            same = group[-1]
-            same[1] = min(same[1], least[run][item])
-            same[2].append((run, item))
+        if suffixes and shares == len(suffix) == len(suffixes[-1]):
+            members.append((len(suffixes) - 1, run, item))
             continue
-        if group and shares < core:
+        if len(suffixes) >= _CLOSE and shares < core:
             close()
-            group = []
-        group.append([suffix, least[run][item], [(run, item)]])
-    if group:
+            suffixes, shared, members = [], [], []
+        members.append((len(suffixes), run, item))
+        suffixes.append(suffix)
+        shared.append(shares)
+    if suffixes:
         close()
     rows = {n: [] for n in _TOLD.names}
-    for batch, (items, begins, ends, firsts) in zip(batches, told, strict=True):
-        if items:
-            blobs = (np.array(items, "<u4"), np.array(begins, "<u4"), np.array(ends, "<u4"), np.array(firsts, "<i8"))
+    for batch, parts in zip(batches, told, strict=True):
+        if parts:
+            blobs = (np.concatenate(x).astype(t) for x, t in zip(zip(*parts, strict=True), ("<u4", "<u4", "<u4", "<i8"), strict=True))
             for name, value in zip(_TOLD.names, (batch, bucket, *(b.tobytes() for b in blobs)), strict=True):
                 rows[name].append(value)
     return pa.table(rows, _TOLD)
 
 
-def _first_windows(group: list[list], length: int) -> list[list[tuple[int, int, int]]]:
-    """For each suffix of one core, runs of its windows (first, last + 1) and the least id that holds them all.
+def _first_windows(suffixes: list[bytes], shared: np.ndarray, ids: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows (suffix, first, last + 1, least id that holds them all), ascending by suffix and place.
 
-    Equal windows hold the core at the same place, so the windows are compared one place after the other.
+    Read from common prefixes alone. A window with ``left`` bytes before the core has ``length - left`` from it on: in
+    the merged order equal ones lie in one run of suffixes whose neighbours share so much, and in the order of what
+    lies before the core, backwards, in one run that shares ``left`` bytes. So two numbers of runs name a window, and
+    the least id of each pair is its first holder.
     """
-    texts, lefts = [], []
-    for suffix, _, _ in group:
-        split = suffix.index(_END)
-        texts.append(suffix[split + 1 : -1][::-1] + suffix[:split])
-        lefts.append(len(suffix) - split - 2)
-    if len(group) == 1:
-        return [[(0, len(texts[0]) - length + 1, group[0][1])]]
-    out: list[list[tuple[int, int, int]]] = [[] for _ in group]
-    for left in range(max(lefts), -1, -1):  # bytes of the window before the core
-        windows = [(i, text[at - left : at - left + length]) for i, (text, at) in enumerate(zip(texts, lefts, strict=True)) if left <= at and at - left + length <= len(text)]
-        first: dict[bytes, int] = {}
-        for i, window in windows:
-            least = group[i][1]
-            if first.get(window, meeting.NO_ID) > least:
-                first[window] = least
-        for i, window in windows:
-            begin, least, segments = lefts[i] - left, first.get(window, meeting.NO_ID), out[i]
-            if segments and segments[-1][2] == least and segments[-1][1] == begin:
-                segments[-1] = (segments[-1][0], begin + 1, least)
-            else:
-                segments.append((begin, begin + 1, least))
-    return out
+    n = len(suffixes)
+    ahead = np.fromiter((s.index(_END) for s in suffixes), np.int64, n)
+    behind = np.fromiter(map(len, suffixes), np.int64, n) - ahead - 2
+    shared = np.minimum(shared, ahead)
+    back = np.array([s[k + 1 : -1] for s, k in zip(suffixes, ahead.tolist(), strict=True)])
+    order = np.lexsort((behind, back))  # numpy takes zero bytes at the end for none: the length tells them apart
+    width = back.dtype.itemsize
+    if width:
+        spelled = back[order].view(np.uint8).reshape(n, width)
+        differ = spelled[1:] != spelled[:-1]
+        same = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+    else:
+        same = np.zeros(max(n - 1, 0), np.int64)
+    same = np.concatenate([[0], np.minimum(same, np.minimum(behind[order][1:], behind[order][:-1]))]) if n > 1 else np.zeros(n, np.int64)
+    lefts = np.arange(int(min(behind.max(initial=0), length)), -1, -1)
+    held = np.full((n, len(lefts)), meeting.NO_ID)
+    valid = np.zeros((n, len(lefts)), bool)
+    run = np.empty(n, np.int64)
+    for j, left in enumerate(lefts.tolist()):
+        at = np.flatnonzero((behind >= left) & (ahead >= length - left))
+        if not len(at):
+            continue
+        run[order] = np.cumsum(same < left) if left else 0
+        named = np.cumsum(shared < length - left)[at] * (n + 1) + run[at]
+        by_name = np.argsort(named, kind="stable")
+        begins = meeting.run_starts(named[by_name])
+        first = np.minimum.reduceat(ids[at[by_name]], begins)
+        held[at[by_name], j] = np.repeat(first, np.diff(np.append(begins, len(at))))
+        valid[at, j] = True
+    owner, column = np.nonzero(valid)  # by suffix, and by place within it, as the bytes on the left grow fewer
+    least, begin = held[owner, column], behind[owner] - lefts[column]
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (least[1:] != least[:-1]) | (begin[1:] != begin[:-1] + 1)
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], len(owner)) - 1
+    return owner[starts], begin[starts], begin[ends] + 1 if len(starts) else begin[starts], least[starts]
 
 
 # --- the cut ------------------------------------------------------------------------------------------------

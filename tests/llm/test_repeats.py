@@ -61,6 +61,20 @@ def test_bytes(docs_of, odd_rows):
         assert sum(r.span_ends) - sum(r.span_starts) == r.n_removed
 
 
+@pytest.mark.parametrize("length, alphabet", [(10, "a\x00"), (6, "ab"), (50, "a\x00b"), (9, "aé\x00")])
+@pytest.mark.parametrize("close", [1, 4096])
+def test_bytes_of_few_letters(docs_of, monkeypatch, length, alphabet, close):
+    """Many equal cores in different surroundings, zero bytes among them; cores are read one by one, and many at a time."""
+    monkeypatch.setattr(suffix_dedup, "_CLOSE", close)
+    rng = random.Random(length)
+    shared = ["".join(rng.choice(alphabet) for _ in range(3 * length)) for _ in range(4)]
+    rows = [(rng.randint(0, 30) or None, "".join(rng.choice([rng.choice(alphabet), rng.choice(alphabet), s[rng.randint(0, length) :]]) for s in rng.choices(shared, k=8))) for _ in range(60)]
+    units = [t.encode() for _, t in rows]
+    expected = sorted((str(i), sum(g), bytes(c for c, x in zip(u, g, strict=True) if not x)) for (i, _), u, g in zip(rows, units, repeated(units, length, rows), strict=True))
+    found = remove_repeated_bytes(docs_of(rows), length=length).collect()
+    assert sorted((str(r.id), r.n_removed, bytes(r.kept)) for r in found) == expected
+
+
 def test_empty_tables(docs_of):
     empty = docs_of([])
     assert remove_repeats(empty).collect() == []
