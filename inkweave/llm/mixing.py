@@ -72,7 +72,8 @@ def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
         return dict(counts)
     taken = {length: n * budget // total for length, n in counts.items()}
     missing = budget - sum(length * n for length, n in taken.items())
-    for length in sorted(counts, key=lambda x: (-(counts[x] * budget % total), -x)):  # the largest remainders first
+    # the largest remainders first; equal ones, as all lengths of one document have, in an order that favours no length
+    for length in sorted(counts, key=lambda x: (-(counts[x] * budget % total), x * 2654435761 % 2**32, x)):
         if taken[length] < counts[length] and length <= missing:
             taken[length] += 1
             missing -= length

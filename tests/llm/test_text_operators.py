@@ -103,6 +103,9 @@ def test_fit_of_large_budgets():
         taken = mixing.fit(counts, budget)
         assert sum(n * t for n, t in taken.items()) == budget
         assert sum(abs(taken.get(n, 0) - c * budget / total) for n, c in counts.items()) < 1.2 * len(counts) + 200
+    # of lengths that one document each has, short and long ones are taken alike
+    single = mixing.fit({n: 1 for n in range(1, 2001)}, 1000 * 2001 // 2)
+    assert abs(np.mean(list(single)) - 1000) < 60 and abs(len(single) - 1000) < 60
     # a sum out of reach is given up without looking at every sum
     assert mixing.fit({1000: 10**6, 1001: 1}, 5 * 10**8 + 500) == {1000: 499_999, 1001: 1}
 
