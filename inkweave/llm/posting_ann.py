@@ -7,7 +7,8 @@ centres form a graph of near centres, which is what a task holds in memory and w
 as long as they are few, one matrix product sees them all for less than the walk costs, and finds no fewer. Every vector
 goes to the list of its nearest centre, and a boundary vector to others nearly as near as well, unless these lie closer
 to one another than to it. A query reads the lists whose centres are at most ``REACH`` times as far as the nearest one.
-Lists and the queries that read them are cut into blocks, so a list that holds a third of all vectors is many tasks.
+Neighbouring lists are read together, in groups of a task's size, from which a query takes its nearest once; a list that
+holds a third of all vectors, and the queries that read a group, are cut into blocks, which are many tasks.
 """
 
 from __future__ import annotations
@@ -32,9 +33,10 @@ FULL_LOOK = 4096
 NEAR = 24
 REPLICAS = 6
 #: A vector is replicated to centres at most this much farther than its nearest; a query reads lists this much farther.
-BOUNDARY, REACH = 1.1, 1.3
+BOUNDARY, REACH = 1.1, 1.25
 #: At least so many lists are read; so many centres are kept in view on a walk, and so many entered from at a step.
 LEAST_LISTS, VIEW, STEP = 4, 192, 4
+#: Vectors of a group of lists, or of a piece of a longer list, and queries that meet them in one task.
 VECTOR_BLOCK, QUERY_BLOCK = 8192, 2048
 
 
@@ -205,10 +207,12 @@ def _centres(rows: DataFrame, size: int, radius: float) -> Centres:
         # a hot cluster has more sample rows than it needs: those with the first numbers
         own = table.sort_by("row").slice(0, 4 * SAMPLE_EACH * each)
         points = halved(first.augmented(_matrix(own["v"])), min(each, own.num_rows))
-        return pa.table([pa.array([key[0].as_py()] * len(points)), pa.array(points.tolist(), pa.list_(pa.float64()))], names=["list", "point"])
+        columns = [pa.array([key[0].as_py()] * len(points)), pa.array(range(len(points)), pa.int32()), pa.array(points.tolist(), pa.list_(pa.float64()))]
+        return pa.table(columns, names=["list", "place", "point"])
 
-    placed = drawn.select("row", "v").mapInArrow(near, "list long, row long, v array<double>").groupBy("list").applyInArrow(cut, "list long, point array<double>")
-    points = np.array([r["point"] for r in sorted(placed.collect(), key=lambda r: (r["list"], r["point"]))])  # MOST_CENTRES at most, or so
+    placed = drawn.select("row", "v").mapInArrow(near, "list long, row long, v array<double>").groupBy("list").applyInArrow(cut, "list long, place int, point array<double>")
+    # neighbours keep numbers next to one another; MOST_CENTRES at most, or so
+    points = np.array([r["point"] for r in sorted(placed.collect(), key=lambda r: (r["list"], r["place"]))])
 
     def link(batches):
         for batch in _pieces(batches):
@@ -219,28 +223,18 @@ def _centres(rows: DataFrame, size: int, radius: float) -> Centres:
     return linked(points, np.array([r["near"] for r in sorted(links)]), radius)
 
 
-def _placed(rows: DataFrame, centres: Centres, held: np.ndarray | None = None, k: int = 0) -> DataFrame:
-    """(list, row, id, v): a row for each list that a vector belongs to, or, given how many rows each list holds, for
-    each list that a query reads: all in reach, and so many that ``k`` others are in them."""
+def _placed(rows: DataFrame, centres: Centres) -> DataFrame:
+    """(list, row, id, v): a row for each list that a vector belongs to."""
 
     def place(batches):
         for batch in _pieces(batches):
-            plain = _matrix(batch.column(2))
-            if held is not None:  # the added component of a query is none, so that only inner products order the vectors
-                found, far = centres.nearest(np.concatenate([plain, np.zeros((len(plain), 1))], axis=1), len(centres.points))
-                chosen = far <= far[:, :1] * REACH
-                before = np.cumsum(held[found], axis=1) - held[found]
-                chosen[:, :LEAST_LISTS] = True
-                chosen |= before < REPLICAS * (k + 1)  # a vector lies in REPLICAS lists at most
-                chosen &= np.isfinite(far)
-            else:
-                found, far = centres.nearest(centres.augmented(plain), REPLICAS)
-                chosen = far <= far[:, :1] * BOUNDARY
-                chosen[:, 0] = True
-                for j in range(1, found.shape[1]):
-                    for i in range(j):  # a centre closer to a chosen one than to the vector adds nothing new
-                        gap = np.sqrt(((centres.points[found[:, j]] - centres.points[found[:, i]]) ** 2).sum(axis=1))
-                        chosen[:, j] &= ~(chosen[:, i] & (gap < far[:, j]))
+            found, far = centres.nearest(centres.augmented(_matrix(batch.column(2))), REPLICAS)
+            chosen = far <= far[:, :1] * BOUNDARY
+            chosen[:, 0] = True
+            for j in range(1, found.shape[1]):
+                for i in range(j):  # a centre closer to a chosen one than to the vector adds nothing new
+                    gap = np.sqrt(((centres.points[found[:, j]] - centres.points[found[:, i]]) ** 2).sum(axis=1))
+                    chosen[:, j] &= ~(chosen[:, i] & (gap < far[:, j]))
             row, column = np.nonzero(chosen)
             taken = pa.array(row)
             yield pa.RecordBatch.from_arrays([pa.array(found[row, column].astype(np.int64)), *(c.take(taken) for c in batch.columns)], names=["list", "row", "id", "v"])
@@ -248,29 +242,83 @@ def _placed(rows: DataFrame, centres: Centres, held: np.ndarray | None = None, k
     return rows.select("row", "id", "v").mapInArrow(place, "list long, row long, id long, v array<double>")
 
 
+def _grouped(held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The group of each list, and the blocks of its group: neighbouring lists up to a block together, longer ones alone."""
+    group, blocks, number, total = np.zeros(len(held), np.int64), np.ones(len(held), np.int64), 0, 0
+    for i, n in enumerate(held.tolist()):
+        if total and total + n > VECTOR_BLOCK:
+            number, total = number + 1, 0
+        group[i], total = number, total + n
+        if n > VECTOR_BLOCK:
+            blocks[i] = -(-n // VECTOR_BLOCK)
+            number, total = number + 1, 0
+    return group, blocks
+
+
+def _reads(queries: DataFrame, centres: Centres, held: np.ndarray, group: np.ndarray, k: int) -> DataFrame:
+    """(group, lists, row, id, v): the lists of a group that a query reads: all in reach, and so many that ``k`` others
+    are in them."""
+
+    def place(batches):
+        for batch in _pieces(batches):
+            plain = _matrix(batch.column(2))
+            # the added component of a query is none, so that only inner products order the vectors
+            found, far = centres.nearest(np.concatenate([plain, np.zeros((len(plain), 1))], axis=1), len(centres.points))
+            chosen = far <= far[:, :1] * REACH
+            chosen[:, :LEAST_LISTS] = True
+            chosen |= np.cumsum(held[found], axis=1) - held[found] < REPLICAS * (k + 1)  # a vector lies in REPLICAS lists at most
+            row, column = np.nonzero(chosen & np.isfinite(far))
+            lists = found[row, column]
+            order = np.lexsort((lists, group[lists], row))
+            row, lists = row[order], lists[order]
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (group[lists][1:] != group[lists][:-1])
+            begins = np.flatnonzero(new)
+            taken, cuts = pa.array(row[begins]), pa.array(np.append(begins, len(row)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(group[lists[begins]]), pa.ListArray.from_arrays(cuts, pa.array(lists.astype(np.int64))), *(c.take(taken) for c in batch.columns)],
+                names=["group", "lists", "row", "id", "v"],
+            )
+
+    return queries.select("row", "id", "v").mapInArrow(place, "group long, lists array<long>, row long, id long, v array<double>")
+
+
 _FOUND = "query long, query_id long, row long, id long, score double"
 _NEAREST = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("row", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
 
 
 def _nearest(vectors: pa.Table, queries: pa.Table, k: int) -> pa.Table:
-    """The k best of a block's vectors for each query, scored in double precision from left to right."""
+    """The k best for each query of a block's vectors in the lists that it reads, scored in double precision from left
+    to right. A vector that lies in several of these lists is seen once."""
     if not vectors.num_rows or not queries.num_rows:
         return _NEAREST.empty_table()
     rows, ids, points = vectors["row"].to_numpy(), vectors["id"].to_numpy(), _matrix(vectors["v"])
     numbers, names, asked = queries["row"].to_numpy(), queries["id"].to_numpy(), _matrix(queries["v"])
+    lists, of = np.unique(vectors["list"].to_numpy(), return_inverse=True)
+    wanted = queries["lists"].combine_chunks()
+    which, place = np.repeat(np.arange(len(names)), wanted.value_lengths().to_numpy()), np.searchsorted(lists, wanted.flatten().to_numpy())
+    there = place < len(lists)
+    there[there] = lists[place[there]] == wanted.flatten().to_numpy()[there]
+    reads = np.zeros((len(names), len(lists)), bool)
+    reads[which[there], place[there]] = True
     out = []
     for begin in range(0, len(names), 256):
-        rough = asked[begin : begin + 256] @ points.T
-        if len(ids) > k + 1:  # one more than asked for, as a query does not find itself; and all that rounding could swap
-            bound = np.partition(rough, len(ids) - k - 1, axis=1)[:, len(ids) - k - 1]
-            row, column = np.nonzero(rough >= (bound - 1e-9 * np.maximum(1, np.abs(bound)))[:, None])
+        rough = np.where(reads[begin : begin + 256][:, of], asked[begin : begin + 256] @ points.T, -np.inf)
+        most = REPLICAS * (k + 1)  # a query finds itself as well, and a vector in several lists; and all that rounding could swap
+        if len(ids) > most:
+            bound = np.partition(rough, len(ids) - most, axis=1)[:, len(ids) - most]
+            bound = np.where(np.isfinite(bound), bound - 1e-9 * np.maximum(1, np.abs(bound)), np.finfo(float).min)
+            row, column = np.nonzero(rough >= bound[:, None])
         else:
-            row, column = np.nonzero(np.ones_like(rough, bool))
+            row, column = np.nonzero(np.isfinite(rough))
         other = numbers[begin + row] != rows[column]
         row, column = row[other], column[other]
         score = np.add.accumulate(asked[begin + row] * points[column], axis=1)[:, -1]
         order = np.lexsort((rows[column], ids[column], -score, row))
         row, column, score = row[order], column[order], score[order]
+        once = np.ones(len(row), bool)
+        once[1:] = (row[1:] != row[:-1]) | (rows[column][1:] != rows[column][:-1])
+        row, column, score = row[once], column[once], score[once]
         place = np.arange(len(row)) - np.searchsorted(row, row)
         best = place < k
         at = begin + row[best]
@@ -297,26 +345,32 @@ def search(
     if not size:
         return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), "id", F.lit(0.0).alias("score"))
     asked = rows.where("asked")
+    spark = rows.sparkSession
     if exact:
-        lists, reads = (f.select(F.lit(0).cast("long").alias("list"), *[F.col(c).alias(c) for c in ("row", "id", "v")]) for f in (rows, asked))
+        lists = rows.select(F.lit(0).cast("long").alias("list"), *[F.col(c).alias(c) for c in ("row", "id", "v")])
+        reads = asked.select(F.lit(0).cast("long").alias("group"), F.lit([0]).cast("array<long>").alias("lists"), *[F.col(c).alias(c) for c in ("row", "id", "v")])
+        group, blocks = np.zeros(1, np.int64), np.array([-(-size // VECTOR_BLOCK)])
     else:
         centres = _centres(rows, size, radius)
         lists = written(_placed(rows, centres), "posting-lists")
         held = np.zeros(len(centres.points), np.int64)
         for r in lists.groupBy("list").count().collect():  # a row per centre
             held[r["list"]] = r["count"]
-        reads = written(_placed(asked, centres, held, k), "list-reads")
-
-    sizes = lists.groupBy("list").agg(F.ceil(F.count("*") / VECTOR_BLOCK).cast("int").alias("blocks"))
-    turns = reads.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("turns"))
-    cuts = F.broadcast(sizes.join(turns, "list"))  # a row per centre, MOST_CENTRES at most
-    one = lists.join(cuts, "list").select(
-        "list", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("block"), F.explode(F.expr("sequence(0, turns - 1)")).alias("turn"), "row", "id", "v"
+        group, blocks = _grouped(held)
+        reads = written(_reads(asked, centres, held, group, k), "list-reads")
+
+    # all have a row per centre at most
+    turns = reads.groupBy("group").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("turns"))
+    pieces = spark.createDataFrame(sorted(set(zip(group.tolist(), blocks.tolist(), strict=True))), "group long, blocks int")
+    cuts = turns.join(F.broadcast(pieces), "group")
+    named = spark.createDataFrame(list(enumerate(group.tolist())), "list long, group long")
+    one = lists.join(F.broadcast(named), "list").join(F.broadcast(cuts), "group").select(
+        "group", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("block"), F.explode(F.expr("sequence(0, turns - 1)")).alias("turn"), "list", "row", "id", "v"
     )
-    two = reads.join(cuts, "list").select(
-        "list", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.pmod(F.xxhash64("row"), F.col("turns")).cast("int").alias("turn"), "row", "id", "v"
+    two = reads.join(F.broadcast(cuts), "group").select(
+        "group", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.pmod(F.xxhash64("row"), F.col("turns")).cast("int").alias("turn"), "lists", "row", "id", "v"
     )
-    keys = ("list", "block", "turn")
+    keys = ("group", "block", "turn")
     found = one.groupBy(*keys).cogroup(two.groupBy(*keys)).applyInArrow(lambda a, b: _nearest(a, b, k), _FOUND)
     # a replicated vector is found more than once, with one score
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id", "row")
