@@ -25,6 +25,8 @@ DIMENSIONS = 4096
 _PIECE_BYTES, _PIECE_ROWS = 256 << 10, 128
 #: Ranges that ids' hashes are counted in, to find those with the least hash without ranking all.
 _RANGES = 4096
+#: Ids to learn from up to which they are sent to every executor, so that no text is shuffled to find them.
+BROADCAST_ROWS = 200_000
 _LETTER = np.full(256, 32, np.uint32)
 _LETTER[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
 _LETTER[ord("A") : ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
@@ -107,7 +109,9 @@ def train(
         F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")
     )
     usable = usable.where("id is not null and lang is not null and text rlike '\\\\p{L}'")
-    chosen = written(usable.join(_least(usable.select("id", "lang"), max_per_language), ["id", "lang"], "left_semi"), "learned-texts")
+    picked = written(_least(usable.select("id", "lang"), max_per_language), "learned-ids")
+    picked = F.broadcast(picked) if picked.count() <= BROADCAST_ROWS else picked
+    chosen = written(usable.join(picked, ["id", "lang"], "left_semi"), "learned-texts")
 
     def counted(batches):
         for batch in batches:
