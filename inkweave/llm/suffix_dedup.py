@@ -121,7 +121,8 @@ def _anchors_of(texts: Texts, core: int, length: int) -> tuple[np.ndarray, np.nd
     stop[:-1] = new[1:] | ~inside[1:]
     begin, last = np.flatnonzero(new & inside), np.flatnonzero(stop & inside)
     at = chosen[begin]
-    return begin, last, at, hashes[at]
+    # least hashes are small ones: mixed anew, so that the ranges of keys hold equally many
+    return begin, last, at, mix(hashes[at])
 
 
 def _send_cores(table: pa.Table, core: int, length: int, plan: meeting.Plan) -> pa.Table:

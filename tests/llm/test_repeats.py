@@ -113,6 +113,15 @@ def test_shared_keys_and_first_holders():
     assert meeting.send_keys(0, hashes[[0, 0]], np.array([0, 9]), True, wide).num_rows == 1
 
 
+def test_anchors_fill_all_ranges_of_keys_alike():
+    rng = random.Random(5)
+    text = bytes(rng.choice(b"abcdefghijklmnop ") for _ in range(200_000)).decode()
+    anchors = suffix_dedup.Anchors(Texts.of(pa.array([text])), 24, 50)
+    plan = meeting.planned(len(text), 16)
+    held = np.bincount(plan.bucket_of(plan.short(anchors.key)), minlength=plan.buckets)
+    assert held.max() < 1.3 * held.mean() and held.min() > 0.7 * held.mean()
+
+
 def test_words_never_cross_texts():
     texts = Texts.of(pa.array(["a b", None, "", "c", " d\x0be "]))
     found = words(texts)
