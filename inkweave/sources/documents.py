@@ -112,17 +112,11 @@ def document_registry(documents: DataFrame, order_by: str, key: str = "id") -> D
     """One row per id, the last write winning: the greatest order, a null one being the least; of equal orders the one
     with the greatest hash, so that reruns agree.
 
-    The last write of an id is found among narrow rows of id, order and hash, by an aggregate that reduces them before
-    the shuffle. The documents are then looked up by all three, so the content is in no aggregate, and the writes of an
-    id that was written again and again go to many tasks. Copies in all three are told apart by a limit of one row,
-    which every task applies to its own rows before they are sent.
+    Every task keeps the last write of each id among its own rows before they are sent (a limit of one row by group).
+    So the documents are read and hashed once, the content is in no aggregate and is shuffled once at most, and an id
+    that was written again and again sends one row from each task.
     """
     rest = [name for name in documents.columns if name != key]
-    place = F.struct(F.col(key).alias("id"), F.col(order_by).alias("order"), row_digest(documents, rest).alias("digest"))
-    # one struct, as the parts of a struct are compared null by null
-    marked = documents.withColumn("_place", place)
-    last = marked.select("_place").groupBy(F.col("_place.id").alias("id")).agg(F.max(F.struct("_place.order", "_place.digest")).alias("last"))
-    winners = last.select(F.struct("id", "last.order", "last.digest").alias("_place"))
-    one = Window.partitionBy("_place").orderBy("_place")
-    distinct = marked.withColumn("_copy", F.row_number().over(one)).where("_copy = 1")
-    return distinct.join(winners, "_place", "left_semi").select(*documents.columns)
+    marked = documents.withColumn("_digest", row_digest(documents, rest))
+    last = Window.partitionBy(key).orderBy(F.desc(order_by), F.desc("_digest"))
+    return marked.withColumn("_place", F.row_number().over(last)).where("_place = 1").select(*documents.columns)

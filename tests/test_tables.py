@@ -93,6 +93,15 @@ def test_registry_looks_the_content_up(spark):
     assert "WindowGroupLimit" in made._jdf.queryExecution().executedPlan().toString()
 
 
+def test_registry_reads_its_documents_once(spark, tmp_path):
+    rows = [(k % 7, k % 3 or None, str(k)) for k in range(100)] + [(None, 1, "a"), (None, 2, "b")]
+    spark.createDataFrame(rows, "id long, n int, content string").write.parquet(str(tmp_path / "docs"))
+    made = document_registry(spark.read.parquet(str(tmp_path / "docs")), order_by="n")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert {r["id"]: r["n"] for r in made.collect()} == {**dict.fromkeys(range(7), 2), None: 2}
+
+
 # --- chunks -------------------------------------------------------------------------------------------------
 
 
