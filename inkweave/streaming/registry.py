@@ -40,12 +40,14 @@ def stream_registry(
     """Keep a registry of the documents of a stream of files (see ``streaming.documents.file_stream``).
 
     Later batches win over earlier ones, as later loads do in a batch registry. The batch's number comes with the
-    checkpoint, which belongs to this registry alone.
+    checkpoint, which belongs to this registry alone. Documents are made in the stream's own plan, which is analysed once
+    and not with every batch; they are dated by their batch, so that one that is replayed has its dates again.
     """
     reader = loader or FileLoader()
+    documents = reader.documents(extracted_stream(files, reader).where(F.col("state") == "loaded"))
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        upsert_batch(reader.documents(batch.where(F.col("state") == "loaded")), batch_id, registry_path)
+        upsert_batch(batch, batch_id, registry_path)
 
-    writer = extracted_stream(files, reader).writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint_path)
+    writer = documents.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint_path)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -297,6 +297,23 @@ def test_stream_registry_survives_a_replay(spark, folder, tmp_path):
     assert registry.registered(spark, path).count() == len(before)
 
 
+def test_stream_registry_makes_documents_in_its_own_plan(spark, folder, tmp_path):
+    from pathlib import Path
+
+    from inkweave.streaming import registry
+
+    path, checkpoint = str(tmp_path / "registry"), str(tmp_path / "cp")
+    run = lambda: registry.stream_registry(file_stream(spark, folder), path, checkpoint).awaitTermination()
+    dated = lambda: sorted((r["id"], r["created_at"]) for r in registry.registered(spark, path).collect())
+    run()
+    before = dated()
+    commits = Path(checkpoint, "commits")
+    (commits / "0").unlink()
+    (commits / ".0.crc").unlink(missing_ok=True)
+    run()
+    assert dated() == before and len({at for _, at in before}) == 1
+
+
 def test_csv_records(spark):
     import csv
     import io
